@@ -7,10 +7,12 @@ the one with the least id, stands for it from then on. Of its set, 128 minima gi
 whose estimate reaches ``CUT`` (4.2 standard deviations below 0.75) is confirmed on the full sets.
 
 Only what is linked matters for components, so pairs inside a bucket are never all emitted. In a first round each
-member names its most similar earlier member of the bucket; the confirmed links give components. In a second round
-every pair above the cut whose members are still apart, and that hasn't failed, is confirmed too: the components are
-those of all pairs above the cut. Buckets of over ``BLOCK`` members are dealt out in blocks; the second round then
-takes each pair of blocks, so no task ever holds a whole hot bucket.
+member names its most similar earlier member of the bucket; the confirmed links give components. The second round
+takes every pair above the cut that lies in different components, in the first band that the two share. It first finds
+which members have such a pair in which bucket; only these bring their full sets there, the pairs are confirmed where
+they meet, and one link for two components comes out. So the components are those of all pairs above the cut, and what
+is written grows with the members of buckets, not with their pairs. Buckets of over ``BLOCK`` members are dealt out in
+blocks; the second round takes each pair of blocks, so no task ever holds a whole hot bucket.
 
 Null and empty texts, and null ids, are linked with nothing. Rows that repeat an id are one node. Extra columns are
 not read. Empty tables give empty results.
@@ -124,125 +126,155 @@ def estimates(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (same / HASHES - chance) / (1 - chance)
 
 
-def _compare(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by group. every: all pairs above the cut that are apart, else each row's best earlier one."""
-
-    def pairs(group, ids, comp, side, n, sig):
-        best = np.full(len(ids), -1.0)
-        partner = np.full(len(ids), -1)
-        left = np.arange(len(ids))
-        d = 0
-        while True:
-            d += 1
-            left = left[left + d < len(ids)]
-            left = left[group[left] == group[left + d]]
-            if not len(left):
-                break
-            i, j = left, left + d
-            apart = (comp[i] != comp[j]) & ((side[i] | side[j]) == 3)
-            apart &= (ids[i] != ids[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j]))
-            i, j = i[apart], j[apart]
-            for at in range(0, len(i), 65_536):
-                a, b = i[at : at + 65_536], j[at : at + 65_536]
-                e = estimates(sig[a], sig[b])
-                a, b, e = a[e >= CUT], b[e >= CUT], e[e >= CUT]
-                if every:
-                    yield a, b
-                else:  # j occurs once at each distance
-                    better = e > best[b]
-                    best[b[better]], partner[b[better]] = e[better], a[better]
-        if not every:
-            b = np.flatnonzero(partner >= 0)
-            yield partner[b], b
-
-    def out(rows: pa.Table):
-        ids, comp, n = (rows.column(c).to_numpy() for c in ("id", "comp", "n"))
-        group = np.unique(np.stack([rows.column("key").to_numpy(), rows.column("task").to_numpy()]), axis=1, return_inverse=True)[1].ravel()
-        sig = np.frombuffer(b"".join(rows.column("packed").to_pylist()), np.uint64).reshape(-1, HASHES * BITS // 64)
-        side = rows.column("side").to_numpy()
-        for a, b in pairs(group, ids, comp, side, n, sig):
-            found = np.unique(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])]), axis=1)
-            if found.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
-
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by key and task, in tables of some thousand rows that hold whole groups."""
     held: pa.Table | None = None
     for b in batches:
         held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-        if held.num_rows < 4 * BLOCK:
+        if held.num_rows < 4 * BLOCK and held.nbytes < 1 << 25:
             continue
         key, task = held.column("key").to_numpy(), held.column("task").to_numpy()
         ends = np.flatnonzero((key[1:] != key[:-1]) | (task[1:] != task[:-1]))
         if len(ends):
-            yield from out(held.slice(0, ends[-1] + 1))
+            yield held.slice(0, ends[-1] + 1)
             held = held.slice(ends[-1] + 1)
     if held is not None and held.num_rows:
-        yield from out(held)
+        yield held
+
 
+class _Rows:
+    """A table of whole groups as arrays."""
 
-def _candidates(groups: DataFrame, nodes: DataFrame, comps: DataFrame | None, every: bool) -> DataFrame:
-    """Distinct pairs a < b. groups: key, id, members of each band bucket of two or more."""
+    def __init__(self, rows: pa.Table):
+        self.key, self.task, self.side, self.band, self.id, self.comp, self.n = (rows.column(c).to_numpy() for c in ("key", "task", "side", "band", "id", "comp", "n"))
+        new = (self.key[1:] != self.key[:-1]) | (self.task[1:] != self.task[:-1])
+        self.group = np.concatenate([[0], np.cumsum(new)])
+        self.sig = np.frombuffer(b"".join(rows.column("packed").to_pylist()), np.uint64).reshape(len(self.id), -1)
+        if "bands" in rows.column_names:
+            self.bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(self.id), -1)
+
+    def pairs(self, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """First and second member and estimate of pairs above the cut that are apart; every: those of their first common band."""
+        left, d = np.arange(len(self.id)), 0
+        while True:
+            d += 1
+            left = left[left + d < len(self.id)]
+            left = left[self.group[left] == self.group[left + d]]
+            if not len(left):
+                return
+            i, j = left, left + d
+            fit = (self.comp[i] != self.comp[j]) & ((self.side[i] | self.side[j]) == 3) & (self.id[i] != self.id[j])
+            fit &= 4 * np.minimum(self.n[i], self.n[j]) >= 3 * np.maximum(self.n[i], self.n[j])
+            i, j = i[fit], j[fit]
+            for at in range(0, len(i), 65_536):
+                a, b = i[at : at + 65_536], j[at : at + 65_536]
+                e = estimates(self.sig[a], self.sig[b])
+                a, b, e = a[e >= CUT], b[e >= CUT], e[e >= CUT]
+                if every and len(a):
+                    first = (self.bands[a] == self.bands[b]).argmax(axis=1) == self.band[a]
+                    a, b, e = a[first], b[first], e[first]
+                if len(a):
+                    yield a, b, e
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's most similar earlier row of its group, as a pair of ids."""
+    for rows in map(_Rows, _grouped(batches)):
+        best, partner = np.full(len(rows.id), -1.0), np.full(len(rows.id), -1)
+        for a, b, e in rows.pairs(False):  # within one of these a row is second once at most
+            better = e > best[b]
+            best[b[better]], partner[b[better]] = e[better], a[better]
+        b = np.flatnonzero(partner >= 0)
+        x, y = rows.id[partner[b]], rows.id[b]
+        found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that are in a pair to be confirmed."""
+    for table in _grouped(batches):
+        rows = _Rows(table)
+        wanted = np.zeros(len(rows.id), bool)
+        for a, b, _ in rows.pairs(True):
+            wanted[a] = wanted[b] = True
+        yield from table.filter(pa.array(wanted)).combine_chunks().to_batches()
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of these rows whose sets are similar enough: one for each two components of a group."""
+    for table in _grouped(batches):
+        rows, found = _Rows(table), {}
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("s")]
+        for a, b, _ in rows.pairs(True):
+            for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                two = (rows.group[i], *sorted((rows.comp[i], rows.comp[j])))
+                if two not in found and similar(sets[i], sets[j]):
+                    found[two] = (rows.id[i], rows.id[j])
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.int64())], ["a", "b"])
+
+
+ROWS_OUT = "key long, task long, side long, band long, id long, comp long, n long, packed binary, bands array<bigint>"
+
+
+def _dealt(groups: DataFrame, nodes: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """The rows of band buckets, sorted within their groups. groups: key, band, id, members of each bucket of two or more; comps: those of the first round, for the second."""
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = groups.withColumn("block", F.pmod(F.xxhash64("id", "key"), F.greatest(blocks, F.lit(1))).cast("int"))
+    rows = groups.withColumn("block", F.pmod(F.xxhash64("id", "key"), blocks).cast("int"))
     if comps is None:
-        rows = rows.withColumn("comp", F.col("id"))
+        rows = rows.withColumns({"comp": F.col("id"), "task": F.col("block").cast("long"), "side": F.lit(3).cast("long")})
+        rows = rows.join(nodes.select("id", "n", "packed"), "id")
     else:
         rows = rows.join(comps, rows["id"] == comps["node"], "left").withColumn("comp", F.coalesce("component", "id")).drop("node", "component")
         mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-        rows = rows.join(mixed, "key", "left_semi")
-    rows = rows.join(nodes.select("id", "n", "packed"), "id")
-    if every:  # tasks (i, j), i <= j; side: 1 from block i, 2 from block j, 3 within a block
+        rows = rows.join(mixed, "key", "left_semi").join(nodes.select("id", "n", "packed", "bands"), "id")
+        # tasks (i, j), i <= j; side: 1 from block i, 2 from block j, 3 within a block
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         rows = rows.withColumn("task", F.least("block", "other") * F.lit(1 << 31).cast("long") + F.greatest("block", "other"))
         rows = rows.withColumn("side", F.when(F.col("block") == F.col("other"), 3).when(F.col("block") < F.col("other"), 1).otherwise(2).cast("long"))
-    else:
-        rows = rows.withColumn("task", F.col("block").cast("long")).withColumn("side", F.lit(3).cast("long"))
-    kind = rows.schema["id"].dataType.simpleString()
-    rows = rows.select("key", "task", "side", "id", "comp", "n", "packed").repartition("key", "task").sortWithinPartitions("key", "task", "id")
-    return rows.mapInArrow(lambda batches: _compare(batches, every), f"a {kind}, b {kind}").distinct()
+    return _sorted(rows.select("key", "task", "side", "band", "id", "comp", "n", "packed", *(["bands"] if comps is not None else [])))
+
+
+def _sorted(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "task").sortWithinPartitions("key", "task", "id")
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= 75 * (len(x) + len(y) - both)
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ok = []
-        for x, y in zip(b.column(2), b.column(3), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(100 * both >= 75 * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
-
-
-def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, ok for each pair, by the full shingle sets."""
-    kind = pairs.schema["a"].dataType.simpleString()
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, f"id {kind}, s binary")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_confirmed, f"a {kind}, b {kind}, ok boolean")
+        ok = [similar(*(np.frombuffer(v.as_buffer(), np.uint64) for v in two)) for two in zip(b.column(2), b.column(3), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: id, n_shingles, component_id, kept.
+    """A row for each document: id (a whole number), n_shingles, component_id, kept.
 
     A null id has a null component and is kept. Of rows that repeat an id with other texts, each has its own class
     and one of the texts stands for the id in comparisons.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = texts.schema["id"].dataType.simpleString()
-    seen = scratch.save(texts.mapInArrow(_features, f"id {kind}, n long, whole binary, packed binary, bands array<bigint>"), "features")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    seen = scratch.save(texts.mapInArrow(_features, "id long, n long, whole binary, packed binary, bands array<bigint>"), "features")
     classes = seen.where("n > 0 and id is not null").groupBy("whole").agg(F.min("id").alias("rep"))
     members = seen.select("id", "n", "whole").join(classes, "whole", "left")
     members = scratch.save(members.select("id", "n", "rep"), "members")
     nodes = scratch.save(seen.join(classes, (seen["whole"] == classes["whole"]) & (seen["id"] == classes["rep"]), "left_semi").dropDuplicates(["id"]), "nodes")
-    keys = nodes.select("id", F.explode("bands").alias("key"))
+    keys = nodes.select("id", F.posexplode("bands").alias("band", "key")).withColumn("band", F.col("band").cast("long"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     groups = scratch.save(keys.join(shared, "key"), "groups")
-    one = scratch.save(_confirm(_candidates(groups, nodes, None, False), texts), "first")
-    links = one.where("ok").select("a", "b")
+    wanted = groups.select("id").distinct()
+    sets = scratch.save(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, "id long, s binary"), "sets")
+    pairs = _dealt(groups, nodes, None).mapInArrow(_nearest, "a long, b long").distinct()
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    links = scratch.save(both.select("a", "b", "x", "y").mapInArrow(_confirmed, "a long, b long"), "first")
     comps = connected_components(links, scratch, "half")
-    apart = _candidates(groups, nodes, comps, True).join(one, ["a", "b"], "left_anti")
-    two = scratch.save(_confirm(scratch.save(apart, "apart"), texts), "second")
-    comps = connected_components(links.union(two.where("ok").select("a", "b")), scratch, "full")
+    meeting = _dealt(groups, nodes, comps).mapInArrow(_meeting, ROWS_OUT)
+    met = _sorted(meeting.join(sets, "id")).mapInArrow(_met, "a long, b long")
+    more = scratch.save(met, "second")
+    comps = connected_components(links.union(more), scratch, "full")
     out = members.join(comps, members["rep"] == comps["node"], "left")
     out = out.withColumn("component_id", F.coalesce("component", "rep", "id")).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
