@@ -164,8 +164,11 @@ def train(negatives: list[str], seed: int = 11) -> LicenseModel:
 
 def fit(docs: DataFrame, negative: int = NEGATIVE, id_col: str = "doc_id", text_col: str = "text") -> LicenseModel:
     """Negatives: the first paragraphs of the documents of least hash; the bound is ``negative``. Those with a licence word are left out."""
-    first = F.substring_index(F.col(text_col), "\n", 1)
-    got = docs.where(F.col(text_col).isNotNull()).select(F.substring(first, 1, 300).alias("t"), F.xxhash64(id_col).alias("h")).orderBy("h", "t").limit(negative).collect()
+    first = F.substring(F.substring_index(F.col(text_col), "\n", 1), 1, 300).alias("t")
+    texts = docs.where(F.col(text_col).isNotNull())
+    chosen = texts.select(F.col(id_col).alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(negative)
+    # a bounded table of ids
+    got = sorted(texts.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(first).collect())
     return train([r.t for r in got if not re.search(r"licen|copyright|rights|permission|public|terms", r.t, re.I)])
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, itq, lang_id, licenses, mixing, near_dedup, quality, wrappers
+from . import bpe, exact_dedup, itq, katz, lang_id, licenses, mixing, near_dedup, quality, wrappers
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -46,6 +46,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz(table(spark, sf_dir, "documents"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_html": op6_html,
     "op7_language": op7_language,
     "op8_bpe": op8_bpe,
+    "op9_katz": op9_katz,
     "op10_licenses": op10_licenses,
     "pipeline": pipeline,
 }
