@@ -15,9 +15,10 @@ import heapq
 import json
 import mmap
 import os
+import re
 import tempfile
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces compiled into the automaton, at most; bounds the file that is broadcast.
-LEXICON = 65_536
+LEXICON = 131_072
 #: Pieces whose result a worker remembers.
 REMEMBERED = 200_000
 
@@ -34,6 +35,27 @@ REMEMBERED = 200_000
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 
 
+def splitter() -> Callable[[str], list[str]]:
+    """Splits by the pattern. Texts without characters above U+FFFF go through the standard library's engine, which is twice as fast, with the three classes spelt out."""
+
+    def members(name: str) -> str:
+        is_in, spans = regex.compile(rf"\p{{{name}}}").match, []
+        for k in range(0x10000):
+            if not 0xD800 <= k < 0xE000 and is_in(chr(k)):
+                if spans and spans[-1][1] == k - 1:
+                    spans[-1][1] = k
+                else:
+                    spans.append([k, k])
+        return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in spans)
+
+    space, letter, number = (members(name) for name in ("White_Space", "L", "N"))
+    plain = PATTERN.replace("\\P{White_Space}", f"[^{space}]").replace("[^\\p{White_Space}\\p{L}\\p{N}]", f"[^{space}{letter}{number}]")
+    for name, chars in (("White_Space", space), ("L", letter), ("N", number)):
+        plain = plain.replace(f"\\p{{{name}}}", f"[{chars}]")
+    fast, full = re.compile(plain).findall, regex.compile(PATTERN).findall
+    return lambda text: (fast if len(text.encode("utf-16-le")) == 2 * len(text) else full)(text)
+
+
 def byte_letters() -> dict[str, int]:
     """The letters that stand for bytes in the vocabulary: printable Latin-1 for itself, the others from 256 on."""
     own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -41,6 +63,9 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+_NONE = 1 << 60
+
+
 class Vocabulary:
     """Ids, merges and special strings of a tokenizer file."""
 
@@ -53,11 +78,82 @@ class Vocabulary:
         self.bytes = {v: k for k, v in self.ids.items()}
         merges = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.ranks = {(raw(a), raw(b)): i for i, (a, b) in enumerate(merges)}
+        self.single = [self.ids[bytes([b])] for b in range(256)]
+        #: Two ids in one number to rank and id of the merged pair in one number.
+        self.joined = {self.ids[a] << 20 | self.ids[b]: i << 20 | self.ids[a + b] for (a, b), i in self.ranks.items()}
+        self._pairs = np.array(sorted(self.joined), np.int64)
+        self._merged = np.array([self.joined[k] for k in self._pairs.tolist()], np.int64)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes |= {i: s.encode() for s, i in self.special.items()}
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of a piece: the pair of least rank is merged first, the leftmost among equals. Linked list and heap, so long pieces take n log n."""
+        """Ids of a piece: the pair of least rank is merged first, the leftmost among equals."""
+        if len(piece) > 64:
+            return self._merge_long(piece)
+        t, get = [self.single[b] for b in piece], self.joined.get
+        ranks = [get(a << 20 | b, _NONE) for a, b in zip(t, t[1:])]
+        while ranks and (least := min(ranks)) != _NONE:
+            i = ranks.index(least)
+            t[i] = least & 0xFFFFF
+            del t[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(t[i - 1] << 20 | t[i], _NONE)
+            if i < len(ranks):
+                ranks[i] = get(t[i] << 20 | t[i + 1], _NONE)
+        return t
+
+    def merge_all(self, pieces: list[bytes]) -> list[list[int]]:
+        """``merge`` of many pieces at once, of similar length together: every piece makes its next merge in the same step."""
+        out: list[list[int]] = [[]] * len(pieces)
+        order = sorted((i for i, p in enumerate(pieces) if 1 < len(p) <= 64), key=lambda i: len(pieces[i]))
+        for i, p in enumerate(pieces):
+            if len(p) == 1 or len(p) > 64:
+                out[i] = self.merge(p)
+        for at in range(0, len(order), 4096):
+            part = order[at : at + 4096]
+            for i, ids in zip(part, self._merge_block([pieces[i] for i in part]), strict=True):
+                out[i] = ids
+        return out
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pair = a << 20 | b
+        at = np.minimum(np.searchsorted(self._pairs, pair), len(self._pairs) - 1)
+        return np.where(self._pairs[at] == pair, self._merged[at], _NONE)
+
+    def _merge_block(self, pieces: list[bytes]) -> list[list[int]]:
+        m, size = len(pieces), max(map(len, pieces))
+        length = np.fromiter(map(len, pieces), np.int64, m)
+        cells = np.arange(size)[None, :] < length[:, None]
+        token = np.zeros((m, size + 2), np.int64)  # a cell more at either end, so that neighbours always exist
+        token[:, 1:-1][cells] = np.asarray(self.single)[np.frombuffer(b"".join(pieces), np.uint8)]
+        alive = np.zeros((m, size + 2), bool)
+        alive[:, 1:-1] = cells
+        after, before = (np.tile(np.arange(size + 2) + d, (m, 1)) for d in (1, -1))
+        rank = np.full((m, size + 2), _NONE)
+        both = alive[:, :-1] & alive[:, 1:]
+        rank[:, :-1][both] = self._rank(token[:, :-1][both], token[:, 1:][both])
+        row = np.arange(m)
+        while True:
+            cell = rank[row].argmin(axis=1)
+            best = rank[row, cell]
+            row, cell, best = (x[best < _NONE] for x in (row, cell, best))
+            if not len(row):
+                break
+            gone = after[row, cell]
+            follow = after[row, gone]
+            token[row, cell] = best & 0xFFFFF
+            alive[row, gone], rank[row, gone] = False, _NONE
+            after[row, cell], before[row, np.minimum(follow, size + 1)] = follow, cell
+            for left, right in ((cell, follow), (before[row, cell], cell)):
+                right = np.minimum(right, size + 1)
+                ok = alive[row, left] & alive[row, right]
+                rank[row, left] = _NONE
+                rank[row[ok], left[ok]] = self._rank(token[row[ok], left[ok]], token[row[ok], right[ok]])
+        flat, ends = token[alive].tolist(), np.cumsum(alive.sum(axis=1)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _merge_long(self, piece: bytes) -> list[int]:
+        """The same by linked list and heap, so that long pieces take n log n."""
         parts: list[bytes | None] = [piece[i : i + 1] for i in range(len(piece))]
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -93,7 +189,7 @@ class Lexicon:
     def compile(cls, words: dict[bytes, list[int]]) -> bytes:
         """Minimal automaton of the sorted words, built one word at a time: a state whose right side is complete is replaced by its equal, if there is one."""
         order = sorted(w for w in words if w)
-        edges, final = [{}], [False]  # by state
+        edges, final, free = [{}], [False], []  # by state; free: numbers of states that were replaced
         register: dict[tuple, int] = {}
         path: list[tuple[int, int]] = []  # (state, byte) of the last word's unchecked part
         last = b""
@@ -105,6 +201,8 @@ class Lexicon:
                 mark = (final[child], tuple(edges[child].items()))
                 if (same := register.get(mark)) is not None:
                     edges[state][byte] = same
+                    edges[child], final[child] = {}, False
+                    free.append(child)
                 else:
                     register[mark] = child
 
@@ -113,11 +211,13 @@ class Lexicon:
             settle(common)
             state = edges[path[-1][0]][path[-1][1]] if path else 0
             for byte in word[common:]:
-                edges.append({})
-                final.append(False)
-                edges[state][byte] = len(edges) - 1
+                if not free:
+                    free.append(len(edges))
+                    edges.append({})
+                    final.append(False)
+                edges[state][byte] = new = free.pop()
                 path.append((state, byte))
-                state = len(edges) - 1
+                state = new
             final[state] = True
             last = word
         settle(0)
@@ -203,13 +303,16 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.split = regex.compile(PATTERN).findall
+        self.split = splitter()
+        self.names = {i: str(i) for i in vocabulary.bytes}
         self.special = regex.compile("|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
+        self.own_said: dict[str, str] = {s: str(i) for s, i in vocabulary.special.items()}
+        self.own_back: dict[str, bytes] = {s: vocabulary.bytes[i] for s, i in vocabulary.special.items()}
         self.clear()
 
     def clear(self) -> None:
-        self.said: dict[str, str] = {s: str(i) for s, i in self.vocabulary.special.items()}
-        self.back: dict[str, bytes] = {s: self.vocabulary.bytes[i] for s, i in self.vocabulary.special.items()}
+        """Forgets pieces that aren't in the automaton."""
+        self.said, self.back = dict(self.own_said), dict(self.own_back)
 
     def pieces(self, text: str) -> list[str]:
         """Special strings stand alone; what lies between is split by the pattern."""
@@ -224,14 +327,19 @@ class Codec:
 
     def learn(self, pieces: set[str]) -> None:
         """Afterwards ``said`` has the ids of each, as text, and ``back`` what these ids decode to."""
-        if len(self.said) > REMEMBERED:
+        if len(self.said) - len(self.own_said) > REMEMBERED:
             self.clear()
         new = [p for p in pieces if p not in self.said]
         raw = [p.encode() for p in new]
-        for p, b, number in zip(new, raw, self.lexicon.look_up(raw).tolist(), strict=True):
-            ids = self.lexicon.tokens(number) if number >= 0 else self.vocabulary.merge(b)
-            self.said[p] = ",".join(map(str, ids))
-            self.back[p] = b"".join(map(self.vocabulary.bytes.__getitem__, ids))
+        numbers = self.lexicon.look_up(raw).tolist()
+        merged = iter(self.vocabulary.merge_all([b for b, number in zip(raw, numbers, strict=True) if number < 0]))
+        names, parts = self.names, self.vocabulary.bytes
+        for p, number in zip(new, numbers, strict=True):
+            ids = self.lexicon.tokens(number) if number >= 0 else next(merged)
+            self.said[p] = said = ",".join([names[i] for i in ids])
+            self.back[p] = back = b"".join([parts[i] for i in ids])
+            if number >= 0:
+                self.own_said[p], self.own_back[p] = said, back
 
     def encode(self, text: str) -> list[int]:
         pieces = self.pieces(text)
@@ -246,7 +354,7 @@ def count_pieces(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """piece, n over all texts; each task counts its own first and hands on its tables when they grow large."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, found = regex.compile(PATTERN).findall, Counter()
+        split, found = splitter(), Counter()
 
         def out():
             items = list(found.items())
@@ -269,7 +377,20 @@ def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, size: int = LEXICON,
     """The automaton of the ``size`` most frequent pieces of all texts; ties go by the piece. Pieces of over 64 bytes stay out."""
     counts = count_pieces(docs, text_col).where("octet_length(piece) <= 64")
     top = [r.piece.encode() for r in counts.orderBy(F.desc("n"), "piece").select("piece").limit(size).toLocalIterator()]
-    return Lexicon.compile({p: vocabulary.merge(p) for p in top})
+    return Lexicon.compile(dict(zip(top, vocabulary.merge_all(top), strict=True)))
+
+
+def _portions(column: pa.Array, chars: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+    """Start and texts of runs of rows, each of about so many characters; a longer text is a run of its own."""
+    start, size, texts = 0, 0, []
+    for t in column:
+        texts.append(t.as_py() or "")
+        size += len(texts[-1])
+        if size >= chars:
+            yield start, texts
+            start, size, texts = start + len(texts), 0, []
+    if texts:
+        yield start, texts
 
 
 _codecs: dict[str, Codec] = {}
@@ -293,11 +414,11 @@ def bpe_round_trip(docs: DataFrame, path: str, size: int = LEXICON, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _worker_codec(shared)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                n, said_sha, back_sha, ids, texts = [], [], [], [], []
-                for t in b.column(1).slice(at, 256):
-                    pieces = codec.pieces(t.as_py() or "")
-                    codec.learn(set(pieces))
+            for at, texts in _portions(b.column(1)):
+                n, said_sha, back_sha, ids, decoded = [], [], [], [], []
+                cut = [codec.pieces(t) for t in texts]
+                codec.learn(set().union(*cut))
+                for pieces in cut:
                     said = ",".join(map(codec.said.__getitem__, pieces))
                     back = b"".join(map(codec.back.__getitem__, pieces))
                     n.append(said.count(",") + 1 if said else 0)
@@ -305,11 +426,11 @@ def bpe_round_trip(docs: DataFrame, path: str, size: int = LEXICON, id_col: str
                     back_sha.append(hashlib.sha256(back).hexdigest())
                     if with_ids:
                         ids.append([int(i) for i in said.split(",")] if said else [])
-                        texts.append(back.decode("utf-8", "replace"))
-                columns = [b.column(0).slice(at, 256), pa.array(n, pa.int64()), pa.array(said_sha, pa.string()), pa.array(back_sha, pa.string())]
+                        decoded.append(back.decode("utf-8", "replace"))
+                columns = [b.column(0).slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(said_sha, pa.string()), pa.array(back_sha, pa.string())]
                 names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns, names = [*columns, pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())], [*names, "ids", "decoded"]
+                    columns, names = [*columns, pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], [*names, "ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids

@@ -267,3 +267,10 @@ def test_automaton_is_minimal_and_exact():
     rights = {frozenset(w[len(p) :] for w in words if w.startswith(p)) for w in words for k in range(len(w) + 1) for p in [w[:k]]}
     assert len(lexicon.final) == len(rights)
     assert (bpe.Lexicon.mapped(bpe.Lexicon.compile({})).look_up([b"a"]) == -1).all()
+
+
+def test_merging_many_is_merging_each():
+    vocabulary = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(4)
+    pieces = [bytes(rng.choices(b"the and ingXQ\xc3\xa9", k=rng.choice([1, 2, 3, 7, 12, 40, 64, 65, 200]))) for _ in range(6000)]
+    assert vocabulary.merge_all(pieces) == [vocabulary._merge_long(p) for p in pieces] == [vocabulary.merge(p) for p in pieces]
