@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, shuffle_partitions
 from .near_dedup import _Words
 
-BLOCK, K = 3_000_000, 5
+BLOCK, K = 1_500_000, 5
 START, END = np.uint64(2**64 - 1), np.uint64(2**64 - 2)
 
 
@@ -46,6 +46,26 @@ def _open(b, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
 
 
+def _pack_sorted(a: np.ndarray) -> bytes:
+    """Sorted hashes by their gaps."""
+    return _pack(np.diff(a, prepend=np.uint64(0)))
+
+
+def _open_sorted(b) -> np.ndarray:
+    return np.cumsum(_open(b, np.uint64), dtype=np.uint64)
+
+
+def _pack_short(a: np.ndarray) -> bytes:
+    """Hashes by their seven high bytes: enough among the words seen after one word."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, 1:]).tobytes()
+
+
+def _open_short(b) -> np.ndarray:
+    out = np.zeros((len(b) // 7, 8), np.uint8)
+    out[:, 1:] = np.frombuffer(b, np.uint8).reshape(-1, 7)
+    return out.view(np.uint64).ravel()
+
+
 def is_held_out(doc_id) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 1
 
@@ -61,7 +81,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, tokens = np.unique(np.concatenate(parts), return_inverse=True)
         train = np.repeat(~np.array(held), lengths)
         counts = np.bincount(tokens[train], minlength=len(words))
-        row = (number, ids, lengths, held, words.tobytes(), _pack(counts.astype(np.uint32)), _pack(tokens.astype(np.uint32)))
+        row = (number, ids, lengths, held, _pack_sorted(words), _pack(counts.astype(np.uint32)), _pack(tokens.astype(np.uint32)))
         kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["block", "ids", "lengths", "held", "words", "counts", "tokens"])
 
@@ -93,7 +113,7 @@ class _Block:
     """A block's arrays, and its distinct pairs: place of the first word (one past the last is the start mark) and of the second."""
 
     def __init__(self, words: bytes, counts: bytes, tokens: bytes, lengths: list[int], held: list[bool]):
-        self.words = np.frombuffer(words, np.uint64)
+        self.words = _open_sorted(words)
         self.tokens = _open(tokens, np.uint32).astype(np.int64)
         self.lengths = np.array(lengths)
         self.train = np.repeat(~np.array(held), self.lengths)
@@ -111,10 +131,16 @@ class _Block:
         return np.diff(np.append(self.run_starts, len(self.first)))
 
 
+def _rows(b: pa.RecordBatch) -> Iterator[dict]:
+    """A batch's rows, one in memory at a time."""
+    for i in range(b.num_rows):
+        yield b.slice(i, 1).to_pylist()[0]
+
+
 def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
     shard, rows = None, []
     for b in batches:
-        for r in b.to_pylist():
+        for r in _rows(b):
             if rows and r["shard"] != shard:
                 yield shard, rows
                 rows = []
@@ -127,13 +153,13 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dic
 def _send_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for block, words, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            words, counts = np.frombuffer(words, np.uint64), _open(counts, np.uint32)
+            words, counts = _open_sorted(words), _open(counts, np.uint32)
             cut = [0, *np.searchsorted(words, _edges(shards)).tolist(), len(words)]
-            rows = [(s, block, words[x:y].tobytes(), _pack(counts[x:y])) for s, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if x < y]
+            rows = [(s, block, _pack_sorted(words[x:y]), _pack(counts[x:y])) for s, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if x < y]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "block", "words", "counts"])
 
 
-#: kind 0: an answer to a block; 1: sums of a partition (distinct, total, how many have count 1 to K + 1); 2: the partition's table.
+#: kind 0: an answer to a block; 1: sums of a partition (distinct, total, how many have count 1 to K + 1).
 _ANSWER = "kind int, shard int, block long, a binary, b binary, sums array<bigint>"
 
 
@@ -148,11 +174,11 @@ def _sums(counts: np.ndarray) -> list[int]:
 
 def _sum_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for shard, rows in _by_shard(batches):
-        own = [np.frombuffer(r["words"], np.uint64) for r in rows]
+        own = [_open_sorted(r["words"]) for r in rows]
         words, at = np.unique(np.concatenate(own), return_inverse=True)
         counts = np.zeros(len(words), np.int64)
         np.add.at(counts, at, np.concatenate([_open(r["counts"], np.uint32) for r in rows]).astype(np.int64))
-        yield _answer([(1, shard, None, None, None, _sums(counts)), (2, shard, None, words.tobytes(), _pack(counts), None)])
+        yield _answer([(1, shard, None, None, None, _sums(counts))])
         end = 0
         for r, w in zip(rows, own, strict=True):
             yield _answer([(0, shard, r["block"], _pack(counts[at[end : end + len(w)]]), None, None)])
@@ -189,18 +215,23 @@ class Unigrams:
 
 def _send_pairs(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for r in b.to_pylist():
-            x = _Block(r["words"], r["counts"], r["tokens"], r["lengths"], r["held"])
-            known = _together(r["answers"], np.int64)
-            runs = x.runs()
-            cut = [0, *np.searchsorted(x.run_words, _edges(shards)).tolist(), len(runs)]
-            at = np.append(x.run_starts, len(x.first))
-            for s, (u, v) in enumerate(zip(cut, cut[1:], strict=False)):
-                if u < v:
-                    own = slice(at[u], at[v])
-                    row = (s, r["block"], x.run_words[u:v].tobytes(), _pack(runs[u:v].astype(np.uint32)), x.words[x.second[own]].tobytes(), _pack(x.pair_counts[own].astype(np.uint32)), _pack(known[x.second[own]].astype(np.uint32)))
-                    kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
-                    yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, kinds, strict=True)], ["shard", "block", "first", "runs", "second", "counts", "known"])
+        for r in _rows(b):
+            yield _pairs_of(r, shards)
+
+
+def _pairs_of(r: dict, shards: int) -> pa.RecordBatch:
+    x = _Block(r["words"], r["counts"], r["tokens"], r["lengths"], r["held"])
+    known = _together(r["answers"], np.int64).astype(np.uint32)
+    runs = x.runs()
+    cut = [0, *np.searchsorted(x.run_words, _edges(shards)).tolist(), len(runs)]
+    at = np.append(x.run_starts, len(x.first))
+    rows = []
+    for s, (u, v) in enumerate(zip(cut, cut[1:], strict=False)):
+        if u < v:
+            own = slice(at[u], at[v])
+            rows.append((s, r["block"], _pack_sorted(x.run_words[u:v]), _pack(runs[u:v].astype(np.uint32)), _pack_short(x.words[x.second[own]]), _pack(x.pair_counts[own].astype(np.uint32)), _pack(known[x.second[own]])))
+    kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "block", "first", "runs", "second", "counts", "known"])
 
 
 def _together(answers: list[dict], kind, column: str = "a") -> np.ndarray:
@@ -210,55 +241,70 @@ def _together(answers: list[dict], kind, column: str = "a") -> np.ndarray:
 
 def _sum_pairs(batches: Iterator[pa.RecordBatch], unigrams: Unigrams) -> Iterator[pa.RecordBatch]:
     for shard, rows in _by_shard(batches):
-        first = np.concatenate([np.repeat(np.frombuffer(r["first"], np.uint64), _open(r["runs"], np.uint32)) for r in rows])
-        second = np.concatenate([np.frombuffer(r["second"], np.uint64) for r in rows])
-        order = np.lexsort((second, first))
-        f, s = first[order], second[order]
-        new = np.concatenate([[True], (f[1:] != f[:-1]) | (s[1:] != s[:-1])])
-        group = np.cumsum(new) - 1
-        counts = np.bincount(group, np.concatenate([_open(r["counts"], np.uint32) for r in rows])[order]).astype(np.int64)
-        mass = unigrams(np.concatenate([_open(r["known"], np.uint32) for r in rows]).astype(np.int64)[order[new]])
-        head = f[new]
-        word = np.concatenate([[True], head[1:] != head[:-1]])
-        names, of = head[word], np.cumsum(word) - 1
-        facts = np.zeros((len(names), K + 2))  # total, how many pairs have count 1 to K, unigram mass of the seen
-        facts[:, 0] = np.bincount(of, counts)
-        for k in range(1, K + 1):
-            facts[:, k] = np.bincount(of, counts == k)
-        facts[:, K + 1] = np.bincount(of, np.where(counts > 0, mass, 0.0))
-        back = np.empty(len(order), np.int64)
-        back[order] = counts[group]
-        yield _answer([(1, shard, None, None, None, _sums(counts)), (2, shard, None, _pack(np.stack([head, s[new]])), _pack(counts), None)])
-        end = 0
-        for r in rows:
-            n = len(r["second"]) // 8
-            mine = facts[np.searchsorted(names, np.frombuffer(r["first"], np.uint64))]
-            yield _answer([(0, shard, r["block"], _pack(back[end : end + n].astype(np.uint32)), _pack(mine.T.copy()), None)])
-            end += n
-
-
-def conditional(pair: np.ndarray, facts: np.ndarray, second: np.ndarray, pairs: Discounts, unigrams: Unigrams) -> np.ndarray:
-    """Probabilities from the pair's count, the facts on its first word (rows) and the second word's count."""
+        yield from _pairs_summed(shard, rows, unigrams)
+
+
+def _pairs_summed(shard: int, rows: list[dict], unigrams: Unigrams) -> Iterator[pa.RecordBatch]:
+    own = [_open_sorted(r["first"]) for r in rows]
+    first = np.concatenate([np.repeat(w, _open(r["runs"], np.uint32)) for w, r in zip(own, rows, strict=True)])
+    second = np.concatenate([_open_short(r["second"]) for r in rows])
+    order = np.lexsort((second, first))
+    first, second = first[order], second[order]
+    new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+    head = first[new]
+    del first, second
+    group = np.cumsum(new, dtype=np.int32) - 1
+    counts = np.bincount(group, np.concatenate([_open(r["counts"], np.uint32) for r in rows])[order]).astype(np.int64)
+    mass = unigrams(np.concatenate([_open(r["known"], np.uint32) for r in rows])[order[new]].astype(np.int64))
+    word = np.concatenate([[True], head[1:] != head[:-1]])
+    names, of = head[word], np.cumsum(word) - 1
+    facts = np.zeros((len(names), K + 2))  # total, how many pairs have count 1 to K, unigram mass of the seen
+    facts[:, 0] = np.bincount(of, counts)
+    for k in range(1, K + 1):
+        facts[:, k] = np.bincount(of, counts == k)
+    facts[:, K + 1] = np.bincount(of, np.where(counts > 0, mass, 0.0))
+    back = np.empty(len(order), np.uint32)
+    back[order] = counts[group]
+    yield _answer([(1, shard, None, None, None, _sums(counts))])
+    del order, group, new, mass, head, word, of
+    end, out = 0, []
+    for r, w in zip(rows, own, strict=True):
+        n = len(r["second"]) // 7
+        out.append((0, shard, r["block"], _pack(back[end : end + n]), _pack(facts[np.searchsorted(names, w)].T), None))
+        end += n
+        if len(out) == 64:
+            yield _answer(out)
+            out = []
+    if out:
+        yield _answer(out)
+
+
+def backoff(facts: np.ndarray, pairs: Discounts) -> tuple[np.ndarray, np.ndarray]:
+    """What pair counts are divided by, and the backoff weight, from the facts on first words (rows)."""
     total, small, seen = facts[:, 0], facts[:, 1 : K + 1], facts[:, K + 1]
     left = small @ (np.arange(1, K + 1) * (1 - pairs.d[1 : K + 1]))
     per = np.where(left > 0, total, total + 1)
-    alpha = np.where(total > 0, (per - total + left) / per / (1 - seen), 1.0)
-    return np.where(pair > 0, pairs(pair) * pair / per, alpha * unigrams(second))
+    return per, np.where(total > 0, (per - total + left) / per / (1 - seen), 1.0)
 
 
-def _score(batches: Iterator[pa.RecordBatch], unigrams: Unigrams, pairs: Discounts) -> Iterator[pa.RecordBatch]:
-    n, v = unigrams.total, unigrams.distinct
+def _score(batches: Iterator[pa.RecordBatch], unigrams: Unigrams, discounts: Discounts) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for r in b.to_pylist():
-            x = _Block(r["words"], r["counts"], r["tokens"], r["lengths"], r["held"])
-            known = _together(r["answers"], np.int64)
-            found = _together(r["more"], np.uint32).astype(np.int64)
-            facts = np.concatenate([_open(a["b"], np.float64).reshape(K + 2, -1).T for a in r["more"]])
-            p = np.log10(conditional(found, np.repeat(facts, x.runs(), axis=0), known[x.second], pairs, unigrams))
-            starts = np.cumsum(x.lengths) - x.lengths
-            base = np.log10((known + 0.5) / (n + 0.5 * (v + 1)))
-            sums = [np.add.reduceat(y, starts) for y in ((known > 0).astype(np.int64)[x.tokens], base[x.tokens], p[x.pair_of])]
-            yield pa.RecordBatch.from_arrays([pa.array(r["ids"], pa.int64()), pa.array(r["held"], pa.bool_()), pa.array(x.lengths, pa.int64()), pa.array(sums[0], pa.int64()), pa.array(np.full(len(starts), n), pa.int64()), pa.array(sums[1]), pa.array(sums[2])], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for r in _rows(b):
+            yield _scores_of(r, unigrams, discounts)
+
+
+def _scores_of(r: dict, unigrams: Unigrams, discounts: Discounts) -> pa.RecordBatch:
+    n, v = unigrams.total, unigrams.distinct
+    x = _Block(r["words"], r["counts"], r["tokens"], r["lengths"], r["held"])
+    known = _together(r["answers"], np.int64)
+    found = _together(r["more"], np.uint32).astype(np.int64)
+    facts = np.concatenate([_open(a["b"], np.float64).reshape(K + 2, -1).T for a in r["more"]])
+    per, alpha = (np.repeat(a, x.runs()) for a in backoff(facts, discounts))
+    p = np.log10(np.where(found > 0, discounts(found) * found / per, alpha * unigrams(known[x.second])))
+    starts = np.cumsum(x.lengths) - x.lengths
+    base = np.log10((known + 0.5) / (n + 0.5 * (v + 1)))
+    sums = [np.add.reduceat(y, starts) for y in ((known > 0).astype(np.int64)[x.tokens], base[x.tokens], p[x.pair_of])]
+    return pa.RecordBatch.from_arrays([pa.array(r["ids"], pa.int64()), pa.array(r["held"], pa.bool_()), pa.array(x.lengths, pa.int64()), pa.array(sums[0], pa.int64()), pa.array(np.full(len(starts), n), pa.int64()), pa.array(sums[1]), pa.array(sums[2])], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
 def _totals(answers: DataFrame) -> list[int]:
@@ -274,11 +320,12 @@ def _answers(answers: DataFrame, name: str, *columns: str) -> DataFrame:
 def katz(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    scratch, shards = Scratch(spark, "katz"), shuffle_partitions(spark)
+    scratch, buckets = Scratch(spark, "katz"), shuffle_partitions(spark)
+    shards = 2 * buckets
     # bucketed by block, so joining the answers moves only them
     name = "blocks_" + scratch.root.rsplit("-", 1)[1]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_blocks, _BLOCK_SCHEMA)
-    rows.write.bucketBy(shards, "block").option("path", f"{scratch.root}/blocks").saveAsTable(name)
+    rows.write.bucketBy(buckets, "block").option("path", f"{scratch.root}/blocks").saveAsTable(name)
     blocks = spark.table(name)
     sent = blocks.select("block", "words", "counts").mapInArrow(lambda b: _send_words(b, shards), "shard int, block long, words binary, counts binary")
     words = scratch.save(sent.repartition(shards, "shard").sortWithinPartitions("shard", "block").mapInArrow(_sum_words, _ANSWER), "words")
