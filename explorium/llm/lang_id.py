@@ -138,7 +138,8 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "do
     ids = ids.withColumn("__order", F.xxhash64("__id"))
     first = Window.partitionBy("__lang").orderBy("__order", "__id")
     chosen = ids.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= per_language).select("__id").distinct()
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).join(chosen, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    # at most per_language ids of each language: a bounded table
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
     got = sorted((r.lang, bytes(r.x)) for r in rows.select(lang_col, text_col).mapInArrow(_featured, "lang string, x binary").toLocalIterator())
     x = np.frombuffer(b"".join(r[1] for r in got), np.float32).reshape(-1, WIDTH)
     return LanguageModel.fit(x, [r[0] for r in got])
