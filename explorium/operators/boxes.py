@@ -88,6 +88,8 @@ class Prim:
     """Peels a share ``alpha`` off the box again and again while the mean of a 0/1 outcome rises, then pastes back."""
 
     def __init__(self, df: DataFrame, y: str, columns: list[str], alpha: float = 0.05, mass_min: float = 0.05, objective: str = "lenient1"):
+        # read once for all steps; what an executor loses is computed again
+        df = df.select(*columns, y).persist()
         self.df, self.y, self.alpha, self.mass_min, self.objective = df, y, alpha, mass_min, objective
         self.start = {c: v for c, v in bounding_box(df, columns).items() if not isinstance(v, frozenset) or len(v) > 1}
         self.total = df.count()
