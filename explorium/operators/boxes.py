@@ -92,8 +92,9 @@ class Prim:
         df = df.select(*columns, y).persist()
         self.df, self.y, self.alpha, self.mass_min, self.objective = df, y, alpha, mass_min, objective
         self.start = {c: v for c, v in bounding_box(df, columns).items() if not isinstance(v, frozenset) or len(v) > 1}
-        self.total = df.count()
-        self.found: list[Box] = []
+        row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("k")).first()
+        self.total, self.interest = row.n, float(row.k or 0)
+        self.found: list[PrimBox] = []
 
     def score(self, old: tuple[int, float], new: tuple[int, float]) -> float:
         (n, m), (n2, m2) = old, new
@@ -107,6 +108,29 @@ class Prim:
             raise ValueError("a different mean of as many rows")
         return (m2 - m) / abs(n2 - n) * (n2 if self.objective == "lenient2" else 1)
 
+    def entry(self, box: Box, n: int, mean: float) -> dict:
+        """A step of a trajectory. Coverage is of all cases of interest, those in earlier boxes too."""
+        k = n * mean
+        return {"limits": box, "n": n, "mean": mean, "mass": n / max(self.total, 1), "k": k, "coverage": k / max(self.interest, 1), "density": mean, "res_dim": len(restricted(box, self.start))}
+
+    def append(self, found: PrimBox, box: Box) -> dict:
+        """Measures one more box and puts it last."""
+        found.trajectory.append(self.entry(box, *self._measure(self._remaining(found), [box])[0]))
+        found.limits = box
+        return found.trajectory[-1]
+
+    def _remaining(self, found: PrimBox | None = None) -> DataFrame:
+        """Rows outside the boxes found before this one."""
+        data = self.df
+        for b in self.found:
+            if b is found:
+                break
+            data = data.where(~in_box(b.limits))
+        return data
+
+    def close(self) -> None:
+        self.df.unpersist()
+
     def _measure(self, data: DataFrame, boxes: list[Box]) -> list[tuple[int, float]]:
         """Rows and mean of each box, all in one pass."""
         aggs = []
@@ -143,11 +167,9 @@ class Prim:
         return out
 
     def find_box(self) -> PrimBox:
-        data = self.df
-        for b in self.found:
-            data = data.where(~in_box(b))
+        data = self._remaining()
         box, (now,) = dict(self.start), self._measure(data, [self.start])
-        result = PrimBox(box, [{"limits": box, "n": now[0], "mean": now[1], "mass": now[0] / max(self.total, 1)}])
+        result = PrimBox(box, [self.entry(box, *now)])
         for candidates, larger in ((lambda: self._peels(data, box), False), (lambda: self._pastes(box), True)):
             while options := candidates():
                 measured = self._measure(data, options)
@@ -157,7 +179,7 @@ class Prim:
                 if n < self.mass_min * self.total or scored[best][0] <= 0 or (n <= now[0] if larger else n >= now[0]) or larger and mean <= now[1]:
                     break
                 box, now = options[best], (n, mean)
-                result.trajectory.append({"limits": box, "n": n, "mean": mean, "mass": n / self.total})
+                result.trajectory.append(self.entry(box, n, mean))
         result.limits = box
-        self.found.append(box)
+        self.found.append(result)
         return result
