@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from explorium.functions.designs import Parameter
+
 
 @dataclass(frozen=True)
 class Outcome:
@@ -35,6 +37,8 @@ class Model:
     function: Callable | None = None
     expressions: dict[str, Callable[[DataFrame], Column]] = field(default_factory=dict)
     constants: dict[str, object] = field(default_factory=dict)
+    uncertainties: tuple[Parameter, ...] = ()
+    levers: tuple[Parameter, ...] = ()
 
     def __post_init__(self):
         if not self.name.isidentifier():
