@@ -10,7 +10,7 @@ from explorium.functions import designs as D
 from explorium.operators import analysis as A
 from explorium.operators import boxes as B
 from explorium.plans import models as M
-from explorium.plans import registry
+from explorium.plans import more, registry  # noqa: F401  (more adds its queries to the registry)
 
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 
