@@ -139,23 +139,34 @@ class Prim:
         row = data.agg(*aggs).first()
         return [(row[f"n{i}"], row[f"m{i}"] or 0.0) for i in range(len(boxes))]
 
-    def _peels(self, data: DataFrame, box: Box) -> list[Box]:
-        inside = data.where(in_box(box))
+    def _peels(self, data: DataFrame, box: Box) -> list[tuple[Box, int, float]]:
+        """Each box one peel away with its rows and mean: a pass for the quantiles, one for all limits and measures."""
+        inside = in_box(box)
         numeric = [c for c, v in box.items() if not isinstance(v, frozenset)]
-        quantiles = inside.agg(*[F.percentile_approx(c, [self.alpha, 1 - self.alpha], 10_000).alias(c) for c in numeric]).first() if numeric else {}
-        edges = inside.agg(*[f for c in numeric for f in (F.min(F.when(F.col(c) > quantiles[c][0], F.col(c))).alias(f"lo_{c}"), F.max(F.when(F.col(c) < quantiles[c][1], F.col(c))).alias(f"hi_{c}")) if quantiles[c]]).first() if numeric and quantiles[numeric[0]] else None
-        out = []
+        cuts = data.where(inside).agg(*[F.percentile_approx(c, [self.alpha, 1 - self.alpha], 10_000).alias(c) for c in numeric]).first() if numeric else {}
+        peels: list[tuple[str, Column, Column | None, object]] = []
         for c, v in box.items():
+            x = F.col(c)
             if isinstance(v, frozenset):
-                out += [box | {c: v - {x}} for x in sorted(v, key=str) if len(v) > 1]
-            elif edges is not None:
-                lo, hi = edges[f"lo_{c}"], edges[f"hi_{c}"]
-                out += [box | {c: (lo, v[1])}] if lo is not None and lo <= v[1] else []
-                out += [box | {c: (v[0], hi)}] if hi is not None and hi >= v[0] else []
+                peels += [(c, inside & (x != F.lit(level)), None, v - {level}) for level in sorted(v, key=str) if len(v) > 1]
+            elif cuts[c]:
+                peels += [(c, inside & (x > cuts[c][0]), F.min, v), (c, inside & (x < cuts[c][1]), F.max, v)]
+        if not peels:
+            return []
+        aggs = []
+        for i, (c, rows, edge, _) in enumerate(peels):
+            aggs += [F.count_if(rows).alias(f"n{i}"), F.avg(F.when(rows, F.col(self.y))).alias(f"m{i}")]
+            aggs += [edge(F.when(rows, F.col(c))).alias(f"e{i}")] if edge else []
+        row, out = data.agg(*aggs).first(), []
+        for i, (c, _, edge, v) in enumerate(peels):
+            if row[f"n{i}"]:
+                limit = v if edge is None else (row[f"e{i}"], v[1]) if edge is F.min else (v[0], row[f"e{i}"])
+                out.append((box | {c: limit}, row[f"n{i}"], row[f"m{i}"] or 0.0))
         return out
 
-    def _pastes(self, box: Box) -> list[Box]:
-        out = []
+    def _pastes(self, data: DataFrame, box: Box) -> list[tuple[Box, int, float]]:
+        """Each box one paste away with its rows and mean."""
+        out: list[Box] = []
         for c in restricted(box, self.start):
             if isinstance(box[c], frozenset):
                 out += [box | {c: box[c] | {x}} for x in sorted(self.start[c] - box[c], key=str)]
@@ -164,21 +175,20 @@ class Prim:
                 step = self.alpha * (b - a)
                 out += [box | {c: (max(a, lo - step), hi)}] if lo > a else []
                 out += [box | {c: (lo, min(b, hi + step))}] if hi < b else []
-        return out
+        return [(b, *m) for b, m in zip(out, self._measure(data, out), strict=True)] if out else []
 
     def find_box(self) -> PrimBox:
         data = self._remaining()
         box, (now,) = dict(self.start), self._measure(data, [self.start])
         result = PrimBox(box, [self.entry(box, *now)])
-        for candidates, larger in ((lambda: self._peels(data, box), False), (lambda: self._pastes(box), True)):
-            while options := candidates():
-                measured = self._measure(data, options)
-                scored = [(self.score(now, m) if m[0] != now[0] else 0.0, len(self.start) - len(restricted(b, self.start)), -i) for i, (b, m) in enumerate(zip(options, measured, strict=True))]
+        for candidates, larger in ((self._peels, False), (self._pastes, True)):
+            while options := candidates(data, box):
+                scored = [(self.score(now, (n, m)) if n != now[0] else 0.0, len(self.start) - len(restricted(b, self.start)), -i) for i, (b, n, m) in enumerate(options)]
                 best = max(range(len(options)), key=lambda i: scored[i])
-                n, mean = measured[best]
+                chosen, n, mean = options[best]
                 if n < self.mass_min * self.total or scored[best][0] <= 0 or (n <= now[0] if larger else n >= now[0]) or larger and mean <= now[1]:
                     break
-                box, now = options[best], (n, mean)
+                box, now = chosen, (n, mean)
                 result.trajectory.append(self.entry(box, n, mean))
         result.limits = box
         self.found.append(result)
