@@ -151,3 +151,19 @@ def pivot_mean(df: DataFrame, rows: list[str], columns: list[str], value: str) -
     for c in names[1:]:  # levels of discretised factors: a few each
         grid = grid.crossJoin(df.select(c).distinct())
     return grid.join(df.groupBy(*names).agg(F.avg(value).alias("mean")), names, "left")
+
+
+def discretize(df: DataFrame, columns: list[str], bins: int = 3) -> DataFrame:
+    """Numbers in bins of one width from 0, whole numbers of no more than ``bins`` values by rank from 0, categories by alphabetical place from 1."""
+    kinds, out = dict(df.dtypes), df
+    for c in columns:
+        whole = kinds[c] in ("tinyint", "smallint", "int", "bigint")
+        text = kinds[c] in ("string", "boolean")
+        if text or whole and df.select(c).where(F.col(c).isNotNull()).distinct().limit(bins + 1).count() <= bins:
+            levels = df.select(F.col(c).alias("__c")).where("__c is not null").distinct()
+            # a row a level
+            levels = levels.withColumn("__at", F.row_number().over(Window.orderBy("__c")).cast("long") - (0 if text else 1))
+            out = out.join(F.broadcast(levels), F.col(c) == F.col("__c"), "left").drop(c, "__c").withColumnRenamed("__at", c)
+        else:
+            out = equal_width(out, c, bins).drop(c).withColumnRenamed("bin", c)
+    return out.select(*df.columns)

@@ -85,12 +85,16 @@ class PrimBox:
 
 
 class Prim:
-    """Peels a share ``alpha`` off the box again and again while the mean of a 0/1 outcome rises, then pastes back."""
+    """Peels a share ``alpha`` off the box again and again while the mean of a 0/1 outcome rises, then pastes back.
 
-    def __init__(self, df: DataFrame, y: str, columns: list[str], alpha: float = 0.05, mass_min: float = 0.05, objective: str = "lenient1"):
+    Rows in earlier boxes are left out of later searches, or, with ``update`` guivarch, stay as no cases of interest.
+    """
+
+    def __init__(self, df: DataFrame, y: str, columns: list[str], alpha: float = 0.05, mass_min: float = 0.05, objective: str = "lenient1", update: str = "default"):
         # read once for all steps; what an executor loses is computed again
         df = df.select(*columns, y).persist()
         self.df, self.y, self.alpha, self.mass_min, self.objective = df, y, alpha, mass_min, objective
+        self.update = update
         self.start = {c: v for c, v in bounding_box(df, columns).items() if not isinstance(v, frozenset) or len(v) > 1}
         row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("k")).first()
         self.total, self.interest = row.n, float(row.k or 0)
@@ -120,12 +124,15 @@ class Prim:
         return found.trajectory[-1]
 
     def _remaining(self, found: PrimBox | None = None) -> DataFrame:
-        """Rows outside the boxes found before this one."""
+        """Rows that count after the boxes found before this one."""
         data = self.df
         for b in self.found:
             if b is found:
                 break
-            data = data.where(~in_box(b.limits))
+            if self.update == "guivarch":
+                data = data.withColumn(self.y, F.when(in_box(b.limits), F.lit(0)).otherwise(F.col(self.y)))
+            else:
+                data = data.where(~in_box(b.limits))
         return data
 
     def close(self) -> None:

@@ -302,3 +302,31 @@ class Logit:
             aggs.append(F.struct(F.lit(i).alias("id"), F.lit(len(e["columns"])).alias("res_dim"), (tp / F.greatest(F.sum("__y"), F.lit(1.0))).alias("coverage"), (tp / F.greatest(all_hit, F.lit(1))).alias("density")).alias(f"r{i}"))
         row = self.df.agg(*aggs)
         return row.select(F.explode(F.array(*[f"r{i}" for i in range(len(aggs))])).alias("r")).select("r.*")
+
+    def contours(self, entry: dict, x: str, y: str, points: int = 121) -> DataFrame:
+        """Probabilities on a grid from -0.1 to 1.1 of two scaled columns, all others at their middle: x, y, p."""
+        step = 1.2 / (points - 1)
+        grid = self.df.sparkSession.range(points * points)
+        at = {x: F.floor(F.col("id") / points) * step - 0.1, y: F.pmod("id", F.lit(points)) * step - 0.1}
+        out = grid.withColumns({c: at.get(c, F.lit(0.5)) for c in {*entry["columns"], x, y}}).withColumn("p", self.probability(entry))
+        return out.select(F.col(f"`{x}`").alias("x"), F.col(f"`{y}`").alias("y"), "p")
+
+
+def inspect(prim: B.Prim, entry: dict) -> DataFrame:
+    """A row for each restricted dimension of a trajectory's box: dimension, low, high, members, and the quasi-p of each side (null where not restricted)."""
+    ps = quasi_p(prim.df, prim.y, entry["limits"], prim.start)
+    rows = []
+    for c, p in ps.items():
+        v = entry["limits"][c]
+        rows.append((c, None, None, sorted(map(str, v)), *p) if isinstance(v, frozenset) else (c, float(v[0]), float(v[1]), None, *p))
+    return prim.df.sparkSession.createDataFrame(rows, "dimension string, low double, high double, members array<string>, p_low double, p_high double")
+
+
+def boxes_table(prim: B.Prim) -> DataFrame:
+    """Limits of all boxes found, a row for each dimension that any restricts: dimension, then low and high (or members) as text by box; narrowest in the first box first."""
+    dims = {c for f in prim.found for c in B.restricted(f.limits, prim.start)}
+    first = B.normalized(prim.found[0].limits, prim.start) if prim.found else {}
+    order = [*(c for c in first if c in dims), *sorted(dims - set(first))]
+    text = lambda v: ("{" + ", ".join(sorted(map(str, v))) + "}",) * 2 if isinstance(v, frozenset) else (str(v[0]), str(v[1]))
+    rows = [(c, *(t for f in prim.found for t in text(f.limits[c]))) for c in order]
+    return prim.df.sparkSession.createDataFrame(rows, "dimension string" + "".join(f", low_{i} string, high_{i} string" for i in range(len(prim.found))))

@@ -8,11 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from explorium.functions import designs as D
+from explorium.functions import documents
+from explorium.operators import analysis as A
 from explorium.operators import boxes as B
 from explorium.operators import clustering, discovery, figures, indicators, sensitivity, trees
 from explorium.plans import experiments, search
 from explorium.plans import models as M
-from explorium.sources import archives
+from explorium.sources import archives, results
 
 UNIT = [D.Parameter("a"), D.Parameter("b"), D.Parameter("c")]
 
@@ -239,3 +241,41 @@ def test_search(spark):
     assert all(r[1] == pytest.approx(2 * r[0]) and r[2] == pytest.approx(abs(r[0])) for r in sure.archive)
     wide = search.explore(spark, search.of_model(model), ps, ["f", "g"], [(0, 10, 1.0), (0, 15, 1.0)], nfe=200, population=40)
     assert sum(r[-1] for r in wide.archive) == 200 and wide.convergence[-1]["cells"] == len(wide.archive) > 10
+
+
+def test_tables_of_boxes(spark):
+    df = planted(spark, 800)
+    prim = B.Prim(df, "y", ["a", "b"], mass_min=0.1, update="guivarch")
+    one, two = prim.find_box(), prim.find_box()
+    assert two.trajectory[0]["n"] == 800 and two.trajectory[0]["k"] < one.trajectory[0]["k"]
+    rows = {r.dimension: r for r in discovery.inspect(prim, one.trajectory[-1]).collect()}
+    assert rows["a"].p_low < 0.01 and rows["a"].low == one.limits["a"][0]
+    assert discovery.boxes_table(prim).columns == ["dimension", "low_0", "high_0", "low_1", "high_1"]
+    logit = discovery.Logit(df, "y", ["a", "b"])
+    logit.run()
+    grid = logit.contours(logit.rounds[-1], "a", "b", 13).agg(F.count("p"), F.min("p"), F.max("p")).first()
+    assert grid[0] == 169 and 0 <= grid[1] < 0.1 and 0.8 < grid[2] <= 1
+
+
+def test_tables_of_parameters_and_outcomes(spark):
+    table = spark.createDataFrame([("a", "0", "1.5", None), ("b", "1", "4", None), ("c", "x", "y", "z")], "NAME string, v1 string, v2 string, v3 string")
+    assert [(p.name, p.kind) for p in results.parameters_of(table)] == [("a", "real"), ("b", "integer"), ("c", "category")]
+    typed = spark.createDataFrame([("a", "real", "0", "2"), ("d", "bool", None, None)], "name string, type string, v1 string, v2 string")
+    assert [(p.name, p.kind) for p in results.parameters_of(typed)] == [("a", "real"), ("d", "boolean")]
+    named = spark.createDataFrame([("y", "scalar"), ("s", "timeseries")], "name string, type string")
+    assert [o.type for o in results.outcomes_of(named)] == ["double", "array<double>"]
+    with pytest.raises(ValueError):
+        results.outcomes_of(spark.createDataFrame([("y", "odd")], "name string, type string"))
+
+
+def test_discretize(spark):
+    df = spark.createDataFrame([(float(i), i % 5, "abc"[i % 3]) for i in range(100)], "f double, i int, c string")
+    for bins, wanted in ((3, (3, 3, 3)), (6, (6, 5, 3))):
+        assert A.discretize(df, ["f", "i", "c"], bins).agg(*[F.countDistinct(c) for c in "fic"]).first()[:] == wanted
+
+
+def test_json_paths(spark):
+    df = spark.createDataFrame([('{"a": {"b": [1, 2]}}', 7), (None, 8)], "t string, v long")
+    assert [r[0] for r in df.select(documents.set_path(F.col("t"), ("a", "b", 1), F.col("v"))).collect()] == ['{"a": {"b": [1, 7]}}', None]
+    with pytest.raises(KeyError):
+        documents.replaced('{"a": 1}', ("b",), 2)
