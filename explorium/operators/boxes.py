@@ -95,6 +95,7 @@ class Prim:
         df = df.select(*columns, y).persist()
         self.df, self.y, self.alpha, self.mass_min, self.objective = df, y, alpha, mass_min, objective
         self.update = update
+        self.real = {c for c, k in df.dtypes if k in ("double", "float")}
         self.start = {c: v for c, v in bounding_box(df, columns).items() if not isinstance(v, frozenset) or len(v) > 1}
         row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("k")).first()
         self.total, self.interest = row.n, float(row.k or 0)
@@ -167,7 +168,12 @@ class Prim:
         row, out = data.agg(*aggs).first(), []
         for i, (c, _, edge, v) in enumerate(peels):
             if row[f"n{i}"]:
-                limit = v if edge is None else (row[f"e{i}"], v[1]) if edge is F.min else (v[0], row[f"e{i}"])
+                if edge is None:
+                    limit = v
+                else:  # a real's limit lies midway between what goes and what stays; a whole number's is the last that stays
+                    cut, end = cuts[c][0 if edge is F.min else 1], row[f"e{i}"]
+                    end = (cut + end) / 2 if c in self.real else end
+                    limit = (end, v[1]) if edge is F.min else (v[0], end)
                 out.append((box | {c: limit}, row[f"n{i}"], row[f"m{i}"] or 0.0))
         return out
 

@@ -279,3 +279,11 @@ def test_json_paths(spark):
     assert [r[0] for r in df.select(documents.set_path(F.col("t"), ("a", "b", 1), F.col("v"))).collect()] == ['{"a": {"b": [1, 7]}}', None]
     with pytest.raises(KeyError):
         documents.replaced('{"a": 1}', ("b",), 2)
+
+
+def test_limits_lie_midway_for_reals_only(spark):
+    df = spark.createDataFrame([(float(v), v, int(v >= 5)) for v in range(100)], "r double, w long, y int")
+    for name, wanted in (("r", 5.5), ("w", 6)):
+        prim = B.Prim(df, "y", [name], alpha=0.06)
+        assert prim.find_box().trajectory[1]["limits"][name][0] == wanted
+        prim.close()
