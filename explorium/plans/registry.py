@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from explorium.functions import designs as D
@@ -84,6 +84,19 @@ def join_experiments(spark, d):
     return D.experiments(models, policies, scenarios)
 
 
+@_query("""SELECT m * (SELECT count(*) FROM nation) * (SELECT count(*) FROM supplier) + p * (SELECT count(*) FROM supplier) + s AS experiment_id, m AS model_id, p AS policy_id, s AS scenario_id, n_name AS policy, s_name AS scenario, ['one', 'two'][m + 1] AS model
+           FROM range(2) t(m), (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS p, n_name FROM nation),
+                (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS s, s_name FROM supplier)""")
+def join_experiments_whole(spark, d):
+    """join_experiments over every supplier, whose keys may have gaps."""
+
+    def numbered(name: str, key: str, *columns):
+        return _t(spark, d, name).select((F.row_number().over(Window.orderBy(key)) - 1).cast("long").alias("sample_id"), *columns)
+
+    models = spark.range(2).select(F.col("id").alias("sample_id"), F.element_at(F.array(F.lit("one"), F.lit("two")), (F.col("id") + 1).cast("int")).alias("model"))
+    return D.experiments(models, numbered("nation", "n_nationkey", F.col("n_name").alias("policy")), numbered("supplier", "s_suppkey", F.col("s_name").alias("scenario")))
+
+
 @_query("""SELECT i AS sample_id, i % 7 AS x, i % 3 AS y FROM range(7) t(i)""")
 def join_cycle(spark, d):
     return D.combine(spark.range(7).select(F.col("id").alias("sample_id"), F.col("id").alias("x")), spark.range(3).select(F.col("id").alias("sample_id"), F.col("id").alias("y")), "cycle")
