@@ -215,7 +215,7 @@ def figure_hexbins(spark, d):
 
 @_query()
 def cluster_series(spark, d):
-    df = _t(spark, d, "embeddings").where("label = 3").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    df = _t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     return C.clusters(A.cid(df, "vec_id", "x"), 4)
 
 

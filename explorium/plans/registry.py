@@ -187,6 +187,16 @@ def join_cid(spark, d):
     return rounded(A.cid(df, "vec_id", "x"), "distance", digits=5)
 
 
+@_query("""WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+                c AS (SELECT vec_id, x, sqrt(list_sum(list_transform(range(1, len(x)), lambda i: pow(x[i + 1] - x[i], 2)))) AS c FROM x)
+           SELECT p.vec_id AS a, q.vec_id AS b, round(sqrt(list_sum(list_transform(range(1, len(p.x) + 1), lambda i: pow(p.x[i] - q.x[i], 2)))) * greatest(p.c, q.c) / least(p.c, q.c), 5) AS distance
+           FROM c p JOIN c q ON p.vec_id < q.vec_id""")
+def join_cid_whole(spark, d):
+    """join_cid over the embeddings of every label."""
+    df = _t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    return rounded(A.cid(df, "vec_id", "x"), "distance", digits=5)
+
+
 @_query("""SELECT p_partkey, p_retailprice, p_size FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_retailprice >= a.p_retailprice AND b.p_size >= a.p_size AND (b.p_retailprice > a.p_retailprice OR b.p_size > a.p_size))""")
 def skyline_pareto(spark, d):
     return A.pareto(_t(spark, d, "part"), ["p_retailprice", "p_size"]).select("p_partkey", "p_retailprice", "p_size")

@@ -1,5 +1,10 @@
 """Queries over whole tables, not over some of their ids or labels."""
 
+import math
+from itertools import combinations
+
+import pytest
+
 from explorium.plans import more, registry  # noqa: F401  (more adds its queries to the registry)
 
 
@@ -11,3 +16,27 @@ def test_every_supplier_is_a_scenario(spark, tmp_path):
     assert sorted(r.experiment_id for r in rows) == list(range(2 * 3 * len(keys)))
     assert {(r.model, r.policy, r.scenario) for r in rows} == {(m, f"n{p}", f"s{k}") for m in ("one", "two") for p in range(3) for k in keys}
     assert all(r.scenario == f"s{keys[r.scenario_id]}" and r.experiment_id == (r.model_id * 3 + r.policy_id) * len(keys) + r.scenario_id for r in rows)
+
+
+@pytest.fixture()
+def few_vectors(spark, tmp_path):
+    """Vectors of several labels, one of them null, in two far groups that cross the labels."""
+    rows = [(k, [float((k * (i + 3) * 7) % 11) + (100.0 * i if k % 2 else 0.0) for i in range(6)], (3, 3, 1, 0, None)[k % 5]) for k in range(15)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    return {r[0]: r[1] for r in rows}, str(tmp_path)
+
+
+def test_all_pairs_of_all_labels(spark, few_vectors):
+    vectors, folder = few_vectors
+    rough = {k: math.dist(x[1:], x[:-1]) for k, x in vectors.items()}
+    want = {(a, b): math.dist(vectors[a], vectors[b]) * max(rough[a], rough[b]) / min(rough[a], rough[b]) if min(rough[a], rough[b]) else None for a, b in combinations(sorted(vectors), 2)}
+    got = {(r.a, r.b): r.distance for r in registry.QUERIES["join_cid_whole"](spark, folder).collect()}
+    assert got.keys() == want.keys()
+    for pair, far in want.items():
+        assert got[pair] is None if far is None else got[pair] == pytest.approx(far, abs=2e-5)
+
+
+def test_vectors_of_all_labels_are_clustered(spark, few_vectors):
+    vectors, folder = few_vectors
+    rows = registry.QUERIES["cluster_series"](spark, folder).collect()
+    assert {r.id for r in rows} == set(vectors) and {r.cluster for r in rows} == {0, 1, 2, 3}
