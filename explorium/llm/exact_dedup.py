@@ -222,7 +222,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with their own columns. Rows that repeat id, text and all count as one document here."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col])
+    """The documents that stay, with their own columns: one row for each text without white space, whatever its id.
 
+    Rows are told by digest, code points and id together. Of rows that have all three in common any one stays.
+    """
+    index = build_index(digests(docs, id_col, text_col))
+    kept = index.select(_row_key(F.lower(F.hex("digest")), F.col("n"), F.col("id")).alias("__key"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = F.sha2(F.translate(text, _DROPPED.decode(), "").cast("binary"), 256)
+    rows = docs.withColumn("__key", _row_key(own, F.char_length(text), F.col(id_col)))
+    return rows.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+
+
+def _row_key(digest, n, key):
+    """As text, so that a null id is a value of its own and one join key says all."""
+    return F.concat(digest, F.lit(":"), n.cast("string"), F.coalesce(F.concat(F.lit(":"), key.cast("string")), F.lit("")))

@@ -13,7 +13,7 @@ score 0, as is everything when nothing can be learned from. A single language le
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -145,6 +145,16 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "do
     return LanguageModel.fit(x, [r[0] for r in got])
 
 
+def _told(texts: Iterable[str | None], model: LanguageModel) -> list[tuple[str, float]]:
+    """Language and score of each text; one without letters is unknown."""
+    texts = list(texts)
+    said = [(UNKNOWN, 0.0)] * len(texts)
+    if where := [i for i, t in enumerate(texts) if has_letter(t)]:
+        for i, s in zip(where, model.predict(np.stack([features(texts[i]) for i in where])), strict=True):
+            said[i] = s
+    return said
+
+
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score for every row. The model has WIDTH numbers per family and pair, so its size is bounded."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -152,11 +162,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                texts = [t.as_py() for t in b.column(1).slice(at, 256)]
-                said = [(UNKNOWN, 0.0)] * len(texts)
-                if where := [i for i, t in enumerate(texts) if has_letter(t)]:
-                    for i, s in zip(where, shared.value.predict(np.stack([features(texts[i]) for i in where])), strict=True):
-                        said[i] = s
+                said = _told((t.as_py() for t in b.column(1).slice(at, 256)), shared.value)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], ["id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -179,6 +185,14 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language is told, with their own columns. Null ids are told by id too, all or none."""
-    known = identify(docs).where(F.col("lang_pred") != UNKNOWN).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(known, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """The documents whose language is told, with their own columns. Each row is told by its own text, whatever its id."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs.where(~held_out())))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, 256):
+                part = b.slice(start, 256)
+                yield part.filter(pa.array([s[0] != UNKNOWN for s in _told((t.as_py() for t in part.column(at)), shared.value)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
