@@ -14,8 +14,9 @@ they meet, and one link for two components comes out. So the components are thos
 is written grows with the members of buckets, not with their pairs. Buckets of over ``BLOCK`` members are dealt out in
 blocks; the second round takes each pair of blocks, so no task ever holds a whole hot bucket.
 
-Null and empty texts, and null ids, are linked with nothing. Rows that repeat an id are one node. Extra columns are
-not read. Empty tables give empty results.
+Null and empty texts, and null ids, are linked with nothing. A node is a class, whatever ids its documents have, so
+rows that repeat an id with other texts are linked each by its own text. Extra columns are not read. Empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -113,7 +114,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = b.column(1).cast(pa.large_string()).cast(pa.large_binary())
         for at in range(0, len(texts), 512):
             s = [shingles(t.as_py(), known).tobytes() for t in texts.slice(at, 512)]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 512), pa.array(s, pa.binary())], ["id", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 512), pa.array(map(xxhash.xxh3_128_digest, s), pa.binary()), pa.array(s, pa.binary())], ["id", "whole", "s"])
 
 
 def estimates(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -252,34 +253,44 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: id (a whole number), n_shingles, component_id, kept.
 
-    A null id has a null component and is kept. Of rows that repeat an id with other texts, each has its own class
-    and one of the texts stands for the id in comparisons.
+    A null id has a null component and is kept. The component is named by its least id. Of rows that repeat an id with
+    other texts, each has the component of its own text.
     """
     scratch = Scratch(docs.sparkSession, "near")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     seen = scratch.save(texts.mapInArrow(_features, "id long, n long, whole binary, packed binary, bands array<bigint>"), "features")
     classes = seen.where("n > 0 and id is not null").groupBy("whole").agg(F.min("id").alias("rep"))
-    members = seen.select("id", "n", "whole").join(classes, "whole", "left")
-    members = scratch.save(members.select("id", "n", "rep"), "members")
-    nodes = scratch.save(seen.join(classes, (seen["whole"] == classes["whole"]) & (seen["id"] == classes["rep"]), "left_semi").dropDuplicates(["id"]), "nodes")
+    first = seen.join(classes.withColumnRenamed("rep", "id"), ["whole", "id"], "left_semi").dropDuplicates(["whole"])
+    # the number of a class; written, so it stays
+    nodes = scratch.save(first.withColumnRenamed("id", "rep").withColumn("id", F.monotonically_increasing_id()), "nodes")
+    members = seen.select(F.col("id").alias("doc"), "n", "whole").join(nodes.select("whole", "id", "rep"), "whole", "left")
+    members = scratch.save(members.select("doc", "n", "id", "rep"), "members")
     keys = nodes.select("id", F.posexplode("bands").alias("band", "key")).withColumn("band", F.col("band").cast("long"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     groups = scratch.save(keys.join(shared, "key"), "groups")
-    wanted = groups.select("id").distinct()
-    sets = scratch.save(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, "id long, s binary"), "sets")
+    wanted = nodes.join(groups.select("id").distinct(), "id", "left_semi").select(F.col("rep").alias("id"), "whole", F.col("id").alias("node"))
+    sets = texts.join(wanted.select("id").distinct(), "id", "left_semi").distinct().mapInArrow(_sets, "id long, whole binary, s binary").dropDuplicates(["id", "whole"])
+    sets = scratch.save(sets.join(wanted, ["id", "whole"]).select(F.col("node").alias("id"), "s"), "sets")
     pairs = _dealt(groups, nodes, None).mapInArrow(_nearest, "a long, b long").distinct()
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     links = scratch.save(both.select("a", "b", "x", "y").mapInArrow(_confirmed, "a long, b long"), "first")
-    comps = connected_components(links, scratch, "half")
-    meeting = _dealt(groups, nodes, comps).mapInArrow(_meeting, ROWS_OUT)
+    comps = _named(links, nodes, scratch, "half")
+    meeting = _dealt(groups, nodes, comps.select("node", "component")).mapInArrow(_meeting, ROWS_OUT)
     met = _sorted(meeting.join(sets, "id")).mapInArrow(_met, "a long, b long")
     more = scratch.save(met, "second")
-    comps = connected_components(links.union(more), scratch, "full")
-    out = members.join(comps, members["rep"] == comps["node"], "left")
-    out = out.withColumn("component_id", F.coalesce("component", "rep", "id")).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    comps = _named(links.union(more), nodes, scratch, "full")
+    out = members.join(comps, members["id"] == comps["node"], "left")
+    out = out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "rep", "doc").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
+def _named(links: DataFrame, nodes: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
+    """node, component (of classes) and the least id in it: classes are ordered by their least ids, then by number."""
+    end = lambda c: nodes.select(F.col("id").alias(c), F.struct("rep", "id").alias(f"of_{c}"))
+    ends = links.join(end("a"), "a").join(end("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    return connected_components(ends, scratch, tag).select(F.col("node.id").alias("node"), F.col("component.id").alias("component"), F.col("component.rep").alias("least"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents of which none earlier is a near duplicate, with their own columns."""
     kept = near_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__id")).distinct()

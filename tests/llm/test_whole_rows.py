@@ -1,6 +1,6 @@
 """Rows that share an id or have none are told by their own texts."""
 
-from explorium.llm import exact_dedup, lang_id
+from explorium.llm import exact_dedup, lang_id, near_dedup
 
 
 def test_one_row_of_each_text_stays_whatever_its_id(spark):
@@ -19,3 +19,12 @@ def test_language_of_each_row_whatever_its_id(spark):
     got = lang_id.identified(docs)
     assert got.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text) for r in got.where("doc_id is null or doc_id < 10").collect()) == [(0, "more words"), (1, "words of a text"), (2, "mots d'un texte")]
+
+
+def test_near_links_of_every_text_of_a_repeated_id(spark):
+    word = lambda t, k: f"{t}{k}"
+    a, b, c = (" ".join(word(t, k) for k in range(60)) for t in "abc")
+    rows = [(1, a), (1, b), (7, b), (5, b), (5, c), (9, b + " more"), (12, a + " more"), (3, c + " more"), (20, "none of these words"), (None, "nor of these words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_dedup(docs).collect()}
+    assert got == {(1, 56, 1), (7, 56, 1), (5, 56, 1), (5, 56, 3), (9, 57, 1), (12, 57, 1), (3, 57, 3), (20, 1, 20), (None, 1, None)}
