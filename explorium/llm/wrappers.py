@@ -41,20 +41,36 @@ ASIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside "
     "comment comments disqus respond cookie cookies consent notice banner alert popup modal newsletter subscribe subscription signup login share sharing social related recommended pagination pager widget toolbar skip".split())
 MAIN_NAMES = frozenset("main article content post entry story".split())
+#: Tags and names whose content is never the article; other marks may stand on a wrapper of the whole page.
+NEVER = frozenset("head nav footer aside menu dialog title".split())
+NEVER_NAMES = frozenset("nav navbar navigation menu breadcrumb breadcrumbs footer cookie cookies consent pagination pager toolbar skip".split())
+FIRM = 1000
 _WORDS = re.compile(r"[a-z]+")
+_STATE = frozenset("has with no without".split())
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """Tag with its names, whether it's outside the article, whether it is named as the article."""
-    words = [w for m in _NAMED.finditer(attributes) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower())] if attributes else []
+def _label(tag: str, attributes: str, inner: bool) -> tuple[str, int, bool]:
+    """Tag with its names, its mark (0: none, 1, or FIRM where nothing below can be the article), whether it is named as the article. inner: it stands in an article."""
+    names = [_WORDS.findall(n) for m in _NAMED.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").lower().split()] if attributes else []
+    words = [w for n in names for w in n]
     main = tag in ("article", "main") or "main" in words or "article" in words
-    out = not main and (tag in OUTSIDE or any(w in ASIDE_NAMES for w in words))
+    # "has-sidebar" says what the element holds, not what it is
+    said = {w for n in names if not _STATE & set(n) for w in n} - ({"header"} if inner else set())
+    out = 0
+    if not main and tag not in ("html", "body"):
+        out = FIRM if tag in NEVER or said & NEVER_NAMES else 1 if tag in OUTSIDE or said & ASIDE_NAMES else 0
+    if tag == "header":
+        out = 0 if inner else FIRM
     return tag + "".join("." + w for w in words[:3]), out, main
 
 
-def blocks(page: str) -> Iterator[tuple[str, tuple[str, ...], bool, str]]:
-    """Items of a page: ("<" or ">", path, outside, label) of containers, ("b", path, outside, label) of leaf starts, ("t", path, outside, text) of text blocks."""
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, label, outside, within an article
+def blocks(page: str) -> Iterator[tuple[str, tuple[str, ...], int, str]]:
+    """Items of a page: ("<" or ">", path, outside, label) of containers, ("b", path, outside, label) of leaf starts, ("t", path, outside, text) of text blocks.
+
+    outside: 0 if nothing above is marked, else the sum of the marks. An article that isn't in another one lifts the
+    marks of its wrappers, unless one is firm; its label then starts with "^".
+    """
+    stack: list[tuple[str, str, int, bool]] = []  # tag, label, outside, within an article
     text: list[str] = []
 
     def flush():
@@ -63,7 +79,7 @@ def blocks(page: str) -> Iterator[tuple[str, tuple[str, ...], bool, str]]:
         return said
 
     def where():
-        return tuple(s[1] for s in stack), bool(stack and stack[-1][2])
+        return tuple(s[1] for s in stack), stack[-1][2] if stack else 0
 
     for m in _TOKEN.finditer(page):
         if m[5] is not None:
@@ -91,14 +107,12 @@ def blocks(page: str) -> Iterator[tuple[str, tuple[str, ...], bool, str]]:
                     if top[0] == tag:
                         break
         else:
-            label, out, main = _label(tag, m[4] or "")
-            inner = bool(stack and stack[-1][3])
-            if tag == "header" and not inner:
-                out = True
-            elif tag == "header":
-                out = False
+            inner, above = bool(stack and stack[-1][3]), stack[-1][2] if stack else 0
+            label, out, main = _label(tag, m[4] or "", inner)
+            if main and not inner and 0 < above < FIRM:
+                label, above = "^" + label, 0
             yield "<", *where(), label
-            stack.append((tag, label, bool(stack and stack[-1][2]) or out, inner or main))
+            stack.append((tag, label, above + out, inner or main and above < FIRM))
     if said := flush():
         yield "t", *where(), said
 
@@ -216,9 +230,9 @@ def region(wrapper: list) -> str:
     for path, n in mass.items():
         steps = path.split(">")
         for k, step in enumerate(steps):
-            if step.split(".")[0] in ("article", "main") or {"main", "article"} & set(step.split(".")[1:]):
+            if step.lstrip("^").split(".")[0] in ("article", "main") or {"main", "article"} & set(step.split(".")[1:]):
                 top = ">".join(steps[: k + 1])
-                named[top] = named.get(top, 0) + n
+                named[top] = named.get(top, 0) + (n / 4 if "^" in top else n)
                 break
     if named:
         return max(sorted(named), key=named.get)
@@ -227,8 +241,10 @@ def region(wrapper: list) -> str:
 
 
 def main_text(page: str, home: str) -> str:
-    """The article of a page: text blocks below the region and outside of excluded parts."""
-    texts = [(">".join(path), what) for kind, path, outside, what in blocks(page) if kind == "t" and not outside]
+    """The article of a page: text blocks below the region and outside of excluded parts. If all is excluded, what is excluded least and not firmly."""
+    every = [(">".join(path), outside, what) for kind, path, outside, what in blocks(page) if kind == "t" and outside < FIRM]
+    least = min((outside for _, outside, _ in every), default=0)
+    texts = [(path, what) for path, outside, what in every if outside == least]
     found = [what for path, what in texts if home and (path == home or path.startswith(home + ">"))]
     if not found and texts:
         own = region([["#", None, path, len(what)] for path, what in texts])
