@@ -5,8 +5,8 @@ a unit fold into a repeated group. Two sequences are aligned; what both have sta
 that differ become slots. Aligning a host's pages one after another gives its wrapper, and wrappers align like pages:
 each task folds its own pages by host, and a host's partial wrappers (one a task at most) are folded after a shuffle.
 
-A wrapper says where the host keeps its article: the container named so, else the one whose slots hold most text that
-differs between pages and stands outside menus, headers, footers, side bars, notices, adverts, forms and comments. Of
+A wrapper says where the host keeps its article: the container named so, else the lowest one that holds nearly all text
+outside menus, headers, footers, side bars, notices, adverts, forms and comments; text that differs between pages counts most. Of
 a page, the text blocks in that container and outside such parts are the main text; a page that lacks the container is
 read by its own structure in the same way.
 
@@ -46,6 +46,8 @@ NEVER = frozenset("head nav footer aside menu dialog title".split())
 NEVER_NAMES = frozenset("nav navbar navigation menu breadcrumb breadcrumbs footer cookie cookies consent pagination pager toolbar skip".split())
 FIRM = 1000
 _WORDS = re.compile(r"[a-z]+")
+#: Containers that may hold a whole article, and the share of a page's text that is nearly all.
+WRAPPING, NEARLY_ALL = frozenset("html body section div form fieldset".split()), 0.98
 _STATE = frozenset("has with no without".split())
 
 
@@ -216,7 +218,7 @@ def hash_of(text: str) -> str:
 
 
 def region(wrapper: list) -> str:
-    """The path of the container that holds the article; empty if no text lies outside the excluded parts."""
+    """The path of the container that holds the article: the one named so with most text, else the lowest that holds nearly all text outside the excluded parts; empty if that is the whole page."""
     mass: dict[str, float] = {}
     todo = list(wrapper)
     while todo:
@@ -232,12 +234,21 @@ def region(wrapper: list) -> str:
         for k, step in enumerate(steps):
             if step.lstrip("^").split(".")[0] in ("article", "main") or {"main", "article"} & set(step.split(".")[1:]):
                 top = ">".join(steps[: k + 1])
+                # in a marked wrapper, as teasers are: counts less than one that isn't
                 named[top] = named.get(top, 0) + (n / 4 if "^" in top else n)
                 break
     if named:
         return max(sorted(named), key=named.get)
-    likely = {p: n * (2 if MAIN_NAMES & set(re.split(r"[.>]", p)) else 1) for p, n in mass.items()}
-    return max(sorted(likely), key=likely.get) if likely else ""
+    below: dict[str, float] = {}
+    for path, n in mass.items():
+        steps = path.split(">")
+        for k, step in enumerate(steps):
+            if step.split(".")[0] not in WRAPPING:
+                break
+            top = ">".join(steps[: k + 1])
+            below[top] = below.get(top, 0) + n
+    whole = [p for p, n in below.items() if n >= NEARLY_ALL * sum(mass.values())]
+    return max(sorted(whole), key=lambda p: p.count(">"), default="")
 
 
 def main_text(page: str, home: str) -> str:
@@ -248,7 +259,7 @@ def main_text(page: str, home: str) -> str:
     found = [what for path, what in texts if home and (path == home or path.startswith(home + ">"))]
     if not found and texts:
         own = region([["#", None, path, len(what)] for path, what in texts])
-        found = [what for path, what in texts if path == own or path.startswith(own + ">")]
+        found = [what for path, what in texts if not own or path == own or path.startswith(own + ">")]
     return " ".join(found)
 
 

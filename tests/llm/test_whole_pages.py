@@ -5,6 +5,7 @@ import pytest
 from explorium.llm import wrappers
 
 ARTICLE = "<article><div class='post-header'><h1>Title</h1></div><p>First words.<div class='related'><article>teaser</article></div><p>Last words.</article>"
+LIST = "<ul>" + "<li>a long item of a list" * 20 + "</ul>"
 
 
 def told(page):
@@ -21,3 +22,15 @@ def test_articles_in_marked_wrappers(page):
 def test_pages_that_are_all_excluded():
     assert told("<body><form><div class='sidebar'>side</div><div class='text'><p>One.<p>Two.</div><nav>menu</nav></form></body>") == "One. Two."
     assert told("<body><nav>menu</nav><div class='footer'>foot</div></body>") == ""
+
+
+def test_all_blocks_without_a_named_article(spark):
+    listed = "a long item of a list " * 19 + "a long item of a list"
+    pages = {
+        "<body><nav>m</nav><div id='content'><p>Before.</p>" + LIST + "<p>After.</p></div></body>": f"Before. {listed} After.",
+        "<body><div class='intro'><p>The first part</p></div><div class='body'><p>" + "the second part " * 9 + "</p></div><div class='ad'>buy</div></body>": "The first part" + " the second part" * 9,
+        "<body><div class='a'><blockquote>" + "long quote " * 30 + "</blockquote><p>Said so.</p></div></body>": "long quote " * 30 + "Said so.",
+    }
+    rows = [(k, f"http://h{k}.org/", page) for k, page in enumerate(pages)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(pages.values()))
