@@ -1,12 +1,14 @@
 """Licence scan: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph is a sentence of a line, or two neighbouring ones. Its features are the word unigrams and bigrams that
+A paragraph is a sentence of a line, or two neighbouring ones, or words of neighbouring lines without a blank one
+between, as many as a template has and a few more. Its features are the word unigrams and bigrams that
 occur in the templates; a paragraph without any is unknown at once, which is what the classifier says of it too. A
 sparse multinomial logistic regression over licence families and the class ``unknown`` is trained on the templates,
 cut and varied by a seeded generator, against shuffled template words and ``NEGATIVE`` paragraphs of the documents
 (those of least hash among the ones without any licence word). A temperature fitted on variants kept apart calibrates
 the probabilities. A prediction holds if the family's probability reaches ``SURE`` and the paragraph contains one of
-the family's phrases: enough of the phrase's word bigrams, and the words that tell the family from its neighbours.
+the family's phrases: enough of the phrase's word bigrams, and the words that tell the family from its neighbours. There,
+any version is like any other.
 
 A document's result is its families in order of first mention. Null and empty texts have none. Whole texts are read.
 Rows that repeat an id are separate. Empty tables give empty results; extra columns are not read.
@@ -62,6 +64,68 @@ def paragraphs(text: str) -> Iterator[str]:
             yield f"{a} {b}"
 
 
+_MARKS = " \t\r\x0b\x0c*#/;%-=<!>{}"
+_NUMBER = re.compile(r"v?[0-9]+")
+#: Words that a wrapped notice may have beyond its template's.
+SLACK = 4
+
+
+def plain_words(words: list[str]) -> list[tuple[str, int]]:
+    """Words for comparison with the place of each: a version is one "0", with the v before and the only, or later after it; GNU GPL is GPL."""
+    out: list[tuple[str, int]] = []
+    for i, w in enumerate(words):
+        after = words[i + 1] if i + 1 < len(words) else ""
+        if w == "v" and _NUMBER.fullmatch(after) or w == "gnu" and after in ("gpl", "lgpl", "agpl"):
+            continue
+        if out and out[-1][0] == "0" and (_NUMBER.fullmatch(w) or w == "only" or (w == "or" and after in ("later", "newer")) or (w in ("later", "newer") and words[i - 1] == "or")):
+            continue
+        out.append(("0" if _NUMBER.fullmatch(w) else w, i))
+    return out
+
+
+def _pairs(text: str) -> list[tuple[str, str]]:
+    words = [w for w, _ in plain_words(_WORD.findall(text.lower()))]
+    return list(zip(words, words[1:], strict=False))
+
+
+def _templates() -> tuple[list[tuple[set, int]], dict]:
+    """Of each template its bigrams and length; the templates of each bigram."""
+    every = [(set(two), len(two) + 1) for texts in TEMPLATES.values() for t in texts if (two := _pairs(t))]
+    return every, {two: [k for k, (own, _) in enumerate(every) if two in own] for own, _ in every for two in own}
+
+
+_EVERY, _HOLDERS = _templates()
+
+
+def wrapped(lines: list[list[str]]) -> Iterator[tuple[int, int, str]]:
+    """First and last line, and the words, of what holds most of a template across lines. lines: the words of neighbouring lines."""
+    words, line = [w for x in lines for w in x], [k for k, x in enumerate(lines) for _ in x]
+    told = plain_words(words)
+    places: dict[int, list[int]] = {}
+    for i in range(len(told) - 1):
+        for k in _HOLDERS.get((told[i][0], told[i + 1][0]), ()):
+            places.setdefault(k, []).append(i)
+    found = set()
+    for k, at in places.items():
+        own, length = _EVERY[k]
+        if len(at) < CONTAINED * len(own):
+            continue
+        end, a = -1, 0
+        while a < len(at):
+            if at[a] <= end:
+                a += 1
+                continue
+            inside = [i for i in at[a:a + 2 * length] if i + 1 < at[a] + length + SLACK]
+            if len({(told[i][0], told[i + 1][0]) for i in inside}) >= CONTAINED * len(own):
+                end = inside[-1]
+                first, last = told[at[a]][1], told[min(end + 1, len(told) - 1)][1]
+                if line[first] != line[last]:
+                    found.add((first, last))
+            a += 1
+    for first, last in sorted(found):
+        yield line[first], line[last], " ".join(words[first : last + 1])
+
+
 def grams(text: str) -> list[str]:
     words = _WORD.findall(text.lower())
     return words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
@@ -83,15 +147,17 @@ class LicenseModel:
         e = np.exp((x - x.max(axis=1, keepdims=True)) / self.temperature)
         return e / e.sum(axis=1, keepdims=True)
 
+    def ruled_out(self, family: str, paragraph: str) -> bool:
+        words = set(_WORD.findall(paragraph.lower()))
+        return bool(family in TELLING and not TELLING[family] & words or OTHERS.get(family, set()) & words)
+
     def confirmed(self, family: str, paragraph: str) -> bool:
         """Whether the paragraph contains most bigrams of a template of the family and what tells it from others."""
-        words = _WORD.findall(paragraph.lower())
-        if family in TELLING and not TELLING[family] & set(words) or OTHERS.get(family, set()) & set(words):
+        if self.ruled_out(family, paragraph):
             return False
-        own = set(zip(words, words[1:], strict=False))
+        own = set(_pairs(paragraph))
         for t in TEMPLATES[family]:
-            w = _WORD.findall(t.lower())
-            two = set(zip(w, w[1:], strict=False))
+            two = set(_pairs(t))
             if two and len(two & own) >= CONTAINED * len(two):
                 return True
         return False
@@ -100,11 +166,20 @@ class LicenseModel:
         v = self.vector(paragraph)
         if not v:
             return UNKNOWN, 1.0
-        p = self.scores([v])[0]
-        best = int(p.argmax())
-        if self.families[best] != UNKNOWN and p[best] >= SURE and self.confirmed(self.families[best], paragraph):
-            return self.families[best], float(p[best])
-        return UNKNOWN, float(p[self.families.index(UNKNOWN)])
+        words = _WORD.findall(paragraph.lower())
+        plain = [w for w, _ in plain_words(words) if w != "0"]
+        first = None
+        for x in [v, *([self.vector(" ".join(plain))] if len(plain) < len(words) else [])]:  # versions of no template, left out
+            p = self.scores([x])[0]
+            first = p if first is None else first
+            if self.families[int(p.argmax())] != UNKNOWN and self.ruled_out(self.families[int(p.argmax())], paragraph):
+                # what the words rule out leaves its probability to the others
+                p = np.where([f != UNKNOWN and self.ruled_out(f, paragraph) for f in self.families], 0, p)
+                p = p / p.sum()
+            best = int(p.argmax())
+            if self.families[best] != UNKNOWN and p[best] >= SURE and self.confirmed(self.families[best], paragraph):
+                return self.families[best], float(p[best])
+        return UNKNOWN, float(first[self.families.index(UNKNOWN)])
 
 
 def train(negatives: list[str], seed: int = 11) -> LicenseModel:
@@ -179,19 +254,31 @@ def scan(docs: DataFrame, model: LicenseModel | None = None, id_col: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         singles = {g for g in m.vocabulary if " " not in g}
-        # a paragraph that is told has a bigram of a template, so a line without two neighbouring template words has none
+        # a paragraph that is told has a bigram of a template, so a line without two neighbouring template words has none of its own
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 rows = []
                 for t in b.column(1).slice(at, 256):
                     found: list[tuple[str, float]] = []
-                    for line in (t.as_py() or "").split("\n"):
+                    run_of: list[list[str]] = []
+                    own: list[tuple[int, str, float]] = []
+                    for line in [*(t.as_py() or "").split("\n"), ""]:
                         words = _WORD.findall(line.lower())
-                        hit = [w in singles for w in words]
-                        if not any(a and c and f"{words[i]} {words[i + 1]}" in m.vocabulary for i, (a, c) in enumerate(zip(hit, hit[1:], strict=False))):
+                        if not words and line.strip(_MARKS):
+                            words = [""]  # a line of other signs or letters is no blank one
+                        if not words:  # a run of lines has ended
+                            if len(run_of) > 1:
+                                for a, z, text in wrapped(run_of):
+                                    name, p = m.tell(text)
+                                    if name != UNKNOWN and not any(a <= k <= z and name == n for k, n, _ in own):
+                                        own.append((a, name, p))
+                            found += [(n, p) for _, n, p in sorted(own, key=lambda x: x[0])]
+                            run_of, own = [], []
                             continue
-                        line_found = [m.tell(p) for p in paragraphs(line)]
-                        found += [f for f in line_found if f[0] != UNKNOWN]
+                        run_of.append(words)
+                        hit = [w in singles for w in words]
+                        if any(a and c and f"{words[i]} {words[i + 1]}" in m.vocabulary for i, (a, c) in enumerate(zip(hit, hit[1:], strict=False))):
+                            own += [(len(run_of) - 1, *f) for p in paragraphs(line) if (f := m.tell(p))[0] != UNKNOWN]
                     names = list(dict.fromkeys(f[0] for f in found))
                     rows.append((names[0] if names else None, names, max(f[1] for f in found if f[0] == names[0]) if names else None, len(found)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.list_(pa.string()), pa.float64(), pa.int64()), strict=True))], ["id", "license", "licenses", "score", "n_paragraphs"])
