@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +16,9 @@ def long_form(df: DataFrame, key: list[str], series: str) -> DataFrame:
     return df.select(*key, F.posexplode(series).alias("t", "value"))
 
 
-def replications(df: DataFrame, key: str, series: str) -> DataFrame:
-    """Mean over the rows of a key, by position in the array."""
-    return long_form(df, [key], series).groupBy(key, "t").agg(F.avg("value").alias("value")).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda x: x["value"]).alias(series))
+def replications(df: DataFrame, key: str, series: str, reducer: Callable[[Column], Column] = F.avg) -> DataFrame:
+    """The mean, or another aggregate, over the rows of a key, by position in the array."""
+    return long_form(df, [key], series).groupBy(key, "t").agg(reducer(F.col("value")).alias("value")).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda x: x["value"]).alias(series))
 
 
 def robustness(df: DataFrame, policy: str, outcome: str) -> DataFrame:
@@ -52,10 +55,75 @@ def kde(df: DataFrame, by: list[str], column: str, points: int = 50) -> DataFram
     return x.groupBy(*by, "i").agg(F.min("at").alias("at"), (F.sum(F.exp(-0.5 * z * z)) / (F.min("n") * F.min(h) * math.sqrt(2 * math.pi))).alias("density"))
 
 
+def ranked(df: DataFrame, by: list[str], column: str, wanted: Column | None = None, cuts: int = 32) -> DataFrame:
+    """``df`` with __rank (from 0, by the column within the group, nulls first) and __n (rows of the group).
+
+    A group is cut into ranges between its approximate quantiles; ranks run within a range and start at the rows of the
+    ranges before it, so a group of any size is many tasks' work. Cuts change no result. ``wanted``: ranks to keep, an
+    array made of __n; ranges without one are left out before anything is sorted.
+    """
+    key = [F.col(c).alias(f"__g{k}") for k, c in enumerate(by)]
+    names = [f"__g{k}" for k in range(len(by))]
+    shares = [k / cuts for k in range(1, cuts)]
+    edges = df.groupBy(*key).agg(F.percentile_approx(column, shares, 1000).alias("__edges"))
+
+    def matched(a: DataFrame, b: DataFrame, left: list, right: list) -> DataFrame:
+        same = F.lit(True)
+        for x, y in zip(left, right, strict=True):
+            same = same & x.eqNullSafe(y)
+        return a.join(b, same).drop(*right)
+
+    out = matched(df, edges, [F.col(c) for c in by], [edges[c] for c in names])
+    out = out.withColumn("__range", F.coalesce(F.size(F.filter("__edges", lambda e: e < F.col(column))), F.lit(0))).drop("__edges")
+    sums = out.groupBy(*key, F.col("__range").alias("__r")).agg(F.count(F.lit(1)).alias("__rows"))
+    group = Window.partitionBy(*names)
+    sums = sums.withColumn("__n", F.sum("__rows").over(group)).withColumn("__ahead", F.sum("__rows").over(group.orderBy("__r")) - F.col("__rows"))
+    if wanted is not None:
+        sums = sums.where(F.exists(wanted, lambda r: (r >= F.col("__ahead")) & (r < F.col("__ahead") + F.col("__rows"))))
+    sums = sums.drop("__rows")
+    out = matched(out, sums, [F.col(c) for c in by] + [F.col("__range")], [sums[c] for c in names] + [sums["__r"]])
+    out = out.withColumn("__rank", F.col("__ahead") + F.row_number().over(Window.partitionBy(*by, "__range").orderBy(column)) - 1).drop("__range", "__ahead")
+    return out if wanted is None else out.where(F.array_contains(wanted, F.col("__rank")))
+
+
+def quantiles(df: DataFrame, by: list[str], column: str, shares: list[float]) -> DataFrame:
+    """Group, n and q, an array of the exact quantiles: low + (high - low) * part, of the two values around the rank and the part of the way between them."""
+    place = [(F.col("__n") - 1) * F.lit(p) for p in shares]
+    wanted = F.array_distinct(F.array(*[f(r).cast("long") for r in place for f in (F.floor, F.ceil)]))
+    few = ranked(df.where(F.col(column).isNotNull()).select(*by, column), by, column, wanted)
+    value = lambda r: F.max(F.when(F.col("__rank") == r.cast("long"), F.col(column)))
+    ends = [x for k, r in enumerate(place) for x in (value(F.floor(r)).alias(f"__lo{k}"), value(F.ceil(r)).alias(f"__hi{k}"))]
+    out = few.groupBy(*by).agg(F.max("__n").alias("__n"), *ends)
+    each = [F.col(f"__lo{k}") + (F.col(f"__hi{k}") - F.col(f"__lo{k}")) * (r - F.floor(r)) for k, r in enumerate(place)]
+    return out.select(*by, F.col("__n").alias("n"), F.array(*each).alias("q"))
+
+
 def cdf(df: DataFrame, by: str, column: str) -> DataFrame:
     """Rank share before each value within a class."""
-    w = Window.partitionBy(by)
-    return df.select(by, column, ((F.row_number().over(w.orderBy(column)) - 1).cast("double") / F.count(F.lit(1)).over(w)).alias("f"))
+    return ranked(df.select(by, column), [by], column).select(by, column, (F.col("__rank").cast("double") / F.col("__n")).alias("f"))
+
+
+def cdf_set(df: DataFrame, columns: list[str], classes: str, complement: bool = False) -> DataFrame:
+    """For regional sensitivity: of each number column and each class of a column, and of all rows together (class null): value and the share of values up to it, or beyond it with ``complement``."""
+    long = df.select(F.col(classes).cast("string").alias("class"), F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("double").alias("value")) for c in columns])).alias("v")).select("class", "v.*")
+    long = long.where("value is not null")
+    every = long.where("class is not null").unionByName(long.withColumn("class", F.lit(None).cast("string")))
+    share = (F.col("__rank") + 1) / F.col("__n")
+    return ranked(every, ["dimension", "class"], "value").select("dimension", "class", "value", (1 - share if complement else share).alias("f"))
+
+
+def discrete_cdf_set(df: DataFrame, columns: list[str], classes: str, complement: bool = False) -> DataFrame:
+    """The same for categories: dimension, class (null: all rows), category, its share, and the running share in the order of the categories over all rows, rarest first."""
+    long = df.select(F.col(classes).cast("string").alias("class"), F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("category")) for c in columns])).alias("v")).select("class", "v.*")
+    n = long.where("category is not null").groupBy("dimension", "class", "category").agg(F.count(F.lit(1)).alias("n"))
+    whole = n.groupBy("dimension", "category").agg(F.sum("n").alias("n"))
+    order = whole.select("dimension", "category", F.row_number().over(Window.partitionBy("dimension").orderBy("n", "category")).alias("place"))
+    present = n.where("class is not null").select("dimension", "class").distinct()
+    grid = present.join(order, "dimension").join(n, ["dimension", "class", "category"], "left").fillna(0, ["n"])
+    grid = grid.unionByName(whole.join(order, ["dimension", "category"]).withColumn("class", F.lit(None).cast("string")))
+    group = Window.partitionBy("dimension", "class")
+    run = F.sum("n").over(group.orderBy("place")) / F.sum("n").over(group)
+    return grid.select("dimension", "class", "category", (F.col("n") / F.sum("n").over(group)).alias("share"), (1 - run if complement else run).alias("f"))
 
 
 def discrete_cdf(df: DataFrame, by: str, category: str) -> DataFrame:
@@ -81,7 +149,7 @@ def cid(df: DataFrame, key: str, series: str) -> DataFrame:
 
 def pareto(df: DataFrame, objectives: list[str]) -> DataFrame:
     """Rows that no other beats (all maximised). Each partition drops what one of its own beats; then the survivors meet."""
-    values = df.select(*objectives).distinct()
+    values = df.select(*objectives).distinct().mapInArrow(_local_front, df.select(*objectives).schema).distinct()
     best = values
     if len(objectives) == 2:  # a sorted sweep: kept if above the running maximum of the second
         one, two = objectives
@@ -98,6 +166,24 @@ def pareto(df: DataFrame, objectives: list[str]) -> DataFrame:
     return df.join(best, objectives, "left_semi")
 
 
+def _local_front(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition's rows, those that none beats of the rows kept so far; batch by batch."""
+    held: pa.RecordBatch | None = None
+    for b in batches:
+        rows = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        if not rows.num_rows:
+            continue
+        x = np.stack([rows.column(k).cast(pa.float64()).to_numpy(zero_copy_only=False) for k in range(rows.num_columns)], axis=1)
+        order, front = np.lexsort(-x.T[::-1]), []
+        for i in order:  # what beats a row comes before it
+            kept = x[front]
+            if not ((kept >= x[i]).all(axis=1) & (kept > x[i]).any(axis=1)).any():
+                front.append(i)
+        held = rows.take(pa.array(sorted(front)))
+    if held is not None:
+        yield held
+
+
 def epsilon_nondominated(df: DataFrame, objectives: list[str], epsilons: list[float], key: str) -> DataFrame:
     """One row an epsilon box (the nearest to the box's corner, then the least key), then the boxes no other beats (minimised)."""
     if len(objectives) != len(epsilons):

@@ -1,11 +1,12 @@
 """Boxes over experiment tables: filters, statistics, and the patient rule induction method.
 
-A box maps a column to (low, high) or to a set of categories. Every step of the search is one aggregation over the
-data; only limits and counts come to the driver.
+A box maps a column to (low, high) or to a set of categories. Every step of the search is a few aggregations over the
+data; only limits, counts and bins come to the driver.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -63,19 +64,86 @@ def walked_quantile(values: Column, q: float) -> Column:
     return (v + F.coalesce(F.array_max(F.filter(values, lambda x: x < v)), v)) / 2
 
 
+BINS = 1000
+
+
+@dataclass(frozen=True)
+class Bin:
+    """Values from low to high (both occur), how many, and the sum of the outcome over them."""
+
+    low: float
+    high: float
+    n: int
+    total: float
+
+
+@dataclass
+class Spread:
+    """A numeric column over some rows, as bins in order."""
+
+    rows: Column
+    value: Column
+    bins: list[Bin]
+
+    def at(self, q: float) -> int:
+        """The place of the bin that holds the rank of a share: from below up to a half, from above beyond."""
+        rank = (sum(b.n for b in self.bins) - 1) * q
+        rank, before = math.floor(rank) if q <= 0.5 else math.ceil(rank), 0
+        for k, b in enumerate(self.bins):
+            before += b.n
+            if rank < before:
+                return k
+        raise ValueError("a quantile of no rows")
+
+    def quantile(self, q: float) -> float:
+        """Halfway from the value at the rank to the next distinct one, that is above up to a half and below beyond."""
+        k = self.at(q)
+        v = self.bins[k].low
+        if q <= 0.5:
+            return (v + self.bins[k + 1].low) / 2 if k + 1 < len(self.bins) else v
+        return (self.bins[k - 1].high + v) / 2 if k else v
+
+
+def _binned(df: DataFrame, y: str, ranges: list[tuple[Column, Column, float, float]]) -> list[list[Bin]]:
+    """Bins of one width between the limits of each range (rows, value, low, high), empty ones left out; one pass for all, at most BINS rows each come back."""
+    structs = []
+    for i, (rows, value, low, high) in enumerate(ranges):
+        x = value.cast("double")
+        if math.isfinite(high - low) and math.isfinite(BINS / (high - low) if high > low else 0.0):
+            place = F.least(F.lit(BINS - 1), F.floor((x - low) * (BINS / (high - low)))) if high > low else F.lit(0)
+        else:  # no width to count in: only the ends are told from the rest
+            place = F.when(x == low, 0).when(x == high, BINS - 1).otherwise(BINS // 2)
+        structs.append(F.when(rows & x.between(low, high), F.struct(F.lit(i).alias("i"), place.cast("int").alias("place"), x.alias("x"))))
+    long = df.select(y, F.explode(F.array(*structs)).alias("s")).where("s is not null")
+    found = long.groupBy("s.i", "s.place").agg(F.min("s.x").alias("low"), F.max("s.x").alias("high"), F.count(F.lit(1)).alias("n"), F.sum(y).alias("total")).collect()
+    out: list[list[Bin]] = [[] for _ in ranges]
+    for r in sorted(found, key=lambda r: (r.i, r.place)):
+        out[r.i].append(Bin(r.low, r.high, r.n, float(r.total or 0)))
+    return out
+
+
+def spreads(df: DataFrame, y: str, wanted: list[tuple[Column, Column, float, float, tuple[float, ...]]]) -> list[Spread]:
+    """Each column (rows, value, low, high, shares) over its rows, exact at its shares.
+
+    Bins that hold a share's rank are cut again until they hold one value: a pass for columns of few values, some
+    more for others, each for all columns at once. Values never come to the driver, bins do.
+    """
+    out = [Spread(w[0], w[1], bins) for w, bins in zip(wanted, _binned(df, y, [w[:4] for w in wanted]), strict=True)] if wanted else []
+    while True:
+        wide = {(i, s.at(q)) for i, (s, w) in enumerate(zip(out, wanted, strict=True)) if s.bins for q in w[4]}
+        wide = sorted((i, k) for i, k in wide if out[i].bins[k].low != out[i].bins[k].high)
+        if not wide:
+            return out
+        parts = _binned(df, y, [(out[i].rows, out[i].value, out[i].bins[k].low, out[i].bins[k].high) for i, k in wide])
+        for (i, k), bins in reversed(list(zip(wide, parts, strict=True))):
+            out[i].bins[k : k + 1] = bins
+
+
 def quantile(df: DataFrame, column: str, q: float) -> float | None:
-    """The same without gathering values: two exact order statistics and the next distinct value."""
-    n = df.where(F.col(column).isNotNull()).count()
-    if not n:
-        return None
-    rank = (n - 1) * q
-    at = int(rank) if q <= 0.5 else int(-(-rank // 1))
-    v = df.agg(F.expr(f"percentile({column}, {at / (n - 1) if n > 1 else 0.0!r})")).first()[0]
-    # percentile interpolates between neighbours; at a whole rank it is the value itself, up to rounding of the share
-    v = df.agg(F.min_by(column, F.abs(F.col(column) - v))).first()[0]
-    side = F.min(F.when(F.col(column) > v, F.col(column))) if q <= 0.5 else F.max(F.when(F.col(column) < v, F.col(column)))
-    other = df.agg(side).first()[0]
-    return (v + (v if other is None else other)) / 2
+    """``walked_quantile`` of a column of any size."""
+    x = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
+    low, high = x.agg(F.min("x"), F.max("x")).first()
+    return None if low is None else spreads(x, "x", [(F.lit(True), F.col("x"), low, high, (q,))])[0].quantile(q)
 
 
 @dataclass
@@ -87,12 +155,14 @@ class PrimBox:
 class Prim:
     """Peels a share ``alpha`` off the box again and again while the mean of a 0/1 outcome rises, then pastes back.
 
-    Rows in earlier boxes are left out of later searches, or, with ``update`` guivarch, stay as no cases of interest.
+    Rows without an outcome are left out. Rows in earlier boxes are left out of later searches, or, with ``update`` guivarch, stay as no cases of interest.
     """
 
     def __init__(self, df: DataFrame, y: str, columns: list[str], alpha: float = 0.05, mass_min: float = 0.05, objective: str = "lenient1", update: str = "default"):
+        if objective not in ("lenient1", "lenient2", "original") or update not in ("default", "guivarch"):
+            raise ValueError(f"no objective {objective!r} or update {update!r}")
         # read once for all steps; what an executor loses is computed again
-        df = df.select(*columns, y).persist()
+        df = df.select(*columns, y).where(F.col(y).isNotNull()).persist()
         self.df, self.y, self.alpha, self.mass_min, self.objective = df, y, alpha, mass_min, objective
         self.update = update
         self.real = {c for c, k in df.dtypes if k in ("double", "float")}
@@ -107,10 +177,8 @@ class Prim:
             return -1.0
         if self.objective == "original":
             return m2
-        if m2 == m:
+        if m2 == m or n2 == n:  # of the same rows
             return 0.0
-        if n2 == n:
-            raise ValueError("a different mean of as many rows")
         return (m2 - m) / abs(n2 - n) * (n2 if self.objective == "lenient2" else 1)
 
     def entry(self, box: Box, n: int, mean: float) -> dict:
@@ -147,62 +215,75 @@ class Prim:
         row = data.agg(*aggs).first()
         return [(row[f"n{i}"], row[f"m{i}"] or 0.0) for i in range(len(boxes))]
 
-    def _peels(self, data: DataFrame, box: Box) -> list[tuple[Box, int, float]]:
-        """Each box one peel away with its rows and mean: a pass for the quantiles, one for all limits and measures."""
-        inside = in_box(box)
-        numeric = [c for c, v in box.items() if not isinstance(v, frozenset)]
-        cuts = data.where(inside).agg(*[F.percentile_approx(c, [self.alpha, 1 - self.alpha], 10_000).alias(c) for c in numeric]).first() if numeric else {}
-        peels: list[tuple[str, Column, Column | None, object]] = []
-        for c, v in box.items():
-            x = F.col(c)
-            if isinstance(v, frozenset):
-                peels += [(c, inside & (x != F.lit(level)), None, v - {level}) for level in sorted(v, key=str) if len(v) > 1]
-            elif cuts[c]:
-                peels += [(c, inside & (x > cuts[c][0]), F.min, v), (c, inside & (x < cuts[c][1]), F.max, v)]
-        if not peels:
+    def peels(self, box: Box, data: DataFrame | None = None) -> list[tuple[Box, int, float]]:
+        """Each box one peel away with its rows and mean, reals first, then whole numbers, then categories.
+
+        A real's new limit is the exact quantile that steps over ties; a whole number's is the last value that stays, and
+        a limit that the quantile doesn't move loses its own value. All from bins by column, in one pass or a few.
+        """
+        data, inside = self._remaining() if data is None else data, in_box(box)
+        numeric = sorted((c for c, v in box.items() if not isinstance(v, frozenset)), key=lambda c: c not in self.real)
+        found = spreads(data, self.y, [(inside, F.col(c), *box[c], (self.alpha, 1 - self.alpha)) for c in numeric])
+        out = []
+        for c, s in zip(numeric, found, strict=True):
+            for side, q in ((1, 1 - self.alpha), (0, self.alpha)) if s.bins else ():
+                cut = s.quantile(q)
+                real = c in self.real
+                cut = cut if real else int(cut)
+                stays = [b for b in s.bins if (b.high <= cut if side else b.low >= cut)]
+                if not real and cut == box[c][side]:
+                    stays = [b for b in s.bins if (b.high < cut if side else b.low > cut)]
+                n, total = sum(b.n for b in stays), sum(b.total for b in stays)
+                end = stays or s.bins
+                limit = cut if real else int(end[-1].high if side else end[0].low)
+                out.append((box | {c: (box[c][0], limit) if side else (limit, box[c][1])}, n, total / n if n else 0.0))
+        removed = [box | {c: v - {level}} for c, v in box.items() if isinstance(v, frozenset) and len(v) > 1 for level in sorted(v, key=str)]
+        return out + self._measured(data, removed)
+
+    def pastes(self, box: Box, data: DataFrame | None = None) -> list[tuple[Box, int, float]]:
+        """Each box one paste away with its rows and mean.
+
+        Of the rows beyond a limit that are in the box otherwise, the share nearest to it comes in. Nothing is pasted to a
+        box in which no real column is restricted.
+        """
+        data, limited = self._remaining() if data is None else data, restricted(box, self.start)
+        numeric = sorted((c for c in limited if not isinstance(box[c], frozenset)), key=lambda c: c not in self.real)
+        if not any(c in self.real for c in numeric):
             return []
-        aggs = []
-        for i, (c, rows, edge, _) in enumerate(peels):
-            aggs += [F.count_if(rows).alias(f"n{i}"), F.avg(F.when(rows, F.col(self.y))).alias(f"m{i}")]
-            aggs += [edge(F.when(rows, F.col(c))).alias(f"e{i}")] if edge else []
-        row, out = data.agg(*aggs).first(), []
-        for i, (c, _, edge, v) in enumerate(peels):
-            if row[f"n{i}"]:
-                if edge is None:
-                    limit = v
-                else:  # a real's limit lies midway between what goes and what stays; a whole number's is the last that stays
-                    cut, end = cuts[c][0 if edge is F.min else 1], row[f"e{i}"]
-                    end = (cut + end) / 2 if c in self.real else end
-                    limit = (end, v[1]) if edge is F.min else (v[0], end)
-                out.append((box | {c: limit}, row[f"n{i}"], row[f"m{i}"] or 0.0))
-        return out
-
-    def _pastes(self, data: DataFrame, box: Box) -> list[tuple[Box, int, float]]:
-        """Each box one paste away with its rows and mean."""
+        ends = [(c, side, (self.start[c][0], box[c][0]) if side == 0 else (box[c][1], self.start[c][1])) for c in numeric for side in (0, 1)]
+        shares = (1 - self.alpha, self.alpha)
+        found = spreads(data, self.y, [(in_box(box | {c: beyond}), F.col(c), *beyond, (shares[side],)) for c, side, beyond in ends])
         out: list[Box] = []
-        for c in restricted(box, self.start):
-            if isinstance(box[c], frozenset):
-                out += [box | {c: box[c] | {x}} for x in sorted(self.start[c] - box[c], key=str)]
-            else:
-                (lo, hi), (a, b) = box[c], self.start[c]
-                step = self.alpha * (b - a)
-                out += [box | {c: (max(a, lo - step), hi)}] if lo > a else []
-                out += [box | {c: (lo, min(b, hi + step))}] if hi < b else []
-        return [(b, *m) for b, m in zip(out, self._measure(data, out), strict=True)] if out else []
-
-    def find_box(self) -> PrimBox:
+        for (c, side, _), s in zip(ends, found, strict=True):
+            limit = s.quantile(shares[side]) if s.bins else self.start[c][side]
+            limit = limit if c in self.real else int(limit)
+            out.append(box | {c: (limit, box[c][1]) if side == 0 else (box[c][0], limit)})
+        out += [box | {c: box[c] | {x}} for c in limited if isinstance(box[c], frozenset) for x in sorted(self.start[c] - box[c], key=str)]
+        return self._measured(data, out)
+
+    def _measured(self, data: DataFrame, boxes: list[Box]) -> list[tuple[Box, int, float]]:
+        return [(b, *m) for b, m in zip(boxes, self._measure(data, boxes), strict=True)] if boxes else []
+
+    def find_box(self) -> PrimBox | None:
+        """The next box; None if no rows are left."""
         data = self._remaining()
         box, (now,) = dict(self.start), self._measure(data, [self.start])
+        if not now[0]:
+            return None
         result = PrimBox(box, [self.entry(box, *now)])
-        for candidates, larger in ((self._peels, False), (self._pastes, True)):
-            while options := candidates(data, box):
-                scored = [(self.score(now, (n, m)) if n != now[0] else 0.0, len(self.start) - len(restricted(b, self.start)), -i) for i, (b, n, m) in enumerate(options)]
-                best = max(range(len(options)), key=lambda i: scored[i])
-                chosen, n, mean = options[best]
-                if n < self.mass_min * self.total or scored[best][0] <= 0 or (n <= now[0] if larger else n >= now[0]) or larger and mean <= now[1]:
+        for candidates, larger in ((self.peels, False), (self.pastes, True)):
+            while options := candidates(box, data):
+                chosen, n, mean, score = self.best(now, options)
+                if n < self.mass_min * self.total or score <= 0 or (n <= now[0] if larger else n >= now[0]) or larger and mean <= now[1]:
                     break
                 box, now = chosen, (n, mean)
                 result.trajectory.append(self.entry(box, n, mean))
         result.limits = box
         self.found.append(result)
         return result
+
+    def best(self, now: tuple[int, float], options: list[tuple[Box, int, float]]) -> tuple[Box, int, float, float]:
+        """The candidate of the highest score, then of the fewest restrictions, then the first."""
+        scored = [(self.score(now, (n, m)), len(self.start) - len(restricted(b, self.start)), -i) for i, (b, n, m) in enumerate(options)]
+        at = max(range(len(options)), key=lambda i: scored[i])
+        return *options[at], scored[at][0]

@@ -43,9 +43,9 @@ def end_state(df: DataFrame, series: str, index: int = -1) -> DataFrame:
 
 def boxplot(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Quartiles, whiskers (the last values within 1.5 quartile ranges) and the count of values beyond them."""
-    q = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = A.quantiles(df, by, value, [0.25, 0.5, 0.75]).drop("n")
     x = df.where(F.col(value).isNotNull()).select(*by, value)
-    x = x.join(F.broadcast(q), by) if by else x.crossJoin(F.broadcast(q))  # a row a group of a figure
+    x = x.join(q, by) if by else x.crossJoin(F.broadcast(q))  # without groups, one row
     reach = 1.5 * (F.col("q")[2] - F.col("q")[0])
     inside = F.col(value).between(F.col("q")[0] - reach, F.col("q")[2] + reach)
     first = F.first("q")
@@ -56,13 +56,13 @@ def violin(df: DataFrame, by: list[str], value: str, points: int = 100) -> DataF
     """A density by group, beside the group's quartiles."""
     box = boxplot(df, by, value).select(*by, "q1", "median", "q3")
     curve = A.kde(df, by, value, points)
-    return curve.join(F.broadcast(box), by) if by else curve.crossJoin(F.broadcast(box))
+    return curve.join(box, by) if by else curve.crossJoin(F.broadcast(box))
 
 
 def letter_values(df: DataFrame, by: list[str], value: str, depth: int = 7) -> DataFrame:
     """Nested ranges that leave out 1/4, 1/8 ... of the values at either end, as many as have 2^-k n of at least one half."""
     tails = [0.5 ** (k + 2) for k in range(depth)]
-    q = df.groupBy(*by).agg(F.count(value).alias("n"), F.percentile(value, F.array(*[F.lit(t) for t in tails], *[F.lit(1 - t) for t in tails])).alias("q"))
+    q = A.quantiles(df, by, value, [*tails, *(1 - t for t in tails)])
     rows = F.array(*[F.struct(F.lit(k).alias("level"), F.col("q")[k].alias("low"), F.col("q")[depth + k].alias("high"), F.lit(t).alias("tail")) for k, t in enumerate(tails)])
     return q.select(*by, "n", F.explode(rows).alias("r")).where(F.col("r.tail") * F.col("n") >= 0.5).select(*by, "r.level", "r.low", "r.high")
 

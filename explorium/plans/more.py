@@ -172,8 +172,12 @@ def figure_boxplot(spark, d):
     return rounded(figures.boxplot(_t(spark, d, "orders"), ["o_orderstatus"], "o_totalprice"), "q1", "median", "q3")
 
 
-@_query("""WITH q AS (SELECT event_type, count(value) AS n, quantile_cont(value, [0.25, 0.125, 0.0625, 0.03125]) AS a, quantile_cont(value, [0.75, 0.875, 0.9375, 0.96875]) AS b FROM events GROUP BY 1)
-           SELECT event_type, (k - 1)::INT AS level, round(a[k], 5) AS low, round(b[k], 5) AS high FROM q, range(1, 5) r(k) WHERE pow(0.5, k + 1) * n >= 0.5""")
+@_query("""WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL),
+                t AS (SELECT level, side, CASE WHEN side = 0 THEN pow(0.5, level + 2) ELSE 1 - pow(0.5, level + 2) END AS p FROM range(4) a(level), range(2) b(side)),
+                e AS (SELECT event_type, level::INT AS level, side, max(n) AS n, max((n - 1) * p - floor((n - 1) * p)) AS part,
+                             max(CASE WHEN r = floor((n - 1) * p) THEN value END) AS lo, max(CASE WHEN r = ceil((n - 1) * p) THEN value END) AS hi FROM o, t GROUP BY 1, 2, 3)
+           SELECT event_type, level, round(max(CASE WHEN side = 0 THEN lo + (hi - lo) * part END), 5) AS low, round(max(CASE WHEN side = 1 THEN lo + (hi - lo) * part END), 5) AS high
+           FROM e WHERE pow(0.5, level + 2) * n >= 0.5 GROUP BY 1, 2""")
 def figure_letter_values(spark, d):
     return rounded(figures.letter_values(_t(spark, d, "events"), ["event_type"], "value", depth=4), "low", "high", digits=5)
 

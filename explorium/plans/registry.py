@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from explorium.functions import designs as D
@@ -70,33 +70,23 @@ def design_fast(spark, d):
     return D.fast(spark, PARAMETERS[:2], 129)
 
 
-@_query("""SELECT m * (SELECT count(*) FROM nation) * (max(s) OVER () + 1) + p * (max(s) OVER () + 1) + s AS experiment_id, m AS model_id, p AS policy_id, s AS scenario_id, n_name AS policy, s_name AS scenario, ['one', 'two'][m + 1] AS model
-           FROM range(2) t(m), (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS p, n_name FROM nation),
-                (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS s, s_name FROM supplier WHERE s_suppkey <= (SELECT min(s_suppkey) + 99 FROM supplier))""")
-def join_experiments(spark, d):
-    nations = _t(spark, d, "nation")
-    base = nations.agg(F.min("n_nationkey")).first()[0]
-    policies = nations.select((F.col("n_nationkey") - base).cast("long").alias("sample_id"), F.col("n_name").alias("policy"))
-    supplier = _t(spark, d, "supplier")
-    base = supplier.agg(F.min("s_suppkey")).first()[0]
-    scenarios = supplier.where(F.col("s_suppkey") <= base + 99).select((F.col("s_suppkey") - base).alias("sample_id"), F.col("s_name").alias("scenario"))
-    models = spark.range(2).select(F.col("id").alias("sample_id"), F.element_at(F.array(F.lit("one"), F.lit("two")), (F.col("id") + 1).cast("int")).alias("model"))
-    return D.experiments(models, policies, scenarios)
-
-
 @_query("""SELECT m * (SELECT count(*) FROM nation) * (SELECT count(*) FROM supplier) + p * (SELECT count(*) FROM supplier) + s AS experiment_id, m AS model_id, p AS policy_id, s AS scenario_id, n_name AS policy, s_name AS scenario, ['one', 'two'][m + 1] AS model
            FROM range(2) t(m), (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS p, n_name FROM nation),
                 (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS s, s_name FROM supplier)""")
-def join_experiments_whole(spark, d):
-    """join_experiments over every supplier, whose keys may have gaps."""
+def join_experiments(spark, d):
+    """Every supplier is a scenario and every nation a policy; keys may have gaps."""
 
     def numbered(name: str, key: str, *columns):
-        return _t(spark, d, name).select((F.row_number().over(Window.orderBy(key)) - 1).cast("long").alias("sample_id"), *columns)
+        return A.ranked(_t(spark, d, name), [], key).select(F.col("__rank").cast("long").alias("sample_id"), *columns)
 
     models = spark.range(2).select(F.col("id").alias("sample_id"), F.element_at(F.array(F.lit("one"), F.lit("two")), (F.col("id") + 1).cast("int")).alias("model"))
     return D.experiments(models, numbered("nation", "n_nationkey", F.col("n_name").alias("policy")), numbered("supplier", "s_suppkey", F.col("s_name").alias("scenario")))
 
 
+# the name under which the query over every supplier was first registered
+QUERIES["join_experiments_whole"], ORACLE["join_experiments_whole"] = QUERIES["join_experiments"], ORACLE["join_experiments"]
+
+
 @_query("""SELECT i AS sample_id, i % 7 AS x, i % 3 AS y FROM range(7) t(i)""")
 def join_cycle(spark, d):
     return D.combine(spark.range(7).select(F.col("id").alias("sample_id"), F.col("id").alias("x")), spark.range(3).select(F.col("id").alias("sample_id"), F.col("id").alias("y")), "cycle")
@@ -178,23 +168,17 @@ def window_discrete_cdf(spark, d):
     return A.discrete_cdf(_t(spark, d, "orders"), "o_orderstatus", "o_orderpriority")
 
 
-@_query("""WITH x AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label = 3),
+@_query("""WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
                 c AS (SELECT vec_id, x, sqrt(list_sum(list_transform(range(1, len(x)), lambda i: pow(x[i + 1] - x[i], 2)))) AS c FROM x)
            SELECT p.vec_id AS a, q.vec_id AS b, round(sqrt(list_sum(list_transform(range(1, len(p.x) + 1), lambda i: pow(p.x[i] - q.x[i], 2)))) * greatest(p.c, q.c) / least(p.c, q.c), 5) AS distance
            FROM c p JOIN c q ON p.vec_id < q.vec_id""")
 def join_cid(spark, d):
-    df = _t(spark, d, "embeddings").where("label = 3").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    df = _t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     return rounded(A.cid(df, "vec_id", "x"), "distance", digits=5)
 
 
-@_query("""WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
-                c AS (SELECT vec_id, x, sqrt(list_sum(list_transform(range(1, len(x)), lambda i: pow(x[i + 1] - x[i], 2)))) AS c FROM x)
-           SELECT p.vec_id AS a, q.vec_id AS b, round(sqrt(list_sum(list_transform(range(1, len(p.x) + 1), lambda i: pow(p.x[i] - q.x[i], 2)))) * greatest(p.c, q.c) / least(p.c, q.c), 5) AS distance
-           FROM c p JOIN c q ON p.vec_id < q.vec_id""")
-def join_cid_whole(spark, d):
-    """join_cid over the embeddings of every label."""
-    df = _t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    return rounded(A.cid(df, "vec_id", "x"), "distance", digits=5)
+# the name under which the query over every label was first registered
+QUERIES["join_cid_whole"], ORACLE["join_cid_whole"] = QUERIES["join_cid"], ORACLE["join_cid"]
 
 
 @_query("""SELECT p_partkey, p_retailprice, p_size FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_retailprice >= a.p_retailprice AND b.p_size >= a.p_size AND (b.p_retailprice > a.p_retailprice OR b.p_size > a.p_size))""")

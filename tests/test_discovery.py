@@ -281,9 +281,9 @@ def test_json_paths(spark):
         documents.replaced('{"a": 1}', ("b",), 2)
 
 
-def test_limits_lie_midway_for_reals_only(spark):
+def test_limits_of_reals_lie_midway_and_those_of_whole_numbers_are_cut_down(spark):
     df = spark.createDataFrame([(float(v), v, int(v >= 5)) for v in range(100)], "r double, w long, y int")
-    for name, wanted in (("r", 5.5), ("w", 6)):
+    for name, wanted in (("r", 5.5), ("w", 5)):
         prim = B.Prim(df, "y", [name], alpha=0.06)
         assert prim.find_box().trajectory[1]["limits"][name][0] == wanted
         prim.close()

@@ -10,14 +10,14 @@ from explorium.functions import designs as D
 from explorium.operators import analysis as A
 from explorium.operators import boxes as B
 from explorium.plans import models as M
-from explorium.plans import more, registry  # noqa: F401  (more adds its queries to the registry)
+from explorium.plans import more, registry, rules  # noqa: F401  (more and rules add their queries to the registry)
 
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 
 
 def plain(rows):
     fix = lambda v: round(v, 3) if isinstance(v, float) and math.isfinite(v) else [fix(x) for x in v] if isinstance(v, (list, tuple)) else str(v)
-    return sorted([fix(v) for v in r] for r in rows)
+    return sorted(([fix(v) for v in r] for r in rows), key=str)
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))

@@ -5,7 +5,7 @@ from itertools import combinations
 
 import pytest
 
-from explorium.plans import more, registry  # noqa: F401  (more adds its queries to the registry)
+from explorium.plans import more, registry, rules  # noqa: F401  (more and rules add their queries to the registry)
 
 
 def test_every_supplier_is_a_scenario(spark, tmp_path):
