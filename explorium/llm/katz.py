@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, shuffle_partitions
 from .near_dedup import _mixed, _Words
 
-BLOCK, SHARD, K, ORDER = 400_000, 1_500_000, 5, 2
+BLOCK, SHARD, K, ORDER = 600_000, 4_000_000, 5, 2
 END = np.uint64(2**64 - 1)
 #: Numbers of words and histories: none, the start mark, and the first that is given.
 UNKNOWN, START, FIRST = 0, 1, 2
