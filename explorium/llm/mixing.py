@@ -7,7 +7,7 @@ a source is clamped while its cap is below its weight's share of what the source
 
 A document is taken whole: floor(target / source size) times, and once more if it lies in the seeded selection that
 fills the rest of the target. The selection walks a source's documents in the order of a seeded digest; running sums
-are taken within 4,096 ranges of the digest and added to the ranges' own running sums, so a source of any size is
+are taken within 4,096 ranges of the digest (rows without an id: and of the size) and added to the ranges' own running sums, so a source of any size is
 spread over tasks. It stops at the document whose middle passes the rest, so a source misses its target by at most
 half of one document.
 
@@ -17,7 +17,9 @@ are separate documents. Empty tables give empty results.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, Scratch
@@ -32,7 +34,15 @@ def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
         "__key": F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))),
         "__null": F.col("source").isNull(),
         "__source": F.coalesce(F.col("source"), F.lit("")),
-    }).withColumn("__bin", F.substring("__key", 1, 3))
+    }).withColumn("__bin", _bin(seed))
+
+
+def _bin(seed: str) -> Column:
+    """The range of the digest that a row's running sum is taken in. Rows without an id all have one digest, so their range is cut by size too."""
+    of_null = hashlib.md5(f":{seed}".encode()).hexdigest()
+    first = F.substring("__key", 1, 3)
+    inside = F.when(F.col("__key") < of_null, "0").when(F.col("doc_id").isNotNull() & (F.col("__key") == of_null), "2").when(F.col("__key") > of_null, "3")
+    return F.when(first != of_null[:3], first).otherwise(F.concat(first, F.coalesce(inside, F.concat(F.lit("1"), F.lpad(F.col("__size").cast("string"), 12, "0")))))
 
 
 def targets(sources: DataFrame, epochs: int = EPOCHS) -> DataFrame:
@@ -78,7 +88,15 @@ def mix(docs: DataFrame, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
 
 
 def mixed(docs: DataFrame, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
-    """The mix itself: ``docs`` with each row as often as it is taken. Rows that repeat an id share one number of copies."""
-    copies = mix(docs.select("doc_id", "source", "text"), epochs, seed).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    out = docs.join(copies.where("__copies > 0"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))).drop("__id", "__copies", "__copy")
+    """The mix itself: ``docs`` with each row as often as it is taken, whatever ids repeat or are null.
+
+    Rows equal in id, source and text share out what all of them are taken.
+    """
+    part = lambda c: F.coalesce(F.concat(F.lit(":"), F.col(c).cast("string")), F.lit(""))
+    rows = docs.withColumn("__row", F.concat(F.sha2(F.concat(part("text"), F.lit("|"), part("source")), 256), part("doc_id")))
+    copies = mix(rows.select("doc_id", "source", "text", "__row"), epochs, seed).groupBy("__row").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+    out = rows.join(copies.where("__copies > 0"), "__row")
+    place = F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(0)))
+    own = F.floor(F.col("__copies") / F.col("__rows")) + F.when(place <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
+    out = out.withColumn("__own", own.cast("int")).where("__own > 0")
+    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__own")))).drop("__row", "__copies", "__rows", "__own", "__copy")

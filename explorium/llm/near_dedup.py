@@ -14,7 +14,7 @@ they meet, and one link for two components comes out. So the components are thos
 is written grows with the members of buckets, not with their pairs. Buckets of over ``BLOCK`` members are dealt out in
 blocks; the second round takes each pair of blocks, so no task ever holds a whole hot bucket.
 
-Null and empty texts, and null ids, are linked with nothing. A node is a class, whatever ids its documents have, so
+Null and empty texts are linked with nothing. A node is a class, whatever ids its documents have, so
 rows that repeat an id with other texts are linked each by its own text. Extra columns are not read. Empty tables give
 empty results.
 """
@@ -105,7 +105,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 m = minima(s) if len(s) else None
                 packed.append(signature(m) if len(s) else None)
                 keys.append(bands(m) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 512), pa.array(count, pa.int64()), pa.array(whole, pa.binary()), pa.array(packed, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "whole", "packed", "bands"])
+            own = [b.column(0).slice(at, 512), b.column(2).slice(at, 512)]
+            made = [pa.array(count, pa.int64()), pa.array(whole, pa.binary()), pa.array(packed, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(own + made, ["id", "row", "n", "whole", "packed", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,27 +252,27 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: id (a whole number), n_shingles, component_id, kept.
+def _linked(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """From id, text, row: the members (doc, row, n, and number id and least id rep of their class), and of each linked class its component and the least id in it.
 
-    A null id has a null component and is kept. The component is named by its least id. Of rows that repeat an id with
-    other texts, each has the component of its own text.
+    A class with an id comes before one without. Empty texts have no class.
     """
-    scratch = Scratch(docs.sparkSession, "near")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    seen = scratch.save(texts.mapInArrow(_features, "id long, n long, whole binary, packed binary, bands array<bigint>"), "features")
-    classes = seen.where("n > 0 and id is not null").groupBy("whole").agg(F.min("id").alias("rep"))
-    first = seen.join(classes.withColumnRenamed("rep", "id"), ["whole", "id"], "left_semi").dropDuplicates(["whole"])
+    seen = scratch.save(texts.mapInArrow(_features, "id long, row string, n long, whole binary, packed binary, bands array<bigint>"), "features")
+    # rows of a class have the same set, so any row's features do
+    classes = seen.where("n > 0").groupBy("whole").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "packed", "bands")])
     # the number of a class; written, so it stays
-    nodes = scratch.save(first.withColumnRenamed("id", "rep").withColumn("id", F.monotonically_increasing_id()), "nodes")
-    members = seen.select(F.col("id").alias("doc"), "n", "whole").join(nodes.select("whole", "id", "rep"), "whole", "left")
-    members = scratch.save(members.select("doc", "n", "id", "rep"), "members")
+    nodes = scratch.save(classes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    members = seen.where("n > 0").select(F.col("id").alias("doc"), "row", "n", "whole").join(nodes.select("whole", "id", "rep"), "whole").drop("whole")
+    none = F.lit(None).cast("long")
+    members = scratch.save(members.unionByName(seen.where("n = 0").select(F.col("id").alias("doc"), "row", "n", none.alias("id"), none.alias("rep"))), "members")
     keys = nodes.select("id", F.posexplode("bands").alias("band", "key")).withColumn("band", F.col("band").cast("long"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     groups = scratch.save(keys.join(shared, "key"), "groups")
     wanted = nodes.join(groups.select("id").distinct(), "id", "left_semi").select(F.col("rep").alias("id"), "whole", F.col("id").alias("node"))
-    sets = texts.join(wanted.select("id").distinct(), "id", "left_semi").distinct().mapInArrow(_sets, "id long, whole binary, s binary").dropDuplicates(["id", "whole"])
-    sets = scratch.save(sets.join(wanted, ["id", "whole"]).select(F.col("node").alias("id"), "s"), "sets")
+    # an id that stands for a class that shares a bucket; a text is read again only for such ids
+    rows = texts.join(wanted.select(F.col("id").alias("rep")).distinct(), F.col("id").eqNullSafe(F.col("rep")), "left_semi").select("id", "text").distinct()
+    sets = rows.mapInArrow(_sets, "id long, whole binary, s binary").select("whole", "s").dropDuplicates(["whole"])
+    sets = scratch.save(sets.join(wanted, "whole").select(F.col("node").alias("id"), "s"), "sets")
     pairs = _dealt(groups, nodes, None).mapInArrow(_nearest, "a long, b long").distinct()
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     links = scratch.save(both.select("a", "b", "x", "y").mapInArrow(_confirmed, "a long, b long"), "first")
@@ -278,20 +280,47 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     meeting = _dealt(groups, nodes, comps.select("node", "component")).mapInArrow(_meeting, ROWS_OUT)
     met = _sorted(meeting.join(sets, "id")).mapInArrow(_met, "a long, b long")
     more = scratch.save(met, "second")
-    comps = _named(links.union(more), nodes, scratch, "full")
-    out = members.join(comps, members["id"] == comps["node"], "left")
-    out = out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "rep", "doc").alias("component_id"))
+    return members, _named(links.union(more), nodes, scratch, "full")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each document: id (a whole number), n_shingles, component_id, kept.
+
+    A null id has a null component, links nothing and is kept. The component is named by its least id. Of rows that
+    repeat an id with other texts, each has the component of its own text.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("string").alias("row"))
+    members, comps = _linked(texts.where("id is not null"), scratch)
+    out = members.join(comps, members["id"] == comps["node"], "left").select("doc", "n", F.coalesce("least", "rep", "doc").alias("component_id"))
+    none = texts.where("id is null").mapInArrow(_features, "id long, row string, n long, whole binary, packed binary, bands array<bigint>")
+    out = out.unionByName(none.select(F.col("id").alias("doc"), "n", F.lit(None).cast("long").alias("component_id")))
+    out = out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
 def _named(links: DataFrame, nodes: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
-    """node, component (of classes) and the least id in it: classes are ordered by their least ids, then by number."""
-    end = lambda c: nodes.select(F.col("id").alias(c), F.struct("rep", "id").alias(f"of_{c}"))
+    """node, component (of classes) and the least id in it: classes are ordered by their least ids, none last, then by number."""
+    end = lambda c: nodes.select(F.col("id").alias(c), F.struct(F.col("rep").isNull().alias("none"), "rep", "id").alias(f"of_{c}"))
     ends = links.join(end("a"), "a").join(end("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
     return connected_components(ends, scratch, tag).select(F.col("node.id").alias("node"), F.col("component.id").alias("component"), F.col("component.rep").alias("least"))
 
 
+def _row_key(id_col: str, text_col: str):
+    """A row by its id and text, whatever else it has."""
+    return F.concat(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), F.coalesce(F.concat(F.lit(":"), F.col(id_col).cast("string")), F.lit("")))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of which none earlier is a near duplicate, with their own columns."""
-    kept = near_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    """The documents of which none earlier is a near duplicate, with their own columns: one row of each component.
+
+    That row has the component's least id, null ids coming last. Rows without words are linked with nothing and stay;
+    rows equal in id and text count once.
+    """
+    scratch = Scratch(docs.sparkSession, "keep")
+    rows = docs.withColumn("__row", _row_key(id_col, text_col))
+    members, comps = _linked(rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col("__row").alias("row")), scratch)
+    first = members.where("id is not null").groupBy("id").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row")).alias("row")).select("id", "row.row")
+    first = first.join(comps.where("node <> component").select(F.col("node").alias("id")), "id", "left_anti")
+    kept = first.select("row").union(members.where("id is null").select("row")).distinct().select(F.col("row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
