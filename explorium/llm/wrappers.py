@@ -6,9 +6,15 @@ that differ become slots. Aligning a host's pages one after another gives its wr
 each task folds its own pages by host, and a host's partial wrappers (one a task at most) are folded after a shuffle.
 
 A wrapper says where the host keeps its article: the container named so, else the lowest one that holds nearly all text
-outside menus, headers, footers, side bars, notices, adverts, forms and comments; text that differs between pages counts most. Of
-a page, the text blocks in that container and outside such parts are the main text; a page that lacks the container is
-read by its own structure in the same way.
+outside menus, headers, footers, side bars, notices, adverts, forms and comments; slots, that is text that differs between
+pages, count most. A text is of the template if the wrapper has it as a constant that at least ``TEMPLATE`` pages and
+half of the host's pages share; it counts for nothing, and in a container that isn't named as the article it is left
+out, unless nothing else is left of the page. Of a page, the text blocks in that container, outside of the parts above
+and not of the template, are the main text; a page that lacks the container is read by its own structure in the same way.
+
+A host's wrapper comes from all its pages; in which order they are aligned follows the partitions. Partial wrappers are
+folded in two rounds, first in ``SALTS`` parts of a host, so no task aligns all parts of a large host. Pages aren't
+shuffled while what the hosts' wrappers say fits a broadcast of ``BROADCAST`` bytes.
 
 Null pages have no text; pages without a host share one wrapper. Empty tables give empty results. Extra columns are
 not read. Whole pages are read, whatever their length; nothing recurses.
@@ -20,13 +26,16 @@ import hashlib
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|select|button|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S | re.I)
@@ -39,7 +48,7 @@ OUTSIDE = frozenset("head nav footer aside form menu dialog fieldset title".spli
 #: Words of class, id and role that mark what isn't the article.
 ASIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside "
-    "comment comments disqus respond cookie cookies consent notice banner alert popup modal newsletter subscribe subscription signup login share sharing social related recommended pagination pager widget toolbar skip".split())
+    "comment comments disqus respond responses replies discussion cookie cookies consent notice banner alert popup modal newsletter subscribe subscription signup login share sharing social related recommended pagination pager widget toolbar skip".split())
 MAIN_NAMES = frozenset("main article content post entry story".split())
 #: Tags and names whose content is never the article; other marks may stand on a wrapper of the whole page.
 NEVER = frozenset("head nav footer aside menu dialog title".split())
@@ -49,6 +58,8 @@ _WORDS = re.compile(r"[a-z]+")
 #: Containers that may hold a whole article, and the share of a page's text that is nearly all.
 WRAPPING, NEARLY_ALL = frozenset("html body section div form fieldset".split()), 0.98
 _STATE = frozenset("has with no without".split())
+#: Pages that must share a constant for it to be of the template; parts that a host's wrappers are folded in; bytes.
+TEMPLATE, SALTS, BROADCAST = 3, 32, 16 << 20
 
 
 def _label(tag: str, attributes: str, inner: bool) -> tuple[str, int, bool]:
@@ -119,7 +130,7 @@ def blocks(page: str) -> Iterator[tuple[str, tuple[str, ...], int, str]]:
         yield "t", *where(), said
 
 
-# A wrapper's items: [label], ["#", text or null (a slot), region, most characters], and groups of items: ["?", items]
+# A wrapper's items: [label], ["#", text or null (a slot), region, most characters, pages that have it], and groups of items: ["?", items]
 # optional, ["+", items] repeated, ["*", items] both.
 
 
@@ -139,10 +150,10 @@ def _kind(x: list) -> str:
     return x[0] if x[0] in _GROUPS else ""
 
 
-def _join(a: list, b: list) -> list:
-    """Of two items with the same mark."""
+def _join(a: list, b: list, pages=max) -> list:
+    """Of two items with the same mark. pages: how the numbers of pages go together, by their sum if the pages are others."""
     if a[0] == "#":
-        return ["#", a[1] if a[1] == b[1] else None, a[2], max(a[3], b[3])]
+        return ["#", a[1] if a[1] == b[1] else None, a[2], max(a[3], b[3]), pages((a[4], b[4]))]
     return a
 
 
@@ -195,7 +206,7 @@ def align(a: list, b: list) -> list:
             out += [_loose(x) for x in a[i:j]] + [_loose(x) for x in b[k:m]]
             continue
         for x, y in zip(a[i:j], b[k:m], strict=True):
-            unit = [_join(v, w) for v, w in zip(_unit(x), _unit(y), strict=True)]
+            unit = [_join(v, w, sum) for v, w in zip(_unit(x), _unit(y), strict=True)]
             kinds = {_kind(x), _kind(y)}
             many, maybe = kinds & {"+", "*"}, kinds & {"?", "*"}
             kind = "*" if many and maybe else "+" if many else "?" if maybe else ""
@@ -207,36 +218,62 @@ def page_items(page: str) -> list:
     items = []
     for kind, path, outside, what in blocks(page):
         if kind == "t":
-            items.append(["#", what if len(what) <= 200 else what[:200] + f" {hash_of(what)}", ("-" if outside else "") + ">".join(path), 0 if outside else len(what)])
+            items.append(["#", _short(what), ("-" if outside else "") + ">".join(path), 0 if outside else len(what), 1])
         else:
             items.append([("" if kind == "<" else "/" if kind == ">" else "|") + what])
     return _tidy(_fold(items))
 
 
+def _short(text: str) -> str:
+    """What a constant is told by: the text, or for long ones its start and a digest of the whole."""
+    return text if len(text) <= 200 else text[:200] + f" {hash_of(text)}"
+
+
 def hash_of(text: str) -> str:
     return hashlib.md5(text.encode("utf-8", "replace")).hexdigest()
 
 
-def region(wrapper: list) -> str:
-    """The path of the container that holds the article: the one named so with most text, else the lowest that holds nearly all text outside the excluded parts; empty if that is the whole page."""
-    mass: dict[str, float] = {}
+def _texts(wrapper: list) -> Iterator[list]:
+    """The text items of a wrapper, those in groups too, outside of excluded parts."""
     todo = list(wrapper)
     while todo:
         x = todo.pop()
         if x[0] in _GROUPS:
             todo += x[1]
         elif x[0] == "#" and not x[2].startswith("-"):
-            # a slot varies between pages; a constant still counts, since a host may have a single page
+            yield x
+
+
+def _named_as_article(path: str) -> str | None:
+    """The path of the outermost container on a path that is named as the article."""
+    steps = path.split(">")
+    for k, step in enumerate(steps):
+        if step.lstrip("^").split(".")[0] in ("article", "main") or {"main", "article"} & set(step.split(".")[1:]):
+            return ">".join(steps[: k + 1])
+    return None
+
+
+def template(wrapper: list, pages: int) -> set[tuple[str, str]]:
+    """Path and text of the wrapper's constants that belong to the host's pages, not to their articles."""
+    shared = max(TEMPLATE, pages / 2)
+    return {(x[2], x[1]) for x in _texts(wrapper) if x[1] is not None and x[4] >= shared and not _named_as_article(x[2])}
+
+
+def region(wrapper: list, pages: int = 1) -> str:
+    """The path of the container that holds the article: the one named so with most text, else the lowest that holds nearly all text outside the excluded parts; empty if that is the whole page."""
+    mass: dict[str, float] = {}
+    ours, texts = template(wrapper, pages), list(_texts(wrapper))
+    if all((x[2], x[1]) in ours for x in texts):  # pages that are all alike
+        ours = set()
+    for x in texts:
+        # a slot varies between pages; a constant still counts, since a host may have a single page
+        if (x[2], x[1]) not in ours:
             mass[x[2]] = mass.get(x[2], 0) + (x[3] if x[1] is None else x[3] / 4)
     named = {}
     for path, n in mass.items():
-        steps = path.split(">")
-        for k, step in enumerate(steps):
-            if step.lstrip("^").split(".")[0] in ("article", "main") or {"main", "article"} & set(step.split(".")[1:]):
-                top = ">".join(steps[: k + 1])
-                # in a marked wrapper, as teasers are: counts less than one that isn't
-                named[top] = named.get(top, 0) + (n / 4 if "^" in top else n)
-                break
+        if top := _named_as_article(path):
+            # in a marked wrapper, as teasers are: counts less than one that isn't
+            named[top] = named.get(top, 0) + (n / 4 if "^" in top else n)
     if named:
         return max(sorted(named), key=named.get)
     below: dict[str, float] = {}
@@ -251,59 +288,73 @@ def region(wrapper: list) -> str:
     return max(sorted(whole), key=lambda p: p.count(">"), default="")
 
 
-def main_text(page: str, home: str) -> str:
-    """The article of a page: text blocks below the region and outside of excluded parts. If all is excluded, what is excluded least and not firmly."""
+def main_text(page: str, home: str, ours: Container[tuple[str, str]] = ()) -> str:
+    """The article of a page: text blocks below the region ``home`` and outside of excluded parts, but for what is of the template (``ours``). If all is excluded, what is excluded least and not firmly."""
     every = [(">".join(path), outside, what) for kind, path, outside, what in blocks(page) if kind == "t" and outside < FIRM]
     least = min((outside for _, outside, _ in every), default=0)
     texts = [(path, what) for path, outside, what in every if outside == least]
+    if own := [(path, what) for path, what in texts if (path, _short(what)) not in ours]:
+        texts = own
     found = [what for path, what in texts if home and (path == home or path.startswith(home + ">"))]
     if not found and texts:
-        own = region([["#", None, path, len(what)] for path, what in texts])
-        found = [what for path, what in texts if not own or path == own or path.startswith(own + ">")]
+        own_home = region([["#", None, path, len(what), 1] for path, what in texts])
+        found = [what for path, what in texts if not own_home or path == own_home or path.startswith(own_home + ">")]
     return " ".join(found)
 
 
-def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host and wrapper of this task's pages."""
-    found: dict[str, list] = {}
+_PARTIAL = {"host": pa.string(), "salt": pa.int32(), "pages": pa.int64(), "wrapper": pa.string()}
+_TOLD = {"host": pa.string(), "wrapper": pa.string(), "region": pa.string(), "template": pa.string()}
+_PARTIAL_DDL, _TOLD_DDL = "host string, salt int, pages long, wrapper string", "host string, wrapper string, region string, template string"
 
-    def out():
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([json.dumps(w) for w in found.values()], pa.string())], ["host", "wrapper"])
 
+def _rows(rows: list[tuple], schema: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, schema.values(), strict=True)], list(schema))
+
+
+def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, salt, pages and wrapper of this task's pages."""
+    found: dict[str, tuple[int, list]] = {}
+    salt = TaskContext.get().partitionId() % SALTS
+    out = lambda: _rows([(host, salt, n, json.dumps(w)) for host, (n, w) in found.items()], _PARTIAL)
     for b in batches:
         for host, page in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             if (page := page.as_py()) is None:
                 continue
             items = page_items(page)
-            if (old := found.get(host)) is None:
-                found[host] = items
-            else:
-                found[host] = align(old, items)
+            n, old = found.get(host, (0, None))
+            found[host] = n + 1, items if old is None else align(old, items)
             if len(found) > 20_000:
-                yield from out()
+                yield out()
                 found.clear()
-    yield from out()
+    yield out()
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial wrappers sorted by host in, host, wrapper and region out."""
-    host, wrapper, done = None, None, []
+def _folded(batches: Iterator[pa.RecordBatch], salted: bool) -> Iterator[tuple]:
+    """Partial wrappers, sorted by host (and salt, if ``salted``), as one for each."""
+    key, pages, wrapper = None, 0, None
     for b in batches:
-        for h, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            w = json.loads(w)
-            if h != host:
-                if host is not None:
-                    done.append((host, json.dumps(wrapper), region(wrapper)))
-                host, wrapper = h, w
+        for host, salt, n, w in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            w, now = json.loads(w), (host, salt if salted else 0)
+            if now != key:
+                if key is not None:
+                    yield *key, pages, wrapper
+                key, pages, wrapper = now, n, w
             else:
-                wrapper = align(wrapper, w)
-        if len(done) > 1000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*done, strict=True)], ["host", "wrapper", "region"])
-            done = []
-    if host is not None:
-        done.append((host, json.dumps(wrapper), region(wrapper)))
-    if done:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*done, strict=True)], ["host", "wrapper", "region"])
+                pages, wrapper = pages + n, align(wrapper, w)
+    if key is not None:
+        yield *key, pages, wrapper
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for host, salt, pages, wrapper in _folded(batches, True):
+        yield _rows([(host, salt, pages, json.dumps(wrapper))], _PARTIAL)
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for host, _, pages, wrapper in _folded(batches, False):
+        ours = sorted(template(wrapper, pages))
+        yield _rows([(host, json.dumps(wrapper), region(wrapper, pages), json.dumps(ours) if ours else None)], _TOLD)
 
 
 def host_of(url: str = "url"):
@@ -311,22 +362,30 @@ def host_of(url: str = "url"):
 
 
 def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, wrapper (JSON) and region, learned from every page."""
-    part = pages.select(host_of(url_col).alias("host"), F.col(html_col).alias("html")).mapInArrow(_partial, "host string, wrapper string")
-    return part.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_whole, "host string, wrapper string, region string")
+    """host, wrapper (JSON), region and template (JSON: path and text of its constants), learned from every page."""
+    part = pages.select(host_of(url_col).alias("host"), F.col(html_col).alias("html")).mapInArrow(_partial, _PARTIAL_DDL)
+    part = part.repartition("host", "salt").sortWithinPartitions("host", "salt", "wrapper").mapInArrow(_parts, _PARTIAL_DDL)
+    return part.repartition("host").sortWithinPartitions("host", "salt").mapInArrow(_whole, _TOLD_DDL)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, frozenset] = {}
     for b in batches:
         for at in range(0, b.num_rows, 256):
-            part = b.slice(at, 256)
-            texts = [main_text(p.as_py() or "", home or "") for p, home in zip(part.column(2), part.column(3).to_pylist(), strict=True)]
+            part, texts = b.slice(at, 256), []
+            for page, home, ours in zip(part.column(2), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
+                if ours and ours not in known:
+                    if len(known) > 1000:
+                        known.clear()
+                    known[ours] = frozenset(map(tuple, json.loads(ours)))
+                texts.append(main_text(page.as_py() or "", home or "", known[ours] if ours else ()))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
-    regions = infer(pages).select("host", "region")
+    told = Scratch(pages.sparkSession, "wrappers").save(infer(pages).select("host", "region", "template"), "regions")
+    size = told.agg(F.sum(F.length("host") + F.length("region") + F.coalesce(F.length("template"), F.lit(0)) + 64)).first()[0] or 0
     kind = pages.schema["page_id"].dataType.simpleString()
-    rows = pages.select("page_id", "url", "html", host_of().alias("host")).join(regions, "host", "left")
-    return rows.select("page_id", "url", "html", "region").mapInArrow(_extracted, f"page_id {kind}, url string, text string, n_chars long")
+    rows = pages.select("page_id", "url", "html", host_of().alias("host")).join(F.broadcast(told) if size <= BROADCAST else told, "host", "left")
+    return rows.select("page_id", "url", "html", "region", "template").mapInArrow(_extracted, f"page_id {kind}, url string, text string, n_chars long")

@@ -34,3 +34,26 @@ def test_all_blocks_without_a_named_article(spark):
     rows = [(k, f"http://h{k}.org/", page) for k, page in enumerate(pages)]
     got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == dict(enumerate(pages.values()))
+
+
+def test_what_a_host_repeats_is_its_template(spark):
+    shell = "<body><div class='top'><p>Home About News Contact</p></div><div class='text'>{}</div><section class='responses'><p>A reader says this</p></section><div class='low'><p>All rights with us</p></div></body>"
+    own = [f"<h1>Title {k}</h1>" + f"<p>words of page {k} and more of them</p>" * (k + 1) for k in range(4)]
+    told = [" ".join([f"Title {k}"] + [f"words of page {k} and more of them"] * (k + 1)) for k in range(4)]
+    alike = "<body><div class='a'><p>The same on all of these pages</p></div></body>"
+    rows = [(k, "http://one.org/", shell.format(t)) for k, t in enumerate(own)] + [(k, "http://two.org/", alike) for k in range(10, 15)]
+    # one page of a host has nothing to compare with; an article keeps what it repeats
+    rows += [(20, "http://three.org/", shell.format(own[2]))] + [(k, "http://four.org/", f"<article><p>Now in the series</p><p>part {k}</p></article>") for k in range(30, 35)]
+    for parts in (1, 4):
+        got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)).collect()}
+        assert [got[k] for k in range(4)] == told
+        assert {got[k] for k in range(10, 15)} == {"The same on all of these pages"}
+        assert got[20] == "Home About News Contact " + told[2] + " All rights with us"
+        assert [got[k] for k in range(30, 35)] == [f"Now in the series part {k}" for k in range(30, 35)]
+
+
+def test_regions_too_large_to_broadcast_are_joined(spark, monkeypatch):
+    rows = [(k, f"http://h{k % 3}.org/", f"<article><p>text {k}</p></article>") for k in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(wrappers, "BROADCAST", 10)
+    assert {r.page_id: r.text for r in wrappers.extract(pages).collect()} == {k: f"text {k}" for k in range(12)}
