@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, shuffle_partitions
 from .near_dedup import _mixed, _Words
 
-BLOCK, SHARD, K, ORDER = 600_000, 4_000_000, 5, 2
+BLOCK, SHARD, K, ORDER = 1_000_000, 4_000_000, 5, 2
 END = np.uint64(2**64 - 1)
 #: Numbers of words and histories: none, the start mark, and the first that is given.
 UNKNOWN, START, FIRST = 0, 1, 2
@@ -76,11 +76,10 @@ def _open_sorted(b: bytes) -> np.ndarray:
 
 
 def _pack_reals(a: np.ndarray) -> bytes:
-    """Exactly; where few values repeat, each is kept once."""
+    """Exactly: as they are, or each value once and the places, whichever is shorter."""
     each, at = np.unique(a, return_inverse=True)
-    if 4 * len(each) > len(a):
-        return b"\0" + _zip.compress(a.tobytes())
-    return b"\1" + len(each).to_bytes(4, "little") + each.tobytes() + _pack(at)
+    plain, coded = _zip.compress(a.tobytes()), len(each).to_bytes(4, "little") + each.tobytes() + _pack(at)
+    return b"\0" + plain if len(plain) <= len(coded) else b"\1" + coded
 
 
 def _open_reals(b: bytes) -> np.ndarray:
@@ -90,6 +89,17 @@ def _open_reals(b: bytes) -> np.ndarray:
     return np.frombuffer(b[5:end], np.float64)[_open(b[end:]).astype(np.int64)]
 
 
+def _pack_facts(facts: np.ndarray) -> bytes:
+    """Rows of K + 1 whole numbers and a real."""
+    numbers = _pack(facts[:, : K + 1].T.ravel())
+    return len(numbers).to_bytes(4, "little") + numbers + _pack_reals(facts[:, K + 1])
+
+
+def _open_facts(b: bytes) -> np.ndarray:
+    end = 4 + int.from_bytes(b[:4], "little")
+    return np.column_stack([_open(b[4:end]).reshape(K + 1, -1).T.astype(np.float64), _open_reals(b[end:])])
+
+
 def is_held_out(doc_id) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 1
 
@@ -226,10 +236,12 @@ class _Block:
         self.train = np.repeat(~np.array(self.held), self.lengths)
         self.word_at = self.at = _open(r["tokens"]).astype(np.int64)
         self.numbers = self.p = None
+        self.height = 1
 
     def climb(self, level: Level) -> None:
         """An n-gram is the one before it of the level below, or the start mark, and a word. Afterwards they are in the order in which they are sent."""
         below, many = self.at, len(self.words)
+        self.height += 1
         before = np.empty_like(below)
         before[1:] = below[:-1]
         before[self.starts] = len(self.numbers)
@@ -255,10 +267,12 @@ class _Block:
     def messages(self, level: Level) -> list[tuple]:
         runs_cut = np.searchsorted(self.shard[self.run_starts], np.arange(level.shards + 1))
         cut = np.searchsorted(self.shard[: self.sent], np.arange(level.shards + 1))
-        below, rows = self.p[self.lower], []
+        # above words, probabilities; above single words their counts, which say the same in less
+        pack, below, rows = (_pack, self.known, []) if self.height == 2 else (_pack_reals, self.p, [])
+        below = below[self.lower]
         for s in np.flatnonzero(np.diff(cut)).tolist():
             own, runs = slice(cut[s], cut[s + 1]), slice(runs_cut[s], runs_cut[s + 1])
-            rows.append((s, self.block, _pack_sorted(self.h[self.run_starts[runs]]), _pack(self.runs[runs]), _pack(self.w[own]), _pack(self.counts[own]), _pack_reals(below[own])))
+            rows.append((s, self.block, _pack_sorted(self.h[self.run_starts[runs]]), _pack(self.runs[runs]), _pack(self.w[own]), _pack(self.counts[own]), pack(below[own])))
         return rows
 
     def hear_words(self, said: list[dict], level: Level) -> None:
@@ -270,7 +284,7 @@ class _Block:
         found, numbers, facts = np.zeros(len(self.h), np.int64), np.zeros(len(self.h), np.uint64), np.zeros((0, K + 2))
         if said:
             found[: self.sent] = np.concatenate([_open(a["counts"]) for a in said])
-            facts = np.concatenate([_open_reals(a["facts"]).reshape(K + 2, -1).T for a in said])
+            facts = np.concatenate([_open_facts(a["facts"]) for a in said])
             if said[0]["numbers"] is not None:
                 numbers[: self.sent] = np.concatenate([_open(a["numbers"]) for a in said])
         hot, at = level.splits(self.h[self.run_starts])
@@ -368,12 +382,13 @@ def _heard(r: dict, levels: list[Level]) -> _Block:
     return x
 
 
-def _sum_grams(batches: Iterator[pa.RecordBatch], level: Level, share: float, store: bool, last: bool) -> Iterator[pa.RecordBatch]:
+def _sum_grams(batches: Iterator[pa.RecordBatch], level: Level, words: Level | None, share: float, store: bool, last: bool) -> Iterator[pa.RecordBatch]:
+    """words: the level below, if that is the words' own."""
     for shard, rows in _by_shard(batches):
-        yield from _grams_summed(shard, rows, level, share, store, last)
+        yield from _grams_summed(shard, rows, level, words, share, store, last)
 
 
-def _grams_summed(shard: int, rows: list[dict], level: Level, share: float, store: bool, last: bool) -> Iterator[pa.RecordBatch]:
+def _grams_summed(shard: int, rows: list[dict], level: Level, words: Level | None, share: float, store: bool, last: bool) -> Iterator[pa.RecordBatch]:
     firsts, runs = [_open_sorted(r["first"]) for r in rows], [_open(r["runs"]).astype(np.int64) for r in rows]
     h = np.concatenate([np.repeat(x, n) for x, n in zip(firsts, runs, strict=True)])
     w = np.concatenate([_open(r["second"]) for r in rows])
@@ -383,7 +398,8 @@ def _grams_summed(shard: int, rows: list[dict], level: Level, share: float, stor
     h, w = h[new], w[new]
     group = np.cumsum(new, dtype=np.int32) - 1
     counts = np.bincount(group, np.concatenate([_open(r["counts"]) for r in rows])[order]).astype(np.int64)
-    lower = np.concatenate([_open_reals(r["lower"]) for r in rows])[order[new]]
+    lower = np.concatenate([(_open if words else _open_reals)(r["lower"]) for r in rows])[order[new]]
+    below = unigrams(words, lower.astype(np.int64)) if words else lower
     back = np.empty(len(order), np.int32)
     back[order] = group
     del order, group, new
@@ -393,7 +409,7 @@ def _grams_summed(shard: int, rows: list[dict], level: Level, share: float, stor
     facts[:, 0] = np.bincount(of, counts)
     for k in range(1, K + 1):
         facts[:, k] = np.bincount(of, counts == k)
-    facts[:, K + 1] = np.bincount(of, np.where(seen, lower, 0.0))
+    facts[:, K + 1] = np.bincount(of, np.where(seen, below, 0.0))
     numbers = np.where(seen, FIRST + np.cumsum(seen) * level.shards + shard, UNKNOWN)
     hot, _ = level.splits(names)
     out = [{"shard": shard, "sums": _sums(counts), "part": names[hot].astype(np.int64).tolist(), "part_facts": facts[hot].ravel().tolist()}]
@@ -401,14 +417,14 @@ def _grams_summed(shard: int, rows: list[dict], level: Level, share: float, stor
         out[0] |= _hot(counts, numbers, share)
     if store:
         own, many = np.unique(h[seen], return_counts=True)
-        out.append({"shard": shard, "block": STORED, "first": _pack_sorted(own), "runs": _pack(many), "second": _pack(w[seen]), "counts": _pack(counts[seen]), "lower": _pack_reals(lower[seen])})
+        out.append({"shard": shard, "block": STORED, "first": _pack_sorted(own), "runs": _pack(many), "second": _pack(w[seen]), "counts": _pack(counts[seen]), "lower": (_pack if words else _pack_reals)(lower[seen])})
     end = 0
     for r, x, n in zip(rows, firsts, runs, strict=True):
         mine = back[end : end + n.sum()]
         end += len(mine)
         if r["block"] != STORED:
-            said = facts[np.searchsorted(names, x)].T.ravel()
-            out.append({"shard": shard, "block": r["block"], "counts": _pack(counts[mine]), "facts": _pack_reals(said), "numbers": None if last else _pack(numbers[mine])})
+            said = facts[np.searchsorted(names, x)]
+            out.append({"shard": shard, "block": r["block"], "counts": _pack(counts[mine]), "facts": _pack_facts(said), "numbers": None if last else _pack(numbers[mine])})
         if len(out) >= 64:
             yield _answers(out)
             out = []
@@ -510,7 +526,7 @@ def katz(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=N
             sent = _join_said(blocks, said).mapInArrow(lambda b, below=list(levels), level=level: _send_grams(b, below, level), _ddl(_GRAMS))
             if model:
                 sent = sent.unionByName(model.table(spark, n))
-            said.append(save(deal(sent).mapInArrow(lambda b, level=level, last=n == order: _sum_grams(b, level, share, store, last), _ddl(_ANSWER)), n))
+            said.append(save(deal(sent).mapInArrow(lambda b, level=level, words=levels[0] if n == 2 else None, last=n == order: _sum_grams(b, level, words, share, store, last), _ddl(_ANSWER)), n))
             level, hot = _summed(said[-1], level)
             levels.append(level)
         if store:
