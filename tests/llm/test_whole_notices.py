@@ -11,7 +11,8 @@ LONG = {
     "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice",
 }
-SHORT = {"SPDX-License-Identifier: BSD-2-Clause": "bsd", "SPDX-License-Identifier: GPL-2.0-only": "gpl", "SPDX-License-Identifier: LGPL-3.0-only": "lgpl", "Licensed under the GNU GPL v2": "gpl", "Licensed under CC BY 3.0": "cc-by"}
+SHORT = {"SPDX-License-Identifier: BSD-2-Clause": "bsd", "SPDX-License-Identifier: GPL-2.0-only": "gpl", "SPDX-License-Identifier: LGPL-3.0-only": "lgpl", "Licensed under the GNU GPL v2": "gpl", "Licensed under CC BY 3.0": "cc-by",
+         "Apache License 2.0": "apache", "BSD 3-Clause License": "bsd", "Released under GPLv2 or later": "gpl", "Available under MPL 2.0": "mpl", "CC-BY-SA 3.0": "cc-by-sa"}
 
 
 def test_wrapped_notices_and_versions(spark):
@@ -32,3 +33,10 @@ def test_wrapped_notices_and_versions(spark):
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     assert [(rows[k][1], got[k].licenses, w) for k, w in want.items() if got[k].licenses != w] == []
     assert all(got[k].n_paragraphs == 1 for k in want if rows[k][1] in SHORT)
+
+
+def test_texts_without_a_key_hold_no_template():
+    """By brute force: every set of a template's bigrams that would be enough touches a key."""
+    for own, _ in licenses._EVERY:
+        free = [two for two in own if not any(licenses._KEYS.search(w) for w in two)]
+        assert len(free) < licenses.CONTAINED * len(own)
