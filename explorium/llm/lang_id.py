@@ -61,7 +61,8 @@ def features(text: str) -> np.ndarray:
 
 def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 150) -> np.ndarray:
     """Weights and bias (last) of least ||w||^2 / 2 + c * mean squared hinge, by accelerated gradient steps. y: -1 or 1; classes weigh the same."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)  # once, not in each product
+    rows, x = x, np.ones((len(x), x.shape[1] + 1))  # double once, not in each product
+    x[:, :-1] = rows
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
     w = np.zeros(x.shape[1])
     ahead, t, rate = w, 1.0, 1.0 / (1 + 4 * c)  # rows have length at most sqrt(2)
@@ -141,8 +142,10 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "do
     # at most per_language ids of each language: a bounded table
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
     got = sorted((r.lang, bytes(r.x)) for r in rows.select(lang_col, text_col).mapInArrow(_featured, "lang string, x binary").toLocalIterator())
-    x = np.frombuffer(b"".join(r[1] for r in got), np.float32).reshape(-1, WIDTH)
-    return LanguageModel.fit(x, [r[0] for r in got])
+    langs, x = [r[0] for r in got], np.empty((len(got), WIDTH), np.float32)
+    for i in range(len(x)):
+        x[i], got[i] = np.frombuffer(got[i][1], np.float32), None  # held once
+    return LanguageModel.fit(x, langs)
 
 
 def _told(texts: Iterable[str | None], model: LanguageModel) -> list[tuple[str, float]]:

@@ -260,8 +260,9 @@ def _linked(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     seen = scratch.save(texts.mapInArrow(_features, "id long, row string, n long, whole binary, packed binary, bands array<bigint>"), "features")
     # rows of a class have the same set, so any row's features do
     classes = seen.where("n > 0").groupBy("whole").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "packed", "bands")])
-    # the number of a class; written, so it stays
-    nodes = scratch.save(classes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    # the number of a class, rising with its least id; written, so it stays
+    nodes = classes.orderBy(F.col("rep").asc_nulls_last(), "whole").withColumn("id", F.monotonically_increasing_id())
+    nodes = scratch.save(nodes, "nodes")
     members = seen.where("n > 0").select(F.col("id").alias("doc"), "row", "n", "whole").join(nodes.select("whole", "id", "rep"), "whole").drop("whole")
     none = F.lit(None).cast("long")
     members = scratch.save(members.unionByName(seen.where("n = 0").select(F.col("id").alias("doc"), "row", "n", none.alias("id"), none.alias("rep"))), "members")
@@ -276,11 +277,12 @@ def _linked(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     pairs = _dealt(groups, nodes, None).mapInArrow(_nearest, "a long, b long").distinct()
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     links = scratch.save(both.select("a", "b", "x", "y").mapInArrow(_confirmed, "a long, b long"), "first")
-    comps = _named(links, nodes, scratch, "half")
-    meeting = _dealt(groups, nodes, comps.select("node", "component")).mapInArrow(_meeting, ROWS_OUT)
+    comps = connected_components(links, scratch, "half")
+    meeting = _dealt(groups, nodes, comps).mapInArrow(_meeting, ROWS_OUT)
     met = _sorted(meeting.join(sets, "id")).mapInArrow(_met, "a long, b long")
     more = scratch.save(met, "second")
-    return members, _named(links.union(more), nodes, scratch, "full")
+    comps = connected_components(links.union(more), scratch, "full")
+    return members, comps.join(nodes.select(F.col("id").alias("component"), F.col("rep").alias("least")), "component")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -299,13 +301,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
-def _named(links: DataFrame, nodes: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
-    """node, component (of classes) and the least id in it: classes are ordered by their least ids, none last, then by number."""
-    end = lambda c: nodes.select(F.col("id").alias(c), F.struct(F.col("rep").isNull().alias("none"), "rep", "id").alias(f"of_{c}"))
-    ends = links.join(end("a"), "a").join(end("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
-    return connected_components(ends, scratch, tag).select(F.col("node.id").alias("node"), F.col("component.id").alias("component"), F.col("component.rep").alias("least"))
-
-
 def _row_key(id_col: str, text_col: str):
     """A row by its id and text, whatever else it has."""
     return F.concat(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), F.coalesce(F.concat(F.lit(":"), F.col(id_col).cast("string")), F.lit("")))
