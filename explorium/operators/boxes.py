@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from explorium.exceptions import BoxError
+
 Box = dict[str, "tuple[float, float] | frozenset"]
 
 
@@ -148,8 +150,29 @@ def quantile(df: DataFrame, column: str, q: float) -> float | None:
 
 @dataclass
 class PrimBox:
+    """A box and the steps that led to it. ``at`` is the step that counts; once a later box is searched for it can't change."""
+
     limits: Box
     trajectory: list[dict] = field(default_factory=list)
+    frozen: bool = False
+    at: int = -1
+
+    def select(self, step: int) -> dict:
+        """The step of the trajectory whose limits are the box's from now on."""
+        if self.frozen:
+            raise BoxError("a later box has been found without the rows of this one")
+        if not -len(self.trajectory) <= step < len(self.trajectory):
+            raise BoxError(f"the trajectory has {len(self.trajectory)} steps")
+        self.at, self.limits = step, self.trajectory[step]["limits"]
+        return self.trajectory[step]
+
+    @property
+    def current(self) -> dict:
+        return self.trajectory[self.at]
+
+    def nearest(self, what: str, value: float) -> int:
+        """The first step whose coverage, density or other measure is nearest to a value."""
+        return min(range(len(self.trajectory)), key=lambda i: abs(self.trajectory[i][what] - value))
 
 
 class Prim:
@@ -188,8 +211,10 @@ class Prim:
 
     def append(self, found: PrimBox, box: Box) -> dict:
         """Measures one more box and puts it last."""
+        if found.frozen:
+            raise BoxError("a later box has been found without the rows of this one")
         found.trajectory.append(self.entry(box, *self._measure(self._remaining(found), [box])[0]))
-        found.limits = box
+        found.limits, found.at = box, -1
         return found.trajectory[-1]
 
     def _remaining(self, found: PrimBox | None = None) -> DataFrame:
@@ -265,7 +290,9 @@ class Prim:
         return [(b, *m) for b, m in zip(boxes, self._measure(data, boxes), strict=True)] if boxes else []
 
     def find_box(self) -> PrimBox | None:
-        """The next box; None if no rows are left."""
+        """The next box; None if no rows are left. Boxes found before can't change any more."""
+        for earlier in self.found:
+            earlier.frozen = True
         data = self._remaining()
         box, (now,) = dict(self.start), self._measure(data, [self.start])
         if not now[0]:
@@ -287,3 +314,10 @@ class Prim:
         scored = [(self.score(now, (n, m)), len(self.start) - len(restricted(b, self.start)), -i) for i, (b, n, m) in enumerate(options)]
         at = max(range(len(options)), key=lambda i: scored[i])
         return *options[at], scored[at][0]
+
+    def stats(self) -> DataFrame:
+        """The current measures of each box found: box, and what a step of its trajectory has but its limits."""
+        rows = [(i, {k: float(v) for k, v in b.current.items() if k != "limits"}) for i, b in enumerate(self.found)]
+        names = [k for k in self.found[0].current if k != "limits"] if self.found else []
+        table = [(i, *(r[k] for k in names)) for i, r in rows]
+        return self.df.sparkSession.createDataFrame(table, "box int" + "".join(f", {k} double" for k in names))

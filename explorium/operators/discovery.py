@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -16,12 +17,10 @@ from pyspark.sql import types as T
 from explorium.operators import boxes as B
 
 
-def binomial_tail(k: float, n: float, p: float) -> float:
-    """P(X >= k) of n draws at p, as a regularised incomplete beta function (Lentz's continued fraction), so n may be any size."""
-    if k <= 0 or p >= 1:
-        return 1.0
-    if p <= 0 or k > n:
-        return 0.0
+def beta_share(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function, by Lentz's continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
 
     def fraction(a: float, b: float, x: float) -> float:
         tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
@@ -36,9 +35,55 @@ def binomial_tail(k: float, n: float, p: float) -> float:
                 break
         return out
 
-    a, b = k, n - k + 1
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(p) + b * math.log1p(-p))
-    return front * fraction(a, b, p) / a if p < (a + 1) / (a + b + 2) else 1 - front * fraction(b, a, 1 - p) / b
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    return front * fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(b, a, 1 - x) / b
+
+
+def binomial_tail(k: float, n: float, p: float) -> float:
+    """P(X >= k) of n draws at p, as a regularised incomplete beta function, so n may be any size."""
+    if k <= 0 or p >= 1:
+        return 1.0
+    if p <= 0 or k > n:
+        return 0.0
+    return beta_share(k, n - k + 1, p)
+
+
+def f_tail(f: float, d1: float, d2: float) -> float:
+    """P(F >= f) with d1 and d2 degrees of freedom."""
+    return beta_share(d2 / 2, d1 / 2, d2 / (d2 + d1 * f)) if f > 0 else 1.0
+
+
+def chi2_tail(x: float, d: float) -> float:
+    """P(chi squared >= x) with d degrees of freedom: the regularised upper incomplete gamma function by its series or fraction."""
+    if x <= 0:
+        return 1.0
+    a, x = d / 2, x / 2
+    front = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        n = a
+        while abs(term) > abs(total) * 1e-16:
+            n += 1
+            term *= x / n
+            total += term
+        return 1 - front * total
+    tiny, b = 1e-300, x + 1 - a
+    c, d = 1 / tiny, 1 / b
+    h = d
+    for i in range(1, 10_000):
+        an, b = -i * (i - a), b + 2
+        d, c = an * d + b, b + an / c
+        d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+        h *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return front * h
+
+
+def with_p(scores: DataFrame, tail: Callable[[float], float]) -> DataFrame:
+    """Scores, one row a feature, with the chance of as large a score: ``p``."""
+    rows = [(r.feature, r.score, None if r.score is None else tail(r.score)) for r in scores.select("feature", "score").collect()]
+    return scores.sparkSession.createDataFrame(rows, "feature string, score double, p double")
 
 
 def _relaxed(box: B.Box, start: B.Box) -> list[tuple[str, int, B.Box]]:

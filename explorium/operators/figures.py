@@ -113,3 +113,66 @@ def kde_over_time(df: DataFrame, t: str, value: str, points: int = 100, log: boo
     d = x.groupBy(t, "i").agg(F.min("at").alias("at"), F.sum(F.exp(-0.5 * z * z)).alias("d"))
     share = F.col("d") / F.max("d").over(Window.partitionBy(t))
     return d.select(t, "i", "at", (F.log1p(share) if log else share).alias("density"))
+
+
+DENSITIES = {"kde": lambda df, by, value: A.kde(df, by, value), "hist": lambda df, by, value: histograms(df, by, value), "boxplot": lambda df, by, value: boxplot(df, by, value),
+             "violin": lambda df, by, value: violin(df, by, value), "boxenplot": lambda df, by, value: letter_values(df, by, value)}
+PLOTS = ("envelope", "lines", "env_lin")
+
+
+def histograms(df: DataFrame, by: list[str], value: str, bins: int = 11) -> DataFrame:
+    """Counts by group in bins of one width, with limits that all groups share."""
+    lim = F.broadcast(df.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi")))
+    width = (F.col("__hi") - F.col("__lo")) / bins
+    place = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("__lo")) / width))).otherwise(0).cast("long")
+    x = df.where(F.col(value).isNotNull()).crossJoin(lim)
+    return x.groupBy(*by, place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.first(F.col("__lo") + place * width).alias("low"))
+
+
+def density(df: DataFrame, series: str, kind: str = "kde", by: list[str] = (), index: int = -1) -> DataFrame:
+    """How a series' values at its end, or at another index, are spread, by group if there are any."""
+    if kind not in DENSITIES:
+        raise ValueError(f"no density called {kind!r}")
+    return DENSITIES[kind](end_state(df, series, index).where(F.col(series).isNotNull()), list(by), series)
+
+
+def over_time(df: DataFrame, key: str, series: list[str], kind: str = "envelope", by: str | None = None, groups: list | None = None, labels: list[str] | None = None) -> DataFrame:
+    """Lines (key, outcome, t, value), envelopes (outcome, t, low, high) or both (an envelope's rows have no key), by group if there is one."""
+    if kind not in PLOTS:
+        raise ValueError(f"no plot called {kind!r}")
+    x = grouped(df, by, groups, labels) if by else df
+    group = ["group"] if by else []
+    each = F.array(*[F.struct(F.lit(c).alias("outcome"), F.col(c).cast("array<double>").alias("y")) for c in series])
+    long = x.select(key, *group, F.explode(each).alias("s")).select(key, *group, "s.outcome", F.posexplode("s.y").alias("t", "value"))
+    env = A.envelope(long, [*group, "outcome"], "t", "value")
+    return {"lines": long, "envelope": env}[kind] if kind != "env_lin" else long.unionByName(env, allowMissingColumns=True)
+
+
+def densities_over_time(df: DataFrame, key: str, series: str, times: list[int], kind: str = "kde", by: str | None = None, groups: list | None = None) -> tuple[DataFrame, DataFrame]:
+    """The envelope of a series, and its density at up to six positions, with ``t``."""
+    if not 0 < len(times) <= 6:
+        raise ValueError("between one and six times are asked for")
+    x = (grouped(df, by, groups) if by else df).withColumn("__t", F.explode(F.array(*[F.lit(t) for t in times])))
+    x = x.withColumn(series, F.try_element_at(series, F.when(F.col("__t") >= 0, F.col("__t") + 1).otherwise(F.col("__t")))).withColumnRenamed("__t", "t")
+    spread = DENSITIES[kind](x.where(F.col(series).isNotNull()), ["t", *(["group"] if by else [])], series)
+    return over_time(df, key, [series], "envelope", by, groups), spread
+
+
+def extents(df: DataFrame, outcomes: list[str]) -> DataFrame:
+    """Limits of each two outcomes over all groups: outcome_x, outcome_y, low_x, high_x, low_y, high_y."""
+    row = df.agg(*[F.struct(F.min(c).cast("double").alias("low"), F.max(c).cast("double").alias("high")).alias(c) for c in outcomes])
+    pair = [F.struct(F.lit(a).alias("outcome_x"), F.lit(b).alias("outcome_y"), F.col(f"{a}.low").alias("low_x"), F.col(f"{a}.high").alias("high_x"), F.col(f"{b}.low").alias("low_y"), F.col(f"{b}.high").alias("high_y"))
+            for a in outcomes for b in outcomes if a != b]
+    return row.select(F.explode(F.array(*pair)).alias("p")).select("p.*")
+
+
+def pair_lines(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """The way of each run through two series: key, t, x, y and whether the point is its start or end."""
+    z = df.select(key, F.posexplode(F.arrays_zip(F.col(x).alias("x"), F.col(y).alias("y"))).alias("t", "p"), F.greatest(F.size(x), F.size(y)).alias("n"))
+    mark = F.when(F.col("t") == 0, "start").when(F.col("t") == F.col("n") - 1, "end")
+    return z.select(key, "t", "p.x", "p.y", mark.alias("mark"))
+
+
+def class_sizes(df: DataFrame, classes: str) -> DataFrame:
+    """Class and how many rows it has, as a legend of curves gives it."""
+    return df.groupBy(F.col(classes).cast("string").alias("class")).agg(F.count(F.lit(1)).alias("n"))

@@ -9,11 +9,12 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from explorium.operators import analysis as A
@@ -140,6 +141,46 @@ def chi2(df: DataFrame, features: list[str], y: str) -> DataFrame:
     return long.join(F.broadcast(total), "feature").groupBy("feature").agg(F.sum((F.col("o") - e) * (F.col("o") - e) / e).alias("score"))
 
 
+def boosted(df: DataFrame, features: list[str], y: str, classify: bool = True, rounds: int = 50, depth: int = 3, rate: float = 0.1, max_bins: int = 256, seed: int = 0) -> tuple[DataFrame, object]:
+    """Importances by gradient-boosted trees, largest first, and the model. Classes are two."""
+    rows, names, levels = encoded(df, features, y)
+    bins = max([max_bins, *(len(v) for c, v in levels.items() if c != y)])
+    model = (GBTClassifier if classify else GBTRegressor)(maxIter=rounds, maxDepth=depth, stepSize=rate, maxBins=bins, seed=seed).fit(rows)
+    scores = sorted(zip(names, map(float, model.featureImportances.toArray()), strict=True), key=lambda s: (-s[1], s[0]))
+    return df.sparkSession.createDataFrame(scores, "feature string, score double"), model
+
+
+def outcome_of(df: DataFrame, outcome) -> tuple[DataFrame, str, str]:
+    """The rows with y, its name, and whether it is to be told as a class or as a number: a column's name is a number's, a function of the table that gives a Column a class's."""
+    if isinstance(outcome, str):
+        return df.withColumn("y", F.col(outcome).cast("double")), "y", "regression"
+    if callable(outcome):
+        return df.withColumn("y", outcome(df).cast("string")), "y", "classification"
+    raise TypeError("an outcome is a column's name or a function of the table")
+
+
+def scores_over_time(df: DataFrame, features: list[str], series: str, steps: list[int], score: Callable[[DataFrame, list[str], str], DataFrame]) -> DataFrame:
+    """t, feature and score at each of some positions of a series; the table is read once for each."""
+    parts = []
+    for t in steps:
+        at = df.withColumn("__y", F.try_element_at(series, F.lit(t + 1))).where("__y is not null")
+        parts.append(score(at.select(*features, "__y"), features, "__y").select(F.lit(t).alias("t"), "feature", "score"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def top(scores: DataFrame, count: int = 5, by: str = "t") -> DataFrame:
+    """The features of the largest scores at each step."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "feature"))
+    return scores.withColumn("place", place).where(F.col("place") <= count)
+
+
+def jumps(df: DataFrame, series: str) -> DataFrame:
+    """The rows with ``jump``: the largest rise or fall between neighbours of a series, whichever is larger, with its sign."""
+    steps = F.zip_with(F.slice(series, 2, F.greatest(F.size(series) - 1, F.lit(0))), F.slice(series, 1, F.greatest(F.size(series) - 1, F.lit(0))), lambda b, a: b - a)
+    high, low = F.array_max(steps), F.array_min(steps)
+    return df.withColumn("jump", F.when(F.abs(high) >= F.abs(low), high).otherwise(low))
+
+
 def scores_of_all(df: DataFrame, features: list[str], outcomes: list[str], score: Callable[[DataFrame, list[str], str], DataFrame]) -> DataFrame:
     """One row a feature, one column an outcome; a feature that an outcome's scores lack is null there."""
     out = None

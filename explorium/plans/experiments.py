@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,7 @@ def gathered(models: list[M.Model], kind: str, union: bool = True) -> list[D.Par
     return [p for n, p in out.items() if union or all(n in ps for ps in own)]
 
 
-def design_of(spark: SparkSession, asked: int | DataFrame, parameters: list[D.Parameter], sampler: str, seed: int, label: str) -> DataFrame:
+def design_of(spark: SparkSession, asked: int | DataFrame, parameters: list[D.Parameter], sampler, seed: int, label: str) -> DataFrame:
     """A design: as many points as asked for, one point named None without parameters for 0, or the given table numbered by sample_id."""
     if isinstance(asked, DataFrame):
         df = asked
@@ -32,8 +33,8 @@ def design_of(spark: SparkSession, asked: int | DataFrame, parameters: list[D.Pa
     elif asked == 0 or not parameters:
         return spark.range(1).select(F.col("id").alias("sample_id"), F.lit("None").alias(label))
     else:
-        options = {} if sampler in ("ff", "sobol") else {"seed": seed}
-        df = D.SAMPLERS[sampler](spark, parameters, asked, **options)
+        options = {} if not isinstance(sampler, str) or sampler in ("ff", "sobol") else {"seed": seed}
+        df = D.sample(spark, parameters, asked, sampler, **options)
     return df if label in df.columns else df.withColumn(label, F.col("sample_id").cast("string"))
 
 
@@ -49,8 +50,8 @@ def experiments(models: DataFrame, policies: DataFrame, scenarios: DataFrame, ho
     return ids
 
 
-def perform(spark: SparkSession, models: list[M.Model], scenarios: int | DataFrame = 0, policies: int | DataFrame = 0, combine: str = "full_factorial", sampler: str = "lhs", lever_sampler: str = "lhs", union: bool = True, replications: int | list[dict] = 1, seed: int = 0) -> DataFrame:
-    """One row an experiment: its id, model, policy, scenario, parameters, outcomes and status.
+def perform(spark: SparkSession, models: list[M.Model], scenarios: int | DataFrame = 0, policies: int | DataFrame = 0, combine: str = "full_factorial", sampler: str | Callable = "lhs", lever_sampler: str | Callable = "lhs", union: bool = True, replications: int | list[dict] = 1, seed: int = 0, constraints: list[M.Constraint] = ()) -> DataFrame:
+    """One row an experiment: its id, model, policy, scenario, parameters, outcomes and status, and how far it breaks each constraint.
 
     Parameters a model lacks aren't passed to it; a parameter with ``variables`` is passed under those names, and where
     null it takes its default. With replications, outcomes are arrays over them in order and the status is the first
@@ -68,7 +69,8 @@ def perform(spark: SparkSession, models: list[M.Model], scenarios: int | DataFra
     for i, m in enumerate(models):
         one = every.where(F.col("model_id") == i)
         parts.append(_replicated(m, _passed(m, one), replications).select(*[c for c in one.columns], *[o.name for o in m.outcomes], "status"))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).drop("model_id", "policy_id", "scenario_id")
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).drop("model_id", "policy_id", "scenario_id")
+    return M.constrained(out, list(constraints))
 
 
 def _passed(model: M.Model, design: DataFrame) -> DataFrame:
@@ -79,9 +81,8 @@ def _passed(model: M.Model, design: DataFrame) -> DataFrame:
             out = out.withColumn(p.name, F.lit(p.default))
         elif p.default is not None:
             out = out.withColumn(p.name, F.coalesce(F.col(p.name), F.lit(p.default)))
-        for v in p.variables:
-            if v != p.name:
-                out = out.withColumn(v, F.col(p.name))
+        if p.name in out.columns:
+            out = out.withColumns({v: c for v, c in p.passed().items() if v != p.name or p.kind == "category"})
     return out
 
 
@@ -97,7 +98,9 @@ def _replicated(model: M.Model, design: DataFrame, replications: int | list[dict
     ran = M.run(model, long)
     names = [o.name for o in model.outcomes]
     rows = F.array_sort(F.collect_list(F.struct("replication", "status", *names)))
-    out = ran.groupBy(*design.columns).agg(rows.alias("__rows"))
+    # an experiment is one row of the design
+    rest = [c for c in design.columns if c != "experiment_id"]
+    out = ran.groupBy("experiment_id").agg(rows.alias("__rows"), *[F.first(c).alias(c) for c in rest])
     bad = F.filter("__rows", lambda r: r["status"] != "ok")
     status = F.when(F.size(bad) > 0, F.try_element_at(bad, F.lit(1))["status"]).otherwise("ok")
     return out.select(*design.columns, *[F.col(f"__rows.{c}").alias(c) for c in names], status.alias("status"))

@@ -176,10 +176,11 @@ def figure_boxplot(spark, d):
                 t AS (SELECT level, side, CASE WHEN side = 0 THEN pow(0.5, level + 2) ELSE 1 - pow(0.5, level + 2) END AS p FROM range(4) a(level), range(2) b(side)),
                 e AS (SELECT event_type, level::INT AS level, side, max(n) AS n, max((n - 1) * p - floor((n - 1) * p)) AS part,
                              max(CASE WHEN r = floor((n - 1) * p) THEN value END) AS lo, max(CASE WHEN r = ceil((n - 1) * p) THEN value END) AS hi FROM o, t GROUP BY 1, 2, 3)
-           SELECT event_type, level, round(max(CASE WHEN side = 0 THEN lo + (hi - lo) * part END), 5) AS low, round(max(CASE WHEN side = 1 THEN lo + (hi - lo) * part END), 5) AS high
+           SELECT event_type, level, max(CASE WHEN side = 0 THEN lo + (hi - lo) * part END) AS low, max(CASE WHEN side = 1 THEN lo + (hi - lo) * part END) AS high
            FROM e WHERE pow(0.5, level + 2) * n >= 0.5 GROUP BY 1, 2""")
 def figure_letter_values(spark, d):
-    return rounded(figures.letter_values(_t(spark, d, "events"), ["event_type"], "value", depth=4), "low", "high", digits=5)
+    # the same steps on the same two values, so nothing is rounded
+    return figures.letter_values(_t(spark, d, "events"), ["event_type"], "value", depth=4)
 
 
 @_query("""SELECT o_orderkey, a AS outcome_x, b AS outcome_y, x, y FROM (
@@ -212,9 +213,64 @@ def figure_parallel_axes(spark, d):
     return rounded(figures.parallel_axes(_t(spark, d, "customer"), "c_custkey", ["c_acctbal", "c_mktsegment"]), "at", digits=6)
 
 
-@_query()
+@_query("""WITH m AS (SELECT min(o_totalprice) AS x0, max(o_totalprice) AS x1, min(o_custkey) AS y0, max(o_custkey) AS y1 FROM orders),
+                s AS (SELECT *, (x1 - x0) / 20 AS sx, (y1 - y0) / 11.0::DOUBLE AS sy FROM m),
+                p AS (SELECT *, (o_totalprice - x0) / sx AS u, (o_custkey - y0) / sy AS v FROM orders, s),
+                c AS (SELECT *, floor(u + 0.5) AS i1, floor(v + 0.5) AS j1, floor(u) + 0.5 AS i2, floor(v) + 0.5 AS j2 FROM p),
+                d AS (SELECT *, pow(u - i1, 2) + 3 * pow(v - j1, 2) < pow(u - i2, 2) + 3 * pow(v - j2, 2) AS one FROM c)
+           SELECT round(x0 + CASE WHEN one THEN i1 ELSE i2 END * sx, 4) AS cx, round(y0 + CASE WHEN one THEN j1 ELSE j2 END * sy, 4) AS cy, count(*) AS n FROM d GROUP BY 1, 2""")
 def figure_hexbins(spark, d):
-    return figures.hexbins(_t(spark, d, "orders"), "o_totalprice", "o_custkey")
+    return rounded(figures.hexbins(_t(spark, d, "orders"), "o_totalprice", "o_custkey"), "cx", "cy")
+
+
+@_query("""WITH l AS (SELECT o_orderstatus AS class, unnest(['o_totalprice', 'o_custkey']) AS dimension, unnest([o_totalprice, o_custkey::DOUBLE]) AS value FROM orders),
+                e AS (SELECT * FROM l UNION ALL SELECT NULL, dimension, value FROM l)
+           SELECT dimension, class, value, row_number() OVER (PARTITION BY dimension, class ORDER BY value)::DOUBLE / count(*) OVER (PARTITION BY dimension, class) AS f FROM e""")
+def window_cdf_set(spark, d):
+    return A.cdf_set(_t(spark, d, "orders"), ["o_totalprice", "o_custkey"], "o_orderstatus")
+
+
+@_query("""WITH n AS (SELECT o_orderstatus AS class, o_orderpriority AS category, count(*) AS n FROM orders GROUP BY 1, 2),
+                w AS (SELECT category, sum(n)::BIGINT AS n, row_number() OVER (ORDER BY sum(n), category) AS place FROM n GROUP BY 1),
+                g AS (SELECT c.class, w.category, w.place, coalesce(n.n, 0) AS n FROM (SELECT DISTINCT class FROM n) c CROSS JOIN w LEFT JOIN n ON n.class = c.class AND n.category = w.category
+                      UNION ALL SELECT NULL, category, place, n FROM w)
+           SELECT 'o_orderpriority' AS dimension, class, category, n::DOUBLE / sum(n) OVER (PARTITION BY class) AS share,
+                  1 - sum(n) OVER (PARTITION BY class ORDER BY place)::DOUBLE / sum(n) OVER (PARTITION BY class) AS f FROM g""")
+def window_discrete_ccdf_set(spark, d):
+    return A.discrete_cdf_set(_t(spark, d, "orders"), ["o_orderpriority"], "o_orderstatus", complement=True)
+
+
+@_query("""WITH m AS (SELECT min(o_totalprice) AS lo, (max(o_totalprice) - min(o_totalprice)) / 11 AS w FROM orders)
+           SELECT o_orderstatus, least(10, floor((o_totalprice - lo) / w))::BIGINT AS bin, count(*) AS n FROM orders, m GROUP BY 1, 2""")
+def figure_histograms(spark, d):
+    return figures.histograms(_t(spark, d, "orders"), ["o_orderstatus"], "o_totalprice").drop("low")
+
+
+@_query("""WITH x AS (SELECT label::VARCHAR AS "group", unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS t FROM embeddings WHERE label IS NOT NULL)
+           SELECT "group", 'embedding' AS outcome, t::INT AS t, round(min(v), 5) AS low, round(max(v), 5) AS high FROM x GROUP BY 1, 3""")
+def figure_envelopes(spark, d):
+    df = _t(spark, d, "embeddings").withColumn("label", F.col("label").cast("string"))
+    return rounded(figures.over_time(df, "vec_id", ["embedding"], "envelope", "label"), "low", "high", digits=5)
+
+
+@_query("""SELECT 'o_totalprice' AS outcome_x, 'o_custkey' AS outcome_y, min(o_totalprice) AS low_x, max(o_totalprice) AS high_x, min(o_custkey)::DOUBLE AS low_y, max(o_custkey)::DOUBLE AS high_y FROM orders
+           UNION ALL SELECT 'o_custkey', 'o_totalprice', min(o_custkey)::DOUBLE, max(o_custkey)::DOUBLE, min(o_totalprice), max(o_totalprice) FROM orders""")
+def figure_extents(spark, d):
+    return figures.extents(_t(spark, d, "orders"), ["o_totalprice", "o_custkey"])
+
+
+@_query("""WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT vec_id, list_transform(range(1, len(e)), lambda i: e[i + 1] - e[i]) AS d FROM x)
+           SELECT vec_id, round(CASE WHEN abs(list_max(d)) >= abs(list_min(d)) THEN list_max(d) ELSE list_min(d) END, 5) AS jump FROM s""")
+def project_jumps(spark, d):
+    return rounded(trees.jumps(_t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e")), "e").select("vec_id", "jump"), "jump", digits=5)
+
+
+@_query("""SELECT n AS sample_id, n // 8 AS t, (n % 8)::DOUBLE AS k, round((n // 8) * (n % 8) / 10::DOUBLE, 6) AS y, greatest(0, (n % 8) - 5)::DOUBLE AS far FROM range(96) r(n)""")
+def run_constraints(spark, d):
+    """Runs of a plain design, with how far each breaks a constraint on a parameter."""
+    design = spark.range(96).select(F.col("id").alias("sample_id"), F.floor(F.col("id") / 8).alias("t"), (F.col("id") % 8).cast("double").alias("k"))
+    model = M.Model("product", [M.Outcome("y")], expressions={"y": lambda df: F.round(df.t * df.k / 10, 6)})
+    return M.constrained(M.run(model, design), [M.Constraint("far", ("k",), lambda k: F.greatest(F.lit(0.0), k - 5))]).drop("status")
 
 
 @_query()
