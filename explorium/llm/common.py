@@ -31,6 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of whole texts that go to Python at once; the default of 10,000 takes two executor cores hundreds of MB.
+BATCH = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on no more than BATCH rows of this session go to Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, BATCH)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Families of written languages.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"),
@@ -189,6 +191,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def identified(docs: DataFrame) -> DataFrame:
     """The documents whose language is told, with their own columns. Each row is told by its own text, whatever its id."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs.where(~held_out())))
     at = docs.columns.index("text")
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small_batches
 from .components import connected_components
 
 SHINGLE, HASHES, ROWS, BITS, CUT, BLOCK = 5, 128, 4, 4, 0.58, 1024
@@ -312,6 +312,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     That row has the component's least id, null ids coming last. Rows without words are linked with nothing and stay;
     rows equal in id and text count once.
     """
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "keep")
     rows = docs.withColumn("__row", _row_key(id_col, text_col))
     members, comps = _linked(rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col("__row").alias("row")), scratch)
