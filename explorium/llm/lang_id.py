@@ -200,5 +200,6 @@ def identified(docs: DataFrame) -> DataFrame:
             for start in range(0, b.num_rows, 256):
                 part = b.slice(start, 256)
                 yield part.filter(pa.array([s[0] != UNKNOWN for s in _told((t.as_py() for t in part.column(at)), shared.value)], pa.bool_()))
+        pa.default_memory_pool().release_unused()  # the process goes on to other tasks
 
     return docs.mapInArrow(run, docs.schema)

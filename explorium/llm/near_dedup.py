@@ -108,6 +108,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = [b.column(0).slice(at, 512), b.column(2).slice(at, 512)]
             made = [pa.array(count, pa.int64()), pa.array(whole, pa.binary()), pa.array(packed, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(own + made, ["id", "row", "n", "whole", "packed", "bands"])
+    pa.default_memory_pool().release_unused()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,6 +118,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(texts), 512):
             s = [shingles(t.as_py(), known).tobytes() for t in texts.slice(at, 512)]
             yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 512), pa.array(map(xxhash.xxh3_128_digest, s), pa.binary()), pa.array(s, pa.binary())], ["id", "whole", "s"])
+    pa.default_memory_pool().release_unused()
 
 
 def estimates(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -134,7 +136,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     held: pa.Table | None = None
     for b in batches:
         held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-        if held.num_rows < 4 * BLOCK and held.nbytes < 1 << 25:
+        if held.num_rows < 4 * BLOCK and held.nbytes < 1 << 23:
             continue
         key, task = held.column("key").to_numpy(), held.column("task").to_numpy()
         ends = np.flatnonzero((key[1:] != key[:-1]) | (task[1:] != task[:-1]))
@@ -143,6 +145,8 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             held = held.slice(ends[-1] + 1)
     if held is not None and held.num_rows:
         yield held
+    held = None
+    pa.default_memory_pool().release_unused()  # the process goes on to other tasks
 
 
 class _Rows:
