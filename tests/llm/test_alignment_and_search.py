@@ -209,7 +209,7 @@ def odd_texts():
     r = random.Random(8)
     chars = ["a", "b", "the", "Hello", " ", " ", "  ", "\n", "\t", "\r\n", " ", " ", "　", "\x1c", "\x1f", "\x85", "\x00", "é", "é", "漢字", "😀", "👩‍👩‍👧", "'s", "'t", "12", "3", ".", "...", "(", "),", "<s>", "</s>", "<unk>", "<0x0A>", "<|endoftext|>", "﻿", "ﬁ", "़", "https://", "_", "__", "ب", "​"]
     texts = ["".join(r.choices(chars, k=r.choice([1, 2, 3, 5, 9, 30]))) for _ in range(400)]
-    texts += [None, "", " ", "  ", "   ", "a ", "a  ", " a", "\n", "\n ", " \n", "a▁b", "▁", "a ▁ b", "x" * 3000, "漢字かな" * 300, " " * 500, "\n" * 300, "the " * 700, "ab \x1c cd", "ab\x1c cd", "\x00", "�"]
+    texts += [None, "", " ", "  ", "   ", "a ", "a  ", " a", "\n", "\n ", " \n", "a▁b", "▁", "a ▁ b", "x" * 3000, "漢字かな" * 300, "a.b c, e.g. x) i.e.; it's 't ''s don't. x\r\n\ty\r z.\r\n", "ab.\n\ncd!\n \n ef\t\tgh", "\n", "\t.", ".", " .", "..", "é. ü, ñ\x85. ñ!\x1c", " " * 500, "\n" * 300, "the " * 700, "ab \x1c cd", "ab\x1c cd", "\x00", "�"]
     return [(k % 400 if k % 7 else None, t) for k, t in enumerate(texts)]
 
 
@@ -234,5 +234,7 @@ def test_memory_of_stretches_is_let_go():
     before = pair.known
     pair.learn({" one", " two"})
     pair.held = alignment.REMEMBERED + 1
-    pair.learn({" two", " " + "three" * 100})
-    assert pair.known is not before and set(pair.known) == {" two", " " + "three" * 100}
+    one, two = before[" one"], before[" two"]
+    pair.learn({" two", " " + "three" * 100, " four.", "\nfive?!", "\t", " six\u00a0."})
+    assert pair.known[" two"] is two and pair.before[" one"] is one
+    assert pair.known is not before and set(pair.known) == {" two", " " + "three" * 100, " four.", " four", ".", "\nfive?!", "\nfive", "?!", "\t", " six\u00a0."}
