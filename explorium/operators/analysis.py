@@ -30,26 +30,34 @@ def envelope(df: DataFrame, by: list[str], t: str, value: str) -> DataFrame:
     return df.groupBy(*by, t).agg(F.min(value).alias("low"), F.max(value).alias("high"))
 
 
+def _limits(df: DataFrame, column: str, *more: Column) -> DataFrame:
+    """__lo and __hi of a column in one row; half a unit below and above a column of one value."""
+    lo, hi = F.min(column), F.max(column)
+    half = F.when(lo == hi, 0.5).otherwise(0)
+    return df.agg((lo - half).alias("__lo"), (hi + half).alias("__hi"), *more)
+
+
 def equal_width(df: DataFrame, column: str, bins: int) -> DataFrame:
-    """``df`` with ``bin``: right-closed bins of one width, from 0; the limits come from one aggregate row."""
-    lim = df.agg(F.min(column).alias("__lo"), F.max(column).alias("__hi"))
+    """``df`` with ``bin``: right-closed bins of one width, from 0; the limits come from one aggregate row. One value falls in the middle bin, null in none."""
     width = (F.col("__hi") - F.col("__lo")) / bins
-    return df.crossJoin(F.broadcast(lim)).withColumn("bin", F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.ceil((F.col(column) - F.col("__lo")) / width) - 1)).cast("long")).drop("__lo", "__hi")
+    place = F.coalesce(F.ceil(F.try_divide(F.col(column) - F.col("__lo"), width)) - 1, F.when(F.col(column).isNotNull(), 0))
+    return df.crossJoin(F.broadcast(_limits(df, column))).withColumn("bin", F.when(F.col(column).isNotNull(), F.least(F.lit(bins - 1), F.greatest(F.lit(0), place))).cast("long")).drop("__lo", "__hi")
 
 
 def histogram(df: DataFrame, column: str, bins: int = 11) -> DataFrame:
-    lim = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.count(column).alias("total"))
+    """Counts and densities of bins of one width, without the empty ones. One value alone has the middle bin of a unit's width."""
+    lim = _limits(df, column, F.count(column).alias("total"))
     x = df.where(F.col(column).isNotNull()).crossJoin(F.broadcast(lim))
-    width = (F.col("hi") - F.col("lo")) / bins
-    x = x.withColumn("bin", F.least(F.lit(bins - 1), F.floor((F.col(column) - F.col("lo")) / width)).cast("long"))
-    return x.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) / (F.max("total") * F.max(width))).alias("density"))
+    width = (F.col("__hi") - F.col("__lo")) / bins
+    x = x.withColumn("bin", F.least(F.lit(bins - 1), F.coalesce(F.floor(F.try_divide(F.col(column) - F.col("__lo"), width)), F.lit(0))).cast("long"))
+    return x.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.count(F.lit(1)), F.max("total") * F.max(width)).alias("density"))
 
 
 def kde(df: DataFrame, by: list[str], column: str, points: int = 50) -> DataFrame:
-    """Gaussian kernel density by group on an even grid, Scott's bandwidth. The grid is exploded on each row and summed map-side."""
+    """Gaussian kernel density by group on an even grid, Scott's bandwidth. The grid is exploded on each row and summed map-side. A group of one value or row has no density (null)."""
     s = df.groupBy(*by).agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.count(column).alias("n"), F.stddev_samp(column).alias("sd"))
     x = df.select(*by, column).join(s, by) if by else df.select(column).crossJoin(F.broadcast(s))
-    h = F.col("sd") * F.pow(F.col("n"), F.lit(-0.2))
+    h = F.nullif(F.col("sd"), F.lit(0.0)) * F.pow(F.nullif(F.col("n"), F.lit(0)), F.lit(-0.2))
     x = x.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("at", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (points - 1))
     z = (F.col("at") - F.col(column)) / h
     return x.groupBy(*by, "i").agg(F.min("at").alias("at"), (F.sum(F.exp(-0.5 * z * z)) / (F.min("n") * F.min(h) * math.sqrt(2 * math.pi))).alias("density"))
@@ -104,25 +112,24 @@ def cdf(df: DataFrame, by: str, column: str) -> DataFrame:
 
 
 def cdf_set(df: DataFrame, columns: list[str], classes: str, complement: bool = False) -> DataFrame:
-    """For regional sensitivity: of each number column and each class of a column, and of all rows together (class null): value and the share of values up to it, or beyond it with ``complement``."""
+    """For regional sensitivity: of each number column and each class of a column, and of all rows together (class null): value and the share of rows before it, from 0 on, or what that leaves of 1 with ``complement``."""
     long = df.select(F.col(classes).cast("string").alias("class"), F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("double").alias("value")) for c in columns])).alias("v")).select("class", "v.*")
     long = long.where("value is not null")
     every = long.where("class is not null").unionByName(long.withColumn("class", F.lit(None).cast("string")))
-    share = (F.col("__rank") + 1) / F.col("__n")
+    share = F.col("__rank") / F.col("__n")
     return ranked(every, ["dimension", "class"], "value").select("dimension", "class", "value", (1 - share if complement else share).alias("f"))
 
 
 def discrete_cdf_set(df: DataFrame, columns: list[str], classes: str, complement: bool = False) -> DataFrame:
-    """The same for categories: dimension, class (null: all rows), category, its share, and the running share in the order of the categories over all rows, rarest first."""
+    """The same for categories: dimension, class (null: all rows), category, its share, and the running share, the class's rarest first."""
     long = df.select(F.col(classes).cast("string").alias("class"), F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("category")) for c in columns])).alias("v")).select("class", "v.*")
     n = long.where("category is not null").groupBy("dimension", "class", "category").agg(F.count(F.lit(1)).alias("n"))
     whole = n.groupBy("dimension", "category").agg(F.sum("n").alias("n"))
-    order = whole.select("dimension", "category", F.row_number().over(Window.partitionBy("dimension").orderBy("n", "category")).alias("place"))
     present = n.where("class is not null").select("dimension", "class").distinct()
-    grid = present.join(order, "dimension").join(n, ["dimension", "class", "category"], "left").fillna(0, ["n"])
-    grid = grid.unionByName(whole.join(order, ["dimension", "category"]).withColumn("class", F.lit(None).cast("string")))
+    grid = present.join(whole.select("dimension", "category"), "dimension").join(n, ["dimension", "class", "category"], "left").fillna(0, ["n"])
+    grid = grid.unionByName(whole.withColumn("class", F.lit(None).cast("string")))
     group = Window.partitionBy("dimension", "class")
-    run = F.sum("n").over(group.orderBy("place")) / F.sum("n").over(group)
+    run = F.sum("n").over(group.orderBy("n", "category")) / F.sum("n").over(group)
     return grid.select("dimension", "class", "category", (F.col("n") / F.sum("n").over(group)).alias("share"), (1 - run if complement else run).alias("f"))
 
 
@@ -205,21 +212,25 @@ def grid_cells(df: DataFrame, objectives: list[str], widths: list[float]) -> Dat
 
 
 def f_regression(df: DataFrame, features: list[str], y: str) -> DataFrame:
-    """F of a linear relation to y for each feature; one pass."""
-    row = df.agg(*[F.corr(c, y).alias(c) for c in features], F.count(F.lit(1)).alias("__n"))
-    out = row.select("__n", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("r")) for c in features])).alias("s"))
-    r2 = F.col("s.r") * F.col("s.r")
-    return out.select("s.feature", (r2 / (1 - r2) * (F.col("__n") - 2)).alias("score"))
+    """F of a linear relation to y for each feature; one pass. Null where either is constant or there are two rows at most, infinite where the relation is exact."""
+    both = lambda c, of: F.var_pop(F.when(F.col(c).isNotNull() & F.col(y).isNotNull(), F.col(of).cast("double")))
+    row = df.agg(*[F.struct(F.covar_pop(c, y).alias("xy"), both(c, c).alias("xx"), both(c, y).alias("yy")).alias(c) for c in features], F.count(F.lit(1)).alias("__n"))
+    out = row.select("__n", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("m")) for c in features])).alias("s"))
+    share = F.try_divide(F.col("s.m.xy") * F.col("s.m.xy"), F.col("s.m.xx") * F.col("s.m.yy"))
+    r2 = F.when(share > 1, 1.0).otherwise(share)
+    f = F.when(r2 == 1, float("inf")).otherwise(F.try_divide(r2, 1 - r2) * (F.col("__n") - 2))
+    return out.select("s.feature", F.when(F.col("__n") > 2, f).alias("score"))
 
 
 def f_classif(df: DataFrame, features: list[str], y: str) -> DataFrame:
-    """One-way analysis of variance of each feature over the classes of y."""
+    """One-way analysis of variance of each feature over the classes of y. Null for a constant feature, a single class or classes of a row each; infinite where only the classes differ."""
     parts = df.groupBy(y).agg(F.count(F.lit(1)).alias("n"), *[f for c in features for f in (F.avg(c).alias(f"m_{c}"), F.var_pop(c).alias(f"v_{c}"))])
     total = df.agg(*[F.avg(c).alias(f"g_{c}") for c in features])
     x = parts.crossJoin(F.broadcast(total))
     row = x.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), *[f for c in features for f in (F.sum(F.col("n") * (F.col(f"m_{c}") - F.col(f"g_{c}")) ** 2).alias(f"b_{c}"), F.sum(F.col("n") * F.col(f"v_{c}")).alias(f"w_{c}"))])
     out = row.select("n", "k", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"b_{c}").alias("b"), F.col(f"w_{c}").alias("w")) for c in features])).alias("s"))
-    return out.select("s.feature", ((F.col("s.b") / (F.col("k") - 1)) / (F.col("s.w") / (F.col("n") - F.col("k")))).alias("score"))
+    between, within = F.try_divide(F.col("s.b"), F.col("k") - 1), F.try_divide(F.col("s.w"), F.col("n") - F.col("k"))
+    return out.select("s.feature", F.when((within == 0) & (between > 0), float("inf")).otherwise(F.try_divide(between, within)).alias("score"))
 
 
 def covered(df: DataFrame, p: str, y: str, steps: int = 10) -> DataFrame:

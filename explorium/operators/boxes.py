@@ -50,10 +50,10 @@ def normalized(box: Box, start: Box) -> dict[str, tuple[float, float]]:
 
 
 def box_stats(df: DataFrame, y: str, box: Box) -> DataFrame:
-    """coverage, density, mean, mass, n, k of a 0/1 outcome in a box; one pass."""
+    """coverage, density, mass, n, k of a 0/1 outcome in a box; one pass. A box without rows has no density (null), an empty table no mass."""
     inside = in_box(box)
     n, k = F.count_if(inside), F.sum(F.when(inside, F.col(y)).otherwise(0))
-    return df.agg((k / F.greatest(F.sum(y), F.lit(1))).alias("coverage"), (k / n).alias("density"), (n / F.count(F.lit(1))).alias("mass"), n.alias("n"), k.alias("k"))
+    return df.agg((k / F.greatest(F.sum(y), F.lit(1))).alias("coverage"), F.try_divide(k, n).alias("density"), F.try_divide(n, F.count(F.lit(1))).alias("mass"), n.alias("n"), k.alias("k"))
 
 
 def walked_quantile(values: Column, q: float) -> Column:

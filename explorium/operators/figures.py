@@ -103,15 +103,15 @@ def parallel_axes(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def kde_over_time(df: DataFrame, t: str, value: str, points: int = 100, log: bool = False) -> DataFrame:
-    """Density at each step on one grid for all steps, as a share of the step's highest."""
+    """Density at each step on one grid for all steps, as a share of the step's highest. Null at a step of one value or row."""
     lim = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     s = df.groupBy(t).agg(F.count(value).alias("n"), F.stddev_samp(value).alias("sd"))
     x = df.select(t, value).join(F.broadcast(s), t).crossJoin(F.broadcast(lim))
-    h = F.col("sd") * F.pow(F.col("n"), F.lit(-0.2))
+    h = F.nullif(F.col("sd"), F.lit(0.0)) * F.pow(F.nullif(F.col("n"), F.lit(0)), F.lit(-0.2))
     x = x.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("at", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (points - 1))
     z = (F.col("at") - F.col(value)) / h
     d = x.groupBy(t, "i").agg(F.min("at").alias("at"), F.sum(F.exp(-0.5 * z * z)).alias("d"))
-    share = F.col("d") / F.max("d").over(Window.partitionBy(t))
+    share = F.try_divide(F.col("d"), F.max("d").over(Window.partitionBy(t)))
     return d.select(t, "i", "at", (F.log1p(share) if log else share).alias("density"))
 
 

@@ -1,24 +1,26 @@
 """Trees and forests over experiment tables, and scores of features.
 
-Trees are grown by the engine's own learner on binned columns. Categories are taken in alphabetical order; a row with a
-null in a feature or the outcome is left out.
+A single tree has exact cuts; ``forests`` also has random ones and out-of-bag votes. The forests and boosted trees here
+are grown by the engine's own learner on binned columns, with categories in alphabetical order. A row with a null in a
+feature or the outcome is left out.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from explorium.operators import analysis as A
 from explorium.operators import boxes as B
+from explorium.operators import forests
+from explorium.sources.shared import Tables
 
 
 def encoded(df: DataFrame, features: list[str], y: str) -> tuple[DataFrame, list[str], dict[str, list]]:
@@ -44,56 +46,49 @@ def encoded(df: DataFrame, features: list[str], y: str) -> tuple[DataFrame, list
 
 
 class Cart:
-    """A tree whose leaves are boxes of at least ``mass_min`` of the rows. mode: binary, classes or regression."""
+    """A tree whose leaves are boxes of at least ``mass_min`` of the rows. mode: binary, classes or regression.
 
-    def __init__(self, df: DataFrame, y: str, columns: list[str], mass_min: float = 0.05, mode: str = "binary", max_bins: int = 256, max_depth: int = 15, seed: int = 0):
+    Cuts are exact, midway between neighbouring values; categories are split level by level, one against the rest.
+    """
+
+    def __init__(self, df: DataFrame, y: str, columns: list[str], mass_min: float = 0.05, mode: str = "binary", max_depth: int = 64):
+        if mode not in ("binary", "classes", "regression"):
+            raise ValueError(f"no mode called {mode!r}")
         self.df, self.y, self.mode, self.columns = df, y, mode, columns
         self.start = B.bounding_box(df.withColumns({c: F.col(c).cast("string") for c, k in df.dtypes if k == "boolean"}), columns)
-        rows, self.names, self.levels = encoded(df, columns, y)
-        least = max(1, int(mass_min * rows.count()))
-        bins = max([max_bins, *(len(v) for c, v in self.levels.items() if c != y)])
-        learner = DecisionTreeRegressor if mode == "regression" else DecisionTreeClassifier
-        self.model = learner(maxDepth=max_depth, maxBins=bins, minInstancesPerNode=least, seed=seed).fit(rows)
-
-    def tree(self) -> str:
-        return self.model.toDebugString
-
-    def _leaves(self) -> list[list[tuple[str, str, object]]]:
-        """The tests on the way to each leaf: column, operator, limit or set of levels."""
-        out, path = [], []
-        for line in self.model.toDebugString.splitlines()[1:]:
-            depth = len(line) - len(line.lstrip())
-            text = line.strip()
-            if text.startswith("Predict"):
-                out.append([t for d, t in path if d < depth])
-                continue
-            while path and path[-1][0] >= depth:
-                path.pop()
-            m = re.match(r"(?:If|Else) \(feature (\d+) (<=|>|in|not in) (.+)\)$", text)
-            name, op, value = self.names[int(m[1])], m[2], m[3]
-            if op in ("<=", ">"):
-                path.append((depth, (name, op, float(value))))
-            else:
-                path.append((depth, (name, op, frozenset(self.levels[name][int(float(v))] for v in value.strip("{}").split(",")))))
-        return out
+        rows, self.slots = forests.one_hot(df, columns, y)
+        rows = Tables(df.sparkSession, "cart").save(rows, "rows")
+        self.classes = [] if mode == "regression" else sorted(r[0] for r in rows.select("y").distinct().collect())
+        self.nodes = forests.exact_tree(rows, self.slots, self.classes, max(1, int(mass_min * rows.count())), max_depth)
+
+    def tree(self, node: int = 0, indent: str = "") -> str:
+        """The tree as text: a line a node, tests with their limits or levels, leaves with their rows."""
+        own = self.nodes.get(node)
+        if own is None:
+            return ""
+        told = ", ".join(f"{v:g}" for v in own.sums) if self.classes else f"{own.sums[0] / own.n:g}"
+        if own.slot is None:
+            return f"{indent}leaf: {own.n} rows ({told})\n"
+        s = self.slots[own.slot]
+        yes, no = (f"{s.column} <= {own.cut:g}", f"{s.column} > {own.cut:g}") if s.level is None else (f"{s.column} is not {s.level!r}", f"{s.column} is {s.level!r}")
+        return f"{indent}{yes}\n{self.tree(2 * node + 1, indent + '  ')}{indent}{no}\n{self.tree(2 * node + 2, indent + '  ')}"
 
     def boxes(self) -> list[B.Box]:
-        """Closed limits: the lower end of a right branch is the least value beyond the cut."""
-        leaves = self._leaves()
-        cuts = sorted({(c, v) for leaf in leaves for c, op, v in leaf if op in ("<=", ">")})
-        row = self.df.agg(*[f for i, (c, v) in enumerate(cuts) for f in (F.max(F.when(F.col(c) <= v, F.col(c))).alias(f"lo{i}"), F.min(F.when(F.col(c) > v, F.col(c))).alias(f"hi{i}"))]).first() if cuts else None
-        edge = {cut: (row[f"lo{i}"], row[f"hi{i}"]) for i, cut in enumerate(cuts)}
-        out = []
-        for leaf in leaves:
-            box = dict(self.start)
-            for c, op, v in leaf:
-                if op == "<=":
-                    box[c] = (box[c][0], min(box[c][1], edge[c, v][0]))
-                elif op == ">":
-                    box[c] = (max(box[c][0], edge[c, v][1]), box[c][1])
-                else:
-                    box[c] = box[c] & v if op == "in" else box[c] - v
-            out.append(box)
+        """A box a leaf, from left to right. Limits are closed: the lower end of a right branch is the least value beyond the cut."""
+        out, todo = [], [(0, dict(self.start))] if self.nodes else []
+        while todo:
+            k, box = todo.pop()
+            own = self.nodes[k]
+            if own.slot is None:
+                out.append(box)
+                continue
+            s = self.slots[own.slot]
+            if s.level is None:
+                lo, hi = box[s.column]
+                below, above = (lo, min(hi, type(hi)(own.edge[0]))), (max(lo, type(lo)(own.edge[1])), hi)
+            else:
+                below, above = box[s.column] - {s.level}, box[s.column] & {s.level}
+            todo += [(2 * k + 2, box | {s.column: above}), (2 * k + 1, box | {s.column: below})]
         return out
 
     def stats(self) -> DataFrame:
@@ -120,8 +115,10 @@ class Cart:
 def forest(df: DataFrame, features: list[str], y: str, classify: bool = True, trees: int = 250, max_bins: int = 256, max_depth: int = 12, seed: int = 0, how: str = "forest") -> DataFrame:
     """Importances, largest first. forest: root-many features a split on resampled rows; extra: a third of them on all rows, with larger leaves.
 
-    The learner has no random cuts; ``extra`` keeps the other settings of that method.
+    The learner has no random cuts; ``extra`` keeps the other settings of that method. ``forests.scores`` has them.
     """
+    if how not in ("forest", "extra"):
+        raise ValueError(f"no forest called {how!r}")
     rows, names, levels = encoded(df, features, y)
     n = rows.count()
     bins = max([max_bins, *(len(v) for c, v in levels.items() if c != y)])
@@ -133,12 +130,12 @@ def forest(df: DataFrame, features: list[str], y: str, classify: bool = True, tr
 
 
 def chi2(df: DataFrame, features: list[str], y: str) -> DataFrame:
-    """Sum of squared differences of a nonnegative feature's totals by class from what the classes' shares let expect; one pass."""
+    """Sum of squared differences of a nonnegative feature's totals by class from what the classes' shares let expect; one pass. Null for a feature that is all zero."""
     parts = df.where(F.col(y).isNotNull()).groupBy(y).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).cast("double").alias(c) for c in features])
     long = parts.select(y, "n", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("o")) for c in features])).alias("s")).select("n", "s.*")
     total = long.groupBy("feature").agg(F.sum("n").alias("all"), F.sum("o").alias("sum"))
     e = F.col("n") / F.col("all") * F.col("sum")
-    return long.join(F.broadcast(total), "feature").groupBy("feature").agg(F.sum((F.col("o") - e) * (F.col("o") - e) / e).alias("score"))
+    return long.join(F.broadcast(total), "feature").groupBy("feature").agg(F.sum(F.try_divide((F.col("o") - e) * (F.col("o") - e), e)).alias("score"))
 
 
 def boosted(df: DataFrame, features: list[str], y: str, classify: bool = True, rounds: int = 50, depth: int = 3, rate: float = 0.1, max_bins: int = 256, seed: int = 0) -> tuple[DataFrame, object]:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from explorium.exceptions import CaseError, ExplorationError, ExplorationWarning, OutcomeError
 from explorium.functions.designs import Parameter
+from explorium.sources.shared import Tables
 
 
 @dataclass(frozen=True)
@@ -113,6 +114,8 @@ def run(model: Model, design: DataFrame) -> DataFrame:
     """
     if clash := set(model.constants) & set(design.columns):
         raise ValueError(f"constants are parameters too: {sorted(clash)}")
+    if clash := {*(o.name for o in model.outcomes), "status"} & set(design.columns):
+        raise ValueError(f"outcomes are columns of the design too: {sorted(clash)}")
     if model.expressions:
         out = design
         for o in model.outcomes:
@@ -132,7 +135,7 @@ def run(model: Model, design: DataFrame) -> DataFrame:
         for df in frames:
             rows = []
             keys = df["function"] if chosen else itertools.repeat(None, len(df))
-            columns = {c: df[c].array for own in takes.values() for c in own}
+            columns = {c: df[c].tolist() for own in takes.values() for c in own}  # values of Python, which raise where NumPy's don't
             for i, key in enumerate(keys):
                 try:
                     if key not in functions:
@@ -157,9 +160,15 @@ def merge(a: DataFrame, b: DataFrame, outcomes: list[str]) -> DataFrame:
 
 
 def consumed(runs: DataFrame, consumer: Callable[[DataFrame, int], None], batches: int = 1, key: str = "experiment_id") -> None:
-    """Finished runs handed on in as many parts, each once and with its number: the place for a writer of one's own."""
+    """Finished runs handed on in as many parts, each once and with its number: the place for a writer of one's own.
+
+    The runs are written first, a folder a part, so the model runs once a design, whatever the consumer does with its part.
+    """
+    tables = Tables(runs.sparkSession, "consumed")
+    saved = tables.save(runs.withColumn("__part", F.pmod(F.xxhash64(key), F.lit(batches)).cast("int")), "runs", "__part")
     for k in range(batches):
-        consumer(runs.where(F.pmod(F.xxhash64(key), F.lit(batches)) == k), k)
+        consumer(saved.where(F.col("__part") == k).drop("__part"), k)
+    tables.drop("runs")
 
 
 def counted(runs: DataFrame, name: str = "runs") -> tuple[DataFrame, Observation]:

@@ -8,7 +8,7 @@ from explorium.functions import designs as D
 from explorium.operators import analysis as A
 from explorium.operators import boxes as B
 from explorium.operators import clustering as C
-from explorium.operators import discovery, figures, indicators, sensitivity, trees
+from explorium.operators import discovery, figures, forests, indicators, sensitivity, trees
 from explorium.plans import experiments, search
 from explorium.plans import models as M
 from explorium.plans.registry import _STEEP, _query, _t, rounded
@@ -99,6 +99,14 @@ def tree_forest_scores(spark, d):
     return trees.forest(_steep(spark, d), ["l_quantity", "l_discount", "l_tax", "l_returnflag"], "y", trees=20)
 
 
+@_query()
+def tree_extra_trees(spark, d):
+    """Random cuts over all rows, with the share of rows that trees which haven't seen them tell rightly."""
+    df = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", F.expr(_STEEP).alias("y"))
+    told, model, rows = forests.scores(df, ["l_quantity", "l_discount", "l_tax", "l_returnflag"], "y", trees=4, key=["l_orderkey", "l_linenumber"])
+    return told.withColumn("out_of_bag", F.lit(forests.oob_score(rows, model)))
+
+
 @_query()
 def tree_stacking(spark, d):
     return trees.stacking(_steep(spark, d), ["l_quantity", "l_discount", "l_tax", "l_returnflag"], "y", levels=1)[0]
@@ -225,17 +233,17 @@ def figure_hexbins(spark, d):
 
 @_query("""WITH l AS (SELECT o_orderstatus AS class, unnest(['o_totalprice', 'o_custkey']) AS dimension, unnest([o_totalprice, o_custkey::DOUBLE]) AS value FROM orders),
                 e AS (SELECT * FROM l UNION ALL SELECT NULL, dimension, value FROM l)
-           SELECT dimension, class, value, row_number() OVER (PARTITION BY dimension, class ORDER BY value)::DOUBLE / count(*) OVER (PARTITION BY dimension, class) AS f FROM e""")
+           SELECT dimension, class, value, (row_number() OVER (PARTITION BY dimension, class ORDER BY value) - 1)::DOUBLE / count(*) OVER (PARTITION BY dimension, class) AS f FROM e""")
 def window_cdf_set(spark, d):
     return A.cdf_set(_t(spark, d, "orders"), ["o_totalprice", "o_custkey"], "o_orderstatus")
 
 
 @_query("""WITH n AS (SELECT o_orderstatus AS class, o_orderpriority AS category, count(*) AS n FROM orders GROUP BY 1, 2),
-                w AS (SELECT category, sum(n)::BIGINT AS n, row_number() OVER (ORDER BY sum(n), category) AS place FROM n GROUP BY 1),
-                g AS (SELECT c.class, w.category, w.place, coalesce(n.n, 0) AS n FROM (SELECT DISTINCT class FROM n) c CROSS JOIN w LEFT JOIN n ON n.class = c.class AND n.category = w.category
-                      UNION ALL SELECT NULL, category, place, n FROM w)
+                w AS (SELECT category, sum(n)::BIGINT AS n FROM n GROUP BY 1),
+                g AS (SELECT c.class, w.category, coalesce(n.n, 0) AS n FROM (SELECT DISTINCT class FROM n) c CROSS JOIN w LEFT JOIN n ON n.class = c.class AND n.category = w.category
+                      UNION ALL SELECT NULL, category, n FROM w)
            SELECT 'o_orderpriority' AS dimension, class, category, n::DOUBLE / sum(n) OVER (PARTITION BY class) AS share,
-                  1 - sum(n) OVER (PARTITION BY class ORDER BY place)::DOUBLE / sum(n) OVER (PARTITION BY class) AS f FROM g""")
+                  1 - sum(n) OVER (PARTITION BY class ORDER BY n, category)::DOUBLE / sum(n) OVER (PARTITION BY class) AS f FROM g""")
 def window_discrete_ccdf_set(spark, d):
     return A.discrete_cdf_set(_t(spark, d, "orders"), ["o_orderpriority"], "o_orderstatus", complement=True)
 

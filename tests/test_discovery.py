@@ -177,8 +177,13 @@ def test_clusters(spark):
     for linkage in ("single", "average", "complete"):
         assert [r.cluster for r in clustering.clusters(df, 3, linkage).orderBy("id").collect()] == [0, 0, 1, 1, 2]
     assert [r.height for r in clustering.dendrogram(df).orderBy("step").collect()] == [1.0, 1.5, 9.0, 18.5]
+    for linkage in ("single", "average", "complete"):  # merged by tables as on the driver
+        for count in (2, 3) if linkage == "average" else ():
+            assert sorted(map(tuple, clustering.clusters(df, count, linkage, most=3).collect())) == sorted(map(tuple, clustering.clusters(df, count, linkage).collect()))
+        few, many = clustering.dendrogram(df, linkage), clustering.dendrogram(df, linkage, most=3)
+        assert few.dtypes == many.dtypes and [tuple(r) for r in few.orderBy("step").collect()] == [tuple(r) for r in many.orderBy("step").collect()]
     with pytest.raises(ValueError):
-        clustering.clusters(df, 2, most=3)
+        clustering.matrix(df, most=3)
 
 
 def test_figures(spark):
