@@ -170,7 +170,7 @@ def _aligned(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Ite
     pair = _pair(a_path, b_path)
     gc.freeze()  # what the worker holds has no cycles; else each collection walks all of it
     for batch in batches:
-        for at, texts in _portions(batch.column(1)):
+        for at, texts in _portions(batch.column(1), 1 << 20):
             cut = [pair.cut(" " + t) if t else [] for t in texts]
             pair.learn(set().union(*cut))
             numbers, digests, a, b, times = [], [], [], [], []

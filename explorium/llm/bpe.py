@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 #: Pieces compiled into the automaton, at most; bounds the file that is broadcast.
 LEXICON = 131_072
-#: Pieces whose result a worker remembers.
-REMEMBERED = 200_000
+#: Pieces outside the automaton whose result a worker remembers; pieces that a task counts before it hands on its table.
+REMEMBERED, COUNTED = 100_000, 150_000
 
 #: The published split pattern of this kind of tokenizer. White space is Unicode's White_Space.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
@@ -306,13 +306,13 @@ class Codec:
         self.split = splitter()
         self.names = {i: str(i) for i in vocabulary.bytes}
         self.special = regex.compile("|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
-        self.own_said: dict[str, str] = {s: str(i) for s, i in vocabulary.special.items()}
-        self.own_back: dict[str, bytes] = {s: vocabulary.bytes[i] for s, i in vocabulary.special.items()}
-        self.clear()
+        self.said: dict[str, str] = {s: str(i) for s, i in vocabulary.special.items()}
+        self.back: dict[str, bytes] = {s: vocabulary.bytes[i] for s, i in vocabulary.special.items()}
+        self.own = list(self.said)
 
     def clear(self) -> None:
         """Forgets pieces that aren't in the automaton."""
-        self.said, self.back = dict(self.own_said), dict(self.own_back)
+        self.said, self.back = ({p: x[p] for p in self.own} for x in (self.said, self.back))
 
     def pieces(self, text: str) -> list[str]:
         """Special strings stand alone; what lies between is split by the pattern."""
@@ -327,7 +327,7 @@ class Codec:
 
     def learn(self, pieces: set[str]) -> None:
         """Afterwards ``said`` has the ids of each, as text, and ``back`` what these ids decode to."""
-        if len(self.said) - len(self.own_said) > REMEMBERED:
+        if len(self.said) - len(self.own) > REMEMBERED:
             self.clear()
         new = [p for p in pieces if p not in self.said]
         raw = [p.encode() for p in new]
@@ -339,7 +339,7 @@ class Codec:
             self.said[p] = said = ",".join([names[i] for i in ids])
             self.back[p] = back = b"".join([parts[i] for i in ids])
             if number >= 0:
-                self.own_said[p], self.own_back[p] = said, back
+                self.own.append(p)
 
     def encode(self, text: str) -> list[int]:
         pieces = self.pieces(text)
@@ -366,7 +366,7 @@ def count_pieces(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for b in batches:
             for t in b.column(0):
                 found.update(split(t.as_py() or ""))
-                if len(found) > 500_000:
+                if len(found) > COUNTED:
                     yield from out()
         yield from out()
 
@@ -380,7 +380,7 @@ def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, size: int = LEXICON,
     return Lexicon.compile(dict(zip(top, vocabulary.merge_all(top), strict=True)))
 
 
-def _portions(column: pa.Array, chars: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+def _portions(column: pa.Array, chars: int = 1 << 19) -> Iterator[tuple[int, list[str]]]:
     """Start and texts of runs of rows, each of about so many characters; a longer text is a run of its own."""
     start, size, texts = 0, 0, []
     for t in column:
