@@ -8,7 +8,7 @@ from explorium.functions import designs as D
 from explorium.operators import analysis as A
 from explorium.operators import boxes as B
 from explorium.operators import clustering as C
-from explorium.operators import discovery, figures, forests, indicators, sensitivity, trees
+from explorium.operators import discovery, figures, forests, fronts, indicators, sensitivity, trees
 from explorium.plans import experiments, search
 from explorium.plans import models as M
 from explorium.plans.registry import _STEEP, _query, _t, rounded
@@ -298,3 +298,29 @@ def search_front(spark, d):
     model = M.Model("bends", [M.Outcome("f"), M.Outcome("g")], expressions={"f": lambda df: df.a * df.a + df.b, "g": lambda df: (df.a - 1) * (df.a - 1) + df.b})
     found = search.optimize(spark, search.of_model(model), [D.Parameter("a", "real", -2, 2), D.Parameter("b", "integer", 0, 3)], {"f": -1, "g": -1}, [0.05, 0.05], nfe=300, population=50)
     return spark.createDataFrame(found.archive, "a double, b long, f double, g double")
+
+
+def _peeling(rows: str, key: str, objectives: str) -> str:
+    """SQL that removes what nothing left beats, again and again. rows: SELECT of the key and the objectives."""
+    names = objectives.split()
+    ge, gt = " AND ".join(f"y.{c} >= x.{c}" for c in names), " OR ".join(f"y.{c} > x.{c}" for c in names)
+    cols, known = ", ".join(names), " AND ".join(f"{c} IS NOT NULL" for c in names)
+    return f"""WITH RECURSIVE r AS ({rows}), v AS (SELECT DISTINCT {cols} FROM r WHERE {known}),
+        rest AS (SELECT 1::BIGINT AS k, {cols} FROM v
+                 UNION ALL SELECT DISTINCT x.k + 1, {", ".join("x." + c for c in names)} FROM rest x JOIN rest y ON {ge} AND ({gt})),
+        f AS (SELECT {cols}, max(k) AS front FROM rest GROUP BY {cols})
+        SELECT {key}, front FROM r LEFT JOIN f USING ({cols})"""
+
+
+@_query(_peeling("SELECT p_partkey, p_retailprice::DOUBLE AS a, p_size::DOUBLE AS b FROM part", "p_partkey", "a b"))
+def fronts_of_parts(spark, d):
+    return fronts.fronts(_t(spark, d, "part"), ["p_retailprice", "p_size"], 3).select("p_partkey", "front")
+
+
+@_query(_peeling("""SELECT c_custkey, c_acctbal::DOUBLE AS a, n::DOUBLE AS b, -low::DOUBLE AS c FROM customer
+                    LEFT JOIN (SELECT o_custkey, count(*) AS n, min(o_totalprice) AS low FROM orders GROUP BY 1) ON o_custkey = c_custkey""", "c_custkey", "a b c"))
+def fronts_of_customers(spark, d):
+    """Customers by balance, number of orders, and smallest order (less is better); those without orders have no front."""
+    own = _t(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), (-F.min("o_totalprice")).alias("low"))
+    customers = _t(spark, d, "customer")
+    return fronts.fronts(customers.join(own, customers["c_custkey"] == own["o_custkey"], "left"), ["c_acctbal", "n", "low"], 2).select("c_custkey", "front")
