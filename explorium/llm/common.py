@@ -31,15 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Rows of whole texts that go to Python at once; the default of 10,000 takes two executor cores hundreds of MB.
-BATCH = 2000
+#: Rows of whole texts that go to Python at once, and bytes after which a batch of fewer ends: long texts, or sets of their shingles,
+#: would make a batch of rows alone as large as they are long, in the engine and in Python, for each core.
+BATCH, BATCH_BYTES = 1000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """From now on no more than BATCH rows of this session go to Python at once."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH:
-        spark.conf.set(name, BATCH)
+    """From now on no more than BATCH rows of this session, or about BATCH_BYTES bytes, go to Python at once. What is lazy runs later, so this stays set."""
+    for name, most in (("maxRecordsPerBatch", BATCH), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < _bytes(spark.conf.get(name)) <= most:
+            spark.conf.set(name, most)
+
+
+def _bytes(setting: str) -> int:
+    """A number, or one of bytes with a unit, as Spark prints it."""
+    found = re.fullmatch(r"(-?\d+)([bkmg]?)b?", setting.strip().lower())
+    return int(found[1]) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30}[found[2]]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
