@@ -312,7 +312,7 @@ class Codec:
 
     def clear(self) -> None:
         """Forgets pieces that aren't in the automaton."""
-        self.said, self.back = ({p: x[p] for p in self.own} for x in (self.said, self.back))
+        self.said, self.back = ({p: x[p] for p in self.own if p in x} for x in (self.said, self.back))
 
     def pieces(self, text: str) -> list[str]:
         """Special strings stand alone; what lies between is split by the pattern."""
@@ -326,7 +326,7 @@ class Codec:
         return out + self.split(text[at:])
 
     def learn(self, pieces: set[str]) -> None:
-        """Afterwards ``said`` has the ids of each, as text, and ``back`` what these ids decode to."""
+        """Afterwards ``said`` has the ids of each, as text, and ``back`` what these ids decode to, where that isn't the piece itself."""
         if len(self.said) - len(self.own) > REMEMBERED:
             self.clear()
         new = [p for p in pieces if p not in self.said]
@@ -334,13 +334,19 @@ class Codec:
         numbers = self.lexicon.look_up(raw).tolist()
         merged = iter(self.vocabulary.merge_all([b for b, number in zip(raw, numbers, strict=True) if number < 0]))
         names, parts = self.names, self.vocabulary.bytes
-        for p, number in zip(new, numbers, strict=True):
+        for p, b, number in zip(new, raw, numbers, strict=True):
             ids = self.lexicon.tokens(number) if number >= 0 else next(merged)
-            self.said[p] = said = ",".join([names[i] for i in ids])
-            self.back[p] = back = b"".join([parts[i] for i in ids])
+            self.said[p] = ",".join([names[i] for i in ids])
+            if (back := b"".join([parts[i] for i in ids])) != b:
+                self.back[p] = back
             if number >= 0:
                 self.own.append(p)
 
+    def decoded(self, pieces: list[str]) -> bytes:
+        """What the ids of learnt pieces decode to."""
+        other = self.back
+        return b"".join([other[p] if p in other else p.encode() for p in pieces])
+
     def encode(self, text: str) -> list[int]:
         pieces = self.pieces(text)
         self.learn(set(pieces))
@@ -420,7 +426,7 @@ def bpe_round_trip(docs: DataFrame, path: str, size: int = LEXICON, id_col: str
                 codec.learn(set().union(*cut))
                 for pieces in cut:
                     said = ",".join(map(codec.said.__getitem__, pieces))
-                    back = b"".join(map(codec.back.__getitem__, pieces))
+                    back = codec.decoded(pieces)
                     n.append(said.count(",") + 1 if said else 0)
                     said_sha.append(hashlib.sha256(said.encode()).hexdigest())
                     back_sha.append(hashlib.sha256(back).hexdigest())
