@@ -179,15 +179,16 @@ class Prim:
     """Peels a share ``alpha`` off the box again and again while the mean of a 0/1 outcome rises, then pastes back.
 
     Rows without an outcome are left out. Rows in earlier boxes are left out of later searches, or, with ``update`` guivarch, stay as no cases of interest.
+    With ``compat`` nothing is pasted to a box in which no real column is restricted, as older results have it.
     """
 
-    def __init__(self, df: DataFrame, y: str, columns: list[str], alpha: float = 0.05, mass_min: float = 0.05, objective: str = "lenient1", update: str = "default"):
+    def __init__(self, df: DataFrame, y: str, columns: list[str], alpha: float = 0.05, mass_min: float = 0.05, objective: str = "lenient1", update: str = "default", compat: bool = False):
         if objective not in ("lenient1", "lenient2", "original") or update not in ("default", "guivarch"):
             raise ValueError(f"no objective {objective!r} or update {update!r}")
         # read once for all steps; what an executor loses is computed again
         df = df.select(*columns, y).where(F.col(y).isNotNull()).persist()
         self.df, self.y, self.alpha, self.mass_min, self.objective = df, y, alpha, mass_min, objective
-        self.update = update
+        self.update, self.compat = update, compat
         self.real = {c for c, k in df.dtypes if k in ("double", "float")}
         self.start = {c: v for c, v in bounding_box(df, columns).items() if not isinstance(v, frozenset) or len(v) > 1}
         row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("k")).first()
@@ -268,20 +269,22 @@ class Prim:
     def pastes(self, box: Box, data: DataFrame | None = None) -> list[tuple[Box, int, float]]:
         """Each box one paste away with its rows and mean.
 
-        Of the rows beyond a limit that are in the box otherwise, the share nearest to it comes in. Nothing is pasted to a
-        box in which no real column is restricted.
+        Of the rows beyond a limit that are in the box otherwise, the share nearest to it comes in. Beyond a whole number's
+        limit is what comes after it, so its paste always takes in a value, if there is one.
         """
         data, limited = self._remaining() if data is None else data, restricted(box, self.start)
         numeric = sorted((c for c in limited if not isinstance(box[c], frozenset)), key=lambda c: c not in self.real)
-        if not any(c in self.real for c in numeric):
+        if self.compat and not any(c in self.real for c in numeric):
             return []
-        ends = [(c, side, (self.start[c][0], box[c][0]) if side == 0 else (box[c][1], self.start[c][1])) for c in numeric for side in (0, 1)]
+        # a real's limit belongs to what is beyond it, a whole number's doesn't
+        gap = {c: 0 if c in self.real or self.compat else 1 for c in numeric}
+        ends = [(c, side, (self.start[c][0], box[c][0] - gap[c]) if side == 0 else (box[c][1] + gap[c], self.start[c][1])) for c in numeric for side in (0, 1)]
         shares = (1 - self.alpha, self.alpha)
         found = spreads(data, self.y, [(in_box(box | {c: beyond}), F.col(c), *beyond, (shares[side],)) for c, side, beyond in ends])
         out: list[Box] = []
         for (c, side, _), s in zip(ends, found, strict=True):
             limit = s.quantile(shares[side]) if s.bins else self.start[c][side]
-            limit = limit if c in self.real else int(limit)
+            limit = limit if c in self.real else int(limit) if self.compat else math.floor(limit) if side else math.ceil(limit)
             out.append(box | {c: (limit, box[c][1]) if side == 0 else (box[c][0], limit)})
         out += [box | {c: box[c] | {x}} for c in limited if isinstance(box[c], frozenset) for x in sorted(self.start[c] - box[c], key=str)]
         return self._measured(data, out)

@@ -93,20 +93,25 @@ def _gain(n: Column, sums: list[Column], all_n: Column, all_sums: list[Column],
     """By how much a cut lowers rows times impurity, less what is the same for all cuts of a node."""
     rest_n, rest = all_n - n, [a - s for a, s in zip(all_sums, sums, strict=True)]
     if classify:
-        return sum((s * s for s in sums), F.lit(0.0)) / n + sum((r * r for r in rest), F.lit(0.0)) / rest_n
+        # sums of weights, which are numbers of rows where there are none; a side without weight has nothing to tell
+        share = lambda own: F.coalesce(F.try_divide(sum((s * s for s in own), F.lit(0.0)), sum(own, F.lit(0.0))), F.lit(0.0))
+        return share(sums) + share(rest)
     return sums[0] * sums[0] / n + rest[0] * rest[0] / rest_n
 
 
-def exact_tree(rows: DataFrame, slots: list[Slot], classes: list, least: int = 1, depth: int = 64) -> dict[int, Node]:
+def exact_tree(rows: DataFrame, slots: list[Slot], classes: list, least: int = 1, depth: int = 64, weight: str | None = None) -> dict[int, Node]:
     """A tree by node number (children of k: 2k + 1 and 2k + 2). Of all cuts midway between neighbouring values, a node takes the one that lowers impurity most.
 
     ``least`` rows stay on each side. Ties go to the first slot, then the least cut. A level sums up equal values of a
     node and column, runs the sums up within ranges of values, and starts each range at what the ranges before it hold,
     so no task holds a node's values and a hot node is many tasks' work. ``classes`` is empty for a number outcome.
+    ``weight``, a column of ``rows``, makes classes count by it; ``least`` still counts rows.
     """
+    if weight and not classes:
+        raise ValueError("weights go with classes")
     tables, nodes = Tables(rows.sparkSession, "tree"), {}
     names = [f"s{k}" for k in range(len(classes) or 2)]
-    now = tables.save(rows.select(F.lit(0).cast("long").alias("node"), "x", *[c.alias(n) for c, n in zip(_measures(F.col("y"), classes), names, strict=True)]), "level0")
+    now = tables.save(rows.select(F.lit(0).cast("long").alias("node"), "x", *[(c * F.col(weight) if weight else c).alias(n) for c, n in zip(_measures(F.col("y"), classes), names, strict=True)]), "level0")
     shares = [k / RANGES for k in range(1, RANGES)]
     # ranges of each column, from its approximate quantiles: a row of arrays, the same for all nodes
     edges = now.agg(*[F.percentile_approx(F.col("x")[k], shares, 1000).alias(f"e{k}") for k in range(len(slots))]).first()
@@ -115,7 +120,7 @@ def exact_tree(rows: DataFrame, slots: list[Slot], classes: list, least: int = 1
         nodes[r.node] = Node(r.n, tuple(r[s] for s in names))
     open_nodes = [0] if nodes and slots else []
     for level in range(depth):
-        pure = lambda v: max(v.sums) == v.n if classes else v.sums[1] - v.sums[0] ** 2 / v.n <= 1e-12 * max(abs(v.sums[1]), 1e-300)
+        pure = lambda v: max(v.sums) == sum(v.sums) if classes else v.sums[1] - v.sums[0] ** 2 / v.n <= 1e-12 * max(abs(v.sums[1]), 1e-300)
         open_nodes = [k for k in open_nodes if nodes[k].n >= 2 * least and not pure(nodes[k])]
         if not open_nodes:
             break

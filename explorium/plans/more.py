@@ -4,22 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from explorium.functions import curves
 from explorium.functions import designs as D
 from explorium.operators import analysis as A
 from explorium.operators import boxes as B
+from explorium.operators import boosting
 from explorium.operators import clustering as C
 from explorium.operators import discovery, figures, forests, fronts, indicators, sensitivity, trees
 from explorium.plans import experiments, search
 from explorium.plans import models as M
 from explorium.plans.registry import _STEEP, _query, _t, rounded
-
-UNIT = [D.Parameter("a"), D.Parameter("b"), D.Parameter("c")]
-
-
-def _wave(df):
-    """A product and a sum, for the sensitivity queries."""
-    return df.withColumn("y", 4 * F.col("a") + 2 * F.col("b") + F.col("a") * F.col("c"))
-
+from explorium.sources.shared import Tables
 
 @_query("""WITH p AS (SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS q, sum(l_tax) AS t FROM lineitem GROUP BY 1),
                 l AS (SELECT n, unnest(['l_quantity', 'l_tax']) AS feature, unnest([q, t]) AS o FROM p),
@@ -40,19 +35,40 @@ def sens_sobol(spark, d):
     return rounded(sensitivity.sobol_indices(runs, ["p", "q"], "o_totalprice", second_order=False), "s1", "st", digits=6).select("a", "s1", "st")
 
 
-@_query()
+@_query("""WITH k AS (SELECT floor((o_orderkey - 1) / 6) AS block, (o_orderkey - 1) % 6 AS place, o_totalprice AS y FROM orders),
+                x AS (SELECT block, max(y) FILTER (place = 0) AS a, max(y) FILTER (place = 1) AS ap, max(y) FILTER (place = 2) AS aq, max(y) FILTER (place = 3) AS bp, max(y) FILTER (place = 4) AS bq, max(y) FILTER (place = 5) AS b
+                      FROM k WHERE y IS NOT NULL GROUP BY 1 HAVING count(*) = 6),
+                m AS (SELECT avg((a + b) / 2) AS mean, avg(a * a + b * b) / 2 - avg((a + b) / 2) * avg((a + b) / 2) AS v FROM x),
+                s AS (SELECT max(v) AS v, avg((b - mean) * (ap - a)) AS fp, avg((b - mean) * (aq - a)) AS fq, avg((a - ap) * (a - ap)) / 2 AS tp, avg((a - aq) * (a - aq)) / 2 AS tq,
+                             avg((bp - mean) * (aq - mean) - (a - mean) * (b - mean)) AS pq FROM x, m)
+           SELECT 'p' AS a, NULL::VARCHAR AS b, round(fp / v, 6) AS s1, round(tp / v, 6) AS st, NULL::DOUBLE AS s2 FROM s
+           UNION ALL SELECT 'q', NULL, round(fq / v, 6), round(tq / v, 6), NULL FROM s UNION ALL SELECT 'p', 'q', NULL, NULL, round((pq - fp - fq) / v, 6) FROM s""")
 def sens_sobol_second_order(spark, d):
-    return sensitivity.sobol_indices(_wave(D.saltelli(spark, UNIT, 512)), ["a", "b", "c"], "y")
+    """Orders in the shape of a design of two parameters, six a block."""
+    runs = _t(spark, d, "orders").select((F.col("o_orderkey") - 1).alias("sample_id"), "o_totalprice")
+    return rounded(sensitivity.sobol_indices(runs, ["p", "q"], "o_totalprice"), "s1", "st", "s2", digits=6)
 
 
-@_query()
+@_query("""WITH w AS (SELECT floor((l_orderkey - 1) / 3) AS path, l_orderkey AS step, avg(l_quantity) AS q, max(l_discount) AS c, sum(l_extendedprice) AS y FROM lineitem GROUP BY 1, 2),
+                x AS (SELECT path, step, y - lag(y) OVER p AS dy, sign(q - lag(q) OVER p) AS q, sign(c - lag(c) OVER p) AS c, count(*) OVER (PARTITION BY path) AS n FROM w WINDOW p AS (PARTITION BY path ORDER BY step)),
+                e AS (SELECT 'q' AS parameter, dy / (q * 4 / 6.0::DOUBLE) AS e FROM x WHERE n = 3 AND q <> 0 AND dy IS NOT NULL UNION ALL SELECT 'c', dy / (c * 4 / 6.0::DOUBLE) FROM x WHERE n = 3 AND c <> 0 AND dy IS NOT NULL)
+           SELECT parameter, round(avg(e), 4) AS mu, round(avg(abs(e)), 4) AS mu_star, round(stddev_samp(e), 4) AS sigma FROM e GROUP BY 1""")
 def sens_morris(spark, d):
-    return sensitivity.morris_indices(_wave(D.morris(spark, UNIT, 50)), UNIT, "y")
+    """Three orders in a row are a trajectory; its steps change the mean quantity and the highest discount."""
+    runs = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.avg("l_quantity").alias("q"), F.max("l_discount").alias("c"), F.sum("l_extendedprice").alias("y"))
+    runs = runs.withColumn("sample_id", F.col("l_orderkey") - 1)
+    return rounded(sensitivity.morris_indices(runs, [D.Parameter("q"), D.Parameter("c")], "y"), "mu", "mu_star", "sigma")
 
 
-@_query()
+@_query("""WITH y AS (SELECT o_custkey % 130 AS id, avg(o_totalprice) AS y FROM orders GROUP BY 1), x AS (SELECT id // 65 AS curve, 2 * pi() / 65 * (id % 65) AS s, y FROM y),
+                v AS (SELECT curve, count(*) AS n, var_pop(y) AS v FROM x GROUP BY 1),
+                p AS (SELECT curve, k, 2 * (pow(sum(y * cos(k * s)), 2) + pow(sum(y * sin(k * s)), 2)) / (65 * 65) AS power FROM x, (SELECT unnest([1, 2, 3, 4, 8, 16, 24, 32]) AS k) GROUP BY 1, 2)
+           SELECT CASE curve WHEN 0 THEN 'p' ELSE 'q' END AS parameter, round(sum(power) FILTER (k % 8 = 0) / max(v), 6) AS s1, round(1 - sum(power) FILTER (k <= 4) / max(v), 6) AS st
+           FROM p JOIN v USING (curve) WHERE n = 65 GROUP BY curve""")
 def sens_fast(spark, d):
-    return sensitivity.fast_indices(_wave(D.fast(spark, UNIT, 257)), ["a", "b", "c"], "y", 257)
+    """All orders, their mean price by customer number along two curves of 65 points."""
+    runs = _t(spark, d, "orders").groupBy(F.pmod("o_custkey", F.lit(130)).alias("sample_id")).agg(F.avg("o_totalprice").alias("y"))
+    return rounded(sensitivity.fast_indices(runs, ["p", "q"], "y", 65), "s1", "st", digits=6)
 
 
 @_query("""WITH v AS (SELECT DISTINCT l_extendedprice AS v FROM lineitem WHERE l_returnflag IN ('A', 'R')),
@@ -273,12 +289,12 @@ def project_jumps(spark, d):
     return rounded(trees.jumps(_t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e")), "e").select("vec_id", "jump"), "jump", digits=5)
 
 
-@_query("""SELECT n AS sample_id, n // 8 AS t, (n % 8)::DOUBLE AS k, round((n // 8) * (n % 8) / 10::DOUBLE, 6) AS y, greatest(0, (n % 8) - 5)::DOUBLE AS far FROM range(96) r(n)""")
+@_query("SELECT o_orderkey AS sample_id, c_acctbal, o_totalprice, round(o_totalprice - c_acctbal, 4) AS owed, greatest(0, c_acctbal - 5000)::DOUBLE AS rich FROM orders JOIN customer ON c_custkey = o_custkey")
 def run_constraints(spark, d):
-    """Runs of a plain design, with how far each breaks a constraint on a parameter."""
-    design = spark.range(96).select(F.col("id").alias("sample_id"), F.floor(F.col("id") / 8).alias("t"), (F.col("id") % 8).cast("double").alias("k"))
-    model = M.Model("product", [M.Outcome("y")], expressions={"y": lambda df: F.round(df.t * df.k / 10, 6)})
-    return M.constrained(M.run(model, design), [M.Constraint("far", ("k",), lambda k: F.greatest(F.lit(0.0), k - 5))]).drop("status")
+    """A run an order: what its customer owes, and how far the customer's balance breaks a constraint."""
+    design = _t(spark, d, "orders").join(_t(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("sample_id"), "c_acctbal", "o_totalprice")
+    model = M.Model("owed", [M.Outcome("owed")], expressions={"owed": lambda df: F.round(df.o_totalprice - df.c_acctbal, 4)})
+    return M.constrained(M.run(model, design), [M.Constraint("rich", ("c_acctbal",), lambda b: F.greatest(F.lit(0.0), b - 5000))]).drop("status")
 
 
 @_query()
@@ -287,17 +303,58 @@ def cluster_series(spark, d):
     return C.clusters(A.cid(df, "vec_id", "x"), 4)
 
 
-@_query()
+@_query("""WITH n AS (SELECT n_regionkey::BIGINT AS l, row_number() OVER (ORDER BY n_nationkey) - 1 AS p, n_name AS policy, count(*) OVER () AS np FROM nation),
+                s AS (SELECT s_acctbal AS a, row_number() OVER (ORDER BY s_suppkey) - 1 AS s, s_name AS scenario, count(*) OVER () AS ns FROM supplier)
+           SELECT (m * np + p) * ns + s AS experiment_id, ['linear', 'bent'][m + 1] AS model, l, policy, a, scenario, round(CASE m WHEN 0 THEN a * (l + 1) ELSE a * a / 1000 - l END, 4) AS y, 'ok' AS status FROM range(2) t(m), n, s""")
 def run_experiments(spark, d):
-    model = M.Model("linear", [M.Outcome("y")], expressions={"y": lambda df: df.a * df.l + df.b}, uncertainties=tuple(UNIT[:2]), levers=(D.Parameter("l", "integer", 0, 3),))
-    return experiments.perform(spark, [model], 200, 4)
+    """Two models under every nation as a policy and every supplier as a scenario."""
+
+    def numbered(name: str, key: str, *columns):
+        return A.ranked(_t(spark, d, name), [], key).select(F.col("__rank").cast("long").alias("sample_id"), *columns)
+
+    policies = numbered("nation", "n_nationkey", F.col("n_regionkey").cast("long").alias("l"), F.col("n_name").alias("policy"))
+    scenarios = numbered("supplier", "s_suppkey", F.col("s_acctbal").alias("a"), F.col("s_name").alias("scenario"))
+    known = {"uncertainties": (D.Parameter("a"),), "levers": (D.Parameter("l", "integer", 0, 3),)}
+    models = [M.Model("linear", [M.Outcome("y")], expressions={"y": lambda df: F.round(df.a * (df.l + 1), 4)}, **known), M.Model("bent", [M.Outcome("y")], expressions={"y": lambda df: F.round(df.a * df.a / 1000 - df.l, 4)}, **known)]
+    return experiments.perform(spark, models, scenarios, policies)
 
 
 @_query()
 def search_front(spark, d):
-    model = M.Model("bends", [M.Outcome("f"), M.Outcome("g")], expressions={"f": lambda df: df.a * df.a + df.b, "g": lambda df: (df.a - 1) * (df.a - 1) + df.b})
-    found = search.optimize(spark, search.of_model(model), [D.Parameter("a", "real", -2, 2), D.Parameter("b", "integer", 0, 3)], {"f": -1, "g": -1}, [0.05, 0.05], nfe=300, population=50)
-    return spark.createDataFrame(found.archive, "a double, b long, f double, g double")
+    """Least quantity and discount of lines, so that many of the dear lines are among them and few others; every point is measured on all lines."""
+    lines = _t(spark, d, "lineitem").groupBy("l_quantity", "l_discount").agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr(_STEEP)).alias("k"))
+    lines = Tables(spark, "search").save(lines, "lines")
+    dear = lines.agg(F.sum("k")).first()[0] or 1
+
+    def evaluate(points):
+        inside = (F.col("l_quantity") >= F.col("q")) & (F.col("l_discount") >= F.col("c"))
+        n, k = F.sum(F.when(inside, F.col("n")).otherwise(0)), F.sum(F.when(inside, F.col("k")).otherwise(0))
+        return lines.crossJoin(F.broadcast(points)).groupBy("sample_id").agg((k / dear).alias("coverage"), F.coalesce(F.try_divide(k, n), F.lit(0.0)).alias("density"))  # points are a population
+
+    found = search.optimize(spark, evaluate, [D.Parameter("q", "real", 1, 50), D.Parameter("c", "real", 0, 0.1)], {"coverage": 1, "density": 1}, [0.05, 0.05], nfe=300, population=50)
+    return spark.createDataFrame(found.archive, "q double, c double, coverage double, density double")
+
+
+@_query()
+def tree_boosted_weights(spark, d):
+    """What each column adds to telling the four discount classes of all lines, over rounds that weigh wrongly told lines up."""
+    df = _t(spark, d, "lineitem").select("l_quantity", "l_tax", "l_returnflag", "l_linestatus", F.expr("CAST(least(3, floor(l_extendedprice / 20000)) AS STRING) AS y"))
+    model, _ = boosting.boost(df, ["l_quantity", "l_tax", "l_returnflag", "l_linestatus"], "y", rounds=3)
+    return spark.createDataFrame(model.scores(), "feature string, score double")
+
+
+@_query("""WITH l AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part),
+                k AS (SELECT p_partkey, 1 + p_size / 10.0::DOUBLE AS k, (p_retailprice - lo) / (hi - lo) AS x FROM part, l),
+                c AS (SELECT p_partkey, x, list_transform(range(10), lambda i: pow(i / 9.0::DOUBLE, k) / (pow(i / 9.0::DOUBLE, k) + pow(0.4 / 0.6::DOUBLE, k) * pow(1 - i / 9.0::DOUBLE, k))) AS y FROM k),
+                i AS (SELECT *, least(floor(x * 9), 8)::BIGINT AS i FROM c)
+           SELECT p_partkey, list_transform(y, lambda v: round(v, 6)) AS curve, round(y[i + 1] + (y[i + 2] - y[i + 1]) * (x * 9 - i), 6) AS value FROM i""")
+def lookup_curves(spark, d):
+    """A curve a part, steeper for large parts, read at the place of its price between the least and the highest."""
+    part = _t(spark, d, "part")
+    lo, hi = part.agg(F.min("p_retailprice"), F.max("p_retailprice")).first()
+    curve = curves.rising(1 + F.col("p_size") / 10.0, 0.4)
+    found = part.select("p_partkey", curve.alias("c"), "p_retailprice")
+    return found.select("p_partkey", F.transform("c", lambda v: F.round(v, 6)).alias("curve"), F.round(curves.read(F.col("c"), F.col("p_retailprice"), F.lit(lo), F.lit(hi)), 6).alias("value"))
 
 
 def _peeling(rows: str, key: str, objectives: str) -> str:

@@ -35,39 +35,56 @@ def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-PARAMETERS = [D.Parameter("a", "real", 0, 10), D.Parameter("b", "integer", 0, 5), D.Parameter("c", "category", categories=("x", "y", "z")), D.Parameter("d", "boolean")]
-
-
-@_query("""SELECT (i * 6 + j) * 3 + k AS sample_id, i * 2.5::DOUBLE AS a, j AS b, ['x', 'y', 'z'][k + 1] AS c
-           FROM range(5) t(i), range(6) u(j), range(3) v(k)""")
+def measured(df: DataFrame, reals: list[str] = (), integers: list[str] = (), levels: list[str] = ()) -> tuple[int, list[D.Parameter]]:
+    """Rows of a table, and parameters over what its columns hold: their limits, or their levels in order. One row reaches the driver; levels are few."""
+    limits = [f(c).alias(f"{f.__name__}_{c}") for c in (*reals, *integers) for f in (F.min, F.max)]
+    row = df.agg(F.count(F.lit(1)).alias("n"), *limits, *[F.array_sort(F.collect_set(c)).alias(f"levels_{c}") for c in levels]).first()
+    out = [D.Parameter(c, kind, row[f"min_{c}"], row[f"max_{c}"]) for kind, names in (("real", reals), ("integer", integers)) for c in names]
+    return row["n"], out + [D.Parameter(c, "category", categories=tuple(row[f"levels_{c}"])) for c in levels]
+
+
+@_query("""WITH b AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem),
+                n AS (SELECT l_linenumber, row_number() OVER (ORDER BY l_linenumber) - 1 AS j, count(*) OVER () AS nj FROM (SELECT DISTINCT l_linenumber FROM lineitem)),
+                f AS (SELECT l_returnflag, row_number() OVER (ORDER BY l_returnflag) - 1 AS k, count(*) OVER () AS nk FROM (SELECT DISTINCT l_returnflag FROM lineitem))
+           SELECT (i * nj + j) * nk + k AS sample_id, round(lo + (hi - lo) * i / 4, 4) AS l_extendedprice, l_linenumber, l_returnflag FROM range(5) t(i), b, n, f""")
 def design_full_factorial(spark, d):
-    return D.full_factorial(spark, [PARAMETERS[0], D.Parameter("b", "integer", 0, 5, resolution=(0, 1, 2, 3, 4, 5)), PARAMETERS[2]], 5).withColumn("b", F.col("b").cast("long"))
+    """Five prices between the least and the highest, with every line number and flag there is."""
+    _, parameters = measured(_t(spark, d, "lineitem"), ["l_extendedprice"], levels=["l_linenumber", "l_returnflag"])
+    return rounded(D.full_factorial(spark, parameters, 5), "l_extendedprice")
 
 
 @_query()
 def design_monte_carlo(spark, d):
-    return D.monte_carlo(spark, PARAMETERS, 1000)
+    """As many made-up customers as there are real ones, within their limits."""
+    n, parameters = measured(_t(spark, d, "customer"), ["c_acctbal"], ["c_nationkey"], ["c_mktsegment"])
+    return D.monte_carlo(spark, parameters, n)
 
 
-@_query("SELECT range AS stratum, 1::BIGINT AS n FROM range(1000)")
+@_query("SELECT range AS stratum, 1::BIGINT AS n FROM range((SELECT count(*) FROM customer))")
 def design_latin_hypercube_strata(spark, d):
-    lhs = D.latin_hypercube(spark, [D.Parameter("u"), D.Parameter("v")], 1000)
-    return lhs.groupBy(F.floor(F.col("u") * 1000).alias("stratum")).agg(F.countDistinct(F.floor(F.col("v") * 1000)).alias("n"))
+    """A design of a point a customer has one point in each stratum of both columns."""
+    n, (x, y) = measured(_t(spark, d, "customer"), ["c_acctbal"], ["c_custkey"])
+    y = D.Parameter(y.name, "real", y.lower, y.upper)
+    stratum = lambda p: F.floor((F.col(p.name) - p.lower) / (p.upper - p.lower) * n)
+    return D.latin_hypercube(spark, [x, y], n).groupBy(stratum(x).alias("stratum")).agg(F.countDistinct(stratum(y)).alias("n"))
 
 
 @_query()
 def design_sobol(spark, d):
-    return D.saltelli(spark, PARAMETERS[:2], 64)
+    n, parameters = measured(_t(spark, d, "part"), ["p_retailprice"], ["p_size"])
+    return D.saltelli(spark, parameters, n)
 
 
 @_query()
 def design_morris(spark, d):
-    return D.morris(spark, PARAMETERS[:2], 50)
+    n, parameters = measured(_t(spark, d, "supplier"), ["s_acctbal"], ["s_nationkey"])
+    return D.morris(spark, parameters, n)
 
 
 @_query()
 def design_fast(spark, d):
-    return D.fast(spark, PARAMETERS[:2], 129)
+    n, parameters = measured(_t(spark, d, "customer"), ["c_acctbal"], ["c_nationkey"])
+    return D.fast(spark, parameters, n)
 
 
 @_query("""SELECT m * (SELECT count(*) FROM nation) * (SELECT count(*) FROM supplier) + p * (SELECT count(*) FROM supplier) + s AS experiment_id, m AS model_id, p AS policy_id, s AS scenario_id, n_name AS policy, s_name AS scenario, ['one', 'two'][m + 1] AS model
@@ -87,9 +104,12 @@ def join_experiments(spark, d):
 QUERIES["join_experiments_whole"], ORACLE["join_experiments_whole"] = QUERIES["join_experiments"], ORACLE["join_experiments"]
 
 
-@_query("""SELECT i AS sample_id, i % 7 AS x, i % 3 AS y FROM range(7) t(i)""")
+@_query("""WITH n AS (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation), r AS (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) - 1 AS j, count(*) OVER () AS m FROM region)
+           SELECT i AS sample_id, n_name, r_name FROM n JOIN r ON j = i % m""")
 def join_cycle(spark, d):
-    return D.combine(spark.range(7).select(F.col("id").alias("sample_id"), F.col("id").alias("x")), spark.range(3).select(F.col("id").alias("sample_id"), F.col("id").alias("y")), "cycle")
+    """Nations in order, with regions that begin anew."""
+    numbered = lambda name, key, c: A.ranked(_t(spark, d, name), [], key).select(F.col("__rank").cast("long").alias("sample_id"), c)
+    return D.combine(numbered("nation", "n_nationkey", "n_name"), numbered("region", "r_regionkey", "r_name"), "cycle")
 
 
 @_query("""SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem
