@@ -14,7 +14,9 @@ from explorium.operators import discovery, figures, forests, fronts, indicators,
 from explorium.plans import experiments, search
 from explorium.plans import models as M
 from explorium.plans.registry import _STEEP, _query, _t, rounded
+from explorium.sources.archive_source import ArchiveSource
 from explorium.sources.shared import Tables
+from explorium.streaming import consumers
 
 @_query("""WITH p AS (SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS q, sum(l_tax) AS t FROM lineitem GROUP BY 1),
                 l AS (SELECT n, unnest(['l_quantity', 'l_tax']) AS feature, unnest([q, t]) AS o FROM p),
@@ -335,6 +337,24 @@ def search_front(spark, d):
     return spark.createDataFrame(found.archive, "q double, c double, coverage double, density double")
 
 
+@_query("SELECT c_custkey, c_nationkey, c_acctbal, round(c_acctbal * (c_nationkey + 1) / 10, 4) AS y, 'ok' AS status FROM customer")
+def run_resumable(spark, d):
+    """A run a customer, in batches of a stream that each are written once."""
+    model = M.Model("owed", [M.Outcome("y")], function=lambda c_acctbal, c_nationkey: {"y": c_acctbal * (c_nationkey + 1) / 10})
+    runs = consumers.run_whole(model, _t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), Tables(spark, "runs").root)
+    return rounded(runs.drop("batch"), "y")
+
+
+@_query("""SELECT vec_id AS experiment_id, label::BIGINT AS label, list_transform(embedding, lambda v: v::DOUBLE) AS embedding FROM embeddings WHERE embedding IS NOT NULL""")
+def source_archives(spark, d):
+    """All vectors as series of runs, written as archives and read again."""
+    spark.dataSource.register(ArchiveSource)
+    path = Tables(spark, "archives").root
+    runs = _t(spark, d, "embeddings").where("embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("experiment_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    runs.write.format("run_archives").mode("append").save(path)
+    return spark.read.format("run_archives").option("parts", 2).load(path)
+
+
 @_query()
 def tree_boosted_weights(spark, d):
     """What each column adds to telling the four discount classes of all lines, over rounds that weigh wrongly told lines up."""
