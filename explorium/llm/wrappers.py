@@ -16,6 +16,9 @@ A host's wrapper comes from all its pages; in which order they are aligned follo
 folded in two rounds, first in ``SALTS`` parts of a host, so no task aligns all parts of a large host. Pages aren't
 shuffled while what the hosts' wrappers say fits a broadcast of ``BROADCAST`` bytes.
 
+A leaf block or a stretch inside of one that is marked by a name of its own, as adverts and comments of a list are, counts as
+excluded too. An element whose content is never text, such as svg, hides nothing if it isn't closed within its article.
+
 Null pages have no text; pages without a host share one wrapper. Empty tables give empty results. Extra columns are
 not read. Whole pages are read, whatever their length; nothing recurses.
 """
@@ -37,7 +40,9 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|select|button|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"|<(?:noscript|template|iframe|svg|select|button|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
+    r"|<(noscript|template|iframe|svg|select|button|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:(?!<\2\b|</(?:article|main|body|html)\b).)*?</\2\s*>"
     r"|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S | re.I)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 
@@ -48,13 +53,22 @@ OUTSIDE = frozenset("head nav footer aside form menu dialog fieldset title".spli
 #: Words of class, id and role that mark what isn't the article.
 ASIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside "
-    "comment comments disqus respond responses replies discussion cookie cookies consent notice banner alert popup modal newsletter subscribe subscription signup login share sharing social related recommended pagination pager widget toolbar skip".split())
+    "comment comments disqus respond responses replies discussion commentlist commentform cookie cookies consent notice banner alert popup modal newsletter subscribe subscription signup login share sharing social related recommended pagination pager widget toolbar skip".split())
 MAIN_NAMES = frozenset("main article content post entry story".split())
 #: Tags and names whose content is never the article; other marks may stand on a wrapper of the whole page.
 NEVER = frozenset("head nav footer aside menu dialog title".split())
 NEVER_NAMES = frozenset("nav navbar navigation menu breadcrumb breadcrumbs footer cookie cookies consent pagination pager toolbar skip".split())
 FIRM = 1000
 _WORDS = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: Marks of single blocks and of stretches inside of them: names that say so by themselves, or begin so. Headings have none.
+SOFT_NAMES = ASIDE_NAMES - frozenset("header banner notice alert social skip toolbar widget response responses respond discussion".split())
+SOFT_STARTS = frozenset("ad ads advert advertisement sponsor sponsored promo".split())
+HEADINGS, VOID = frozenset("h1 h2 h3 h4 h5 h6".split()), frozenset("br hr img input wbr source track param area base col embed link meta".split())
+#: What "social" stands with where it means links to elsewhere.
+SOCIAL = frozenset("social media link links share sharing icon icons button buttons bar nav follow widget".split())
+#: Containers that are parts of a text, for which a template asks their parent.
+CONTENT = frozenset("blockquote ul ol dl table thead tbody tfoot tr figure details".split())
 #: Containers that may hold a whole article, and the share of a page's text that is nearly all.
 WRAPPING, NEARLY_ALL = frozenset("html body section div form fieldset".split()), 0.98
 _STATE = frozenset("has with no without".split())
@@ -62,13 +76,23 @@ _STATE = frozenset("has with no without".split())
 TEMPLATE, SALTS, BROADCAST = 3, 32, 16 << 20
 
 
+def _names(attributes: str) -> list[list[str]]:
+    """The words of each name in class, id and role; "siteHeader" is site and header."""
+    return [_WORDS.findall(_CAMEL.sub("-", n).lower()) for m in _NAMED.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").split()] if attributes else []
+
+
+def _soft(tag: str, attributes: str) -> bool:
+    """Whether a leaf or a tag within text is marked."""
+    return bool(attributes) and tag not in HEADINGS and tag not in VOID and any(n and (len(n) == 1 and n[0] in SOFT_NAMES or n[0] in SOFT_STARTS) for n in _names(attributes))
+
+
 def _label(tag: str, attributes: str, inner: bool) -> tuple[str, int, bool]:
     """Tag with its names, its mark (0: none, 1, or FIRM where nothing below can be the article), whether it is named as the article. inner: it stands in an article."""
-    names = [_WORDS.findall(n) for m in _NAMED.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").lower().split()] if attributes else []
+    names = _names(attributes)
     words = [w for n in names for w in n]
     main = tag in ("article", "main") or "main" in words or "article" in words
     # "has-sidebar" says what the element holds, not what it is
-    said = {w for n in names if not _STATE & set(n) for w in n} - ({"header"} if inner else set())
+    said = {w for n in names if not _STATE & set(n) and not ("social" in n and set(n) - SOCIAL) for w in n} - ({"header"} if inner else set())
     out = 0
     if not main and tag not in ("html", "body"):
         out = FIRM if tag in NEVER or said & NEVER_NAMES else 1 if tag in OUTSIDE or said & ASIDE_NAMES else 0
@@ -84,6 +108,7 @@ def blocks(page: str) -> Iterator[tuple[str, tuple[str, ...], int, str]]:
     marks of its wrappers, unless one is firm; its label then starts with "^".
     """
     stack: list[tuple[str, str, int, bool]] = []  # tag, label, outside, within an article
+    soft: list[list] = []  # marked leaves and tags within text: tag, containers around it, tags of the same name open in it
     text: list[str] = []
 
     def flush():
@@ -92,36 +117,57 @@ def blocks(page: str) -> Iterator[tuple[str, tuple[str, ...], int, str]]:
         return said
 
     def where():
-        return tuple(s[1] for s in stack), stack[-1][2] if stack else 0
+        return tuple(s[1] for s in stack), (stack[-1][2] if stack else 0) + len(soft)
 
     for m in _TOKEN.finditer(page):
-        if m[5] is not None:
-            text.append(m[5])
+        if m[6] is not None:
+            text.append(m[6])
             continue
-        if (tag := m[3]) is None:
-            if m[1]:
+        if (tag := m[4]) is None:
+            if m[1] or m[2] or m[0][1] not in "!?":
                 text.append(" ")
             elif m[0].startswith("<![CDATA["):
                 text.append(html.escape(m[0][9:-3]))
             continue
-        tag = tag.lower()
-        if tag not in CONTAINERS and tag not in LEAVES:
+        tag, ends, attributes = tag.lower(), bool(m[3]), m[5] or ""
+        block = tag in CONTAINERS or tag in LEAVES
+        marked = not ends and tag not in CONTAINERS and _soft(tag, attributes)
+        own = next((k for k in range(len(soft) - 1, -1, -1) if soft[k][0] == tag), None) if soft else None
+        if not block and not marked and own is None:
             continue
-        if said := flush():
-            yield "t", *where(), said
+        if block or marked or ends and not soft[own][2]:
+            if said := flush():
+                yield "t", *where(), said
+        if own is not None and tag not in CONTAINERS:
+            if tag in LEAVES:
+                # its own end, or the next one beside it
+                if soft[own][1] == len(stack):
+                    del soft[own:]
+            elif not ends:
+                soft[own][2] += 1
+            elif soft[own][2]:
+                soft[own][2] -= 1
+            else:
+                del soft[own:]
+        if block and not ends and tag != "br" and soft and soft[-1][0] == "p":
+            soft.pop()  # a paragraph holds no other block
+        if marked:
+            soft.append([tag, len(stack), 0])
         if tag in LEAVES:
-            if not m[2] and tag != "br":
+            if not ends and tag != "br":
                 yield "b", *where(), tag
-        elif m[2]:
+        elif tag in CONTAINERS and ends:
             if any(s[0] == tag for s in stack):
                 while stack:
+                    while soft and soft[-1][1] >= len(stack):
+                        soft.pop()
                     top = stack.pop()
                     yield ">", *where(), top[1]
                     if top[0] == tag:
                         break
-        else:
+        elif tag in CONTAINERS:
             inner, above = bool(stack and stack[-1][3]), stack[-1][2] if stack else 0
-            label, out, main = _label(tag, m[4] or "", inner)
+            label, out, main = _label(tag, attributes, inner)
             if main and not inner and 0 < above < FIRM:
                 label, above = "^" + label, 0
             yield "<", *where(), label
@@ -234,12 +280,12 @@ def hash_of(text: str) -> str:
 
 
 def _texts(wrapper: list) -> Iterator[list]:
-    """The text items of a wrapper, those in groups too, outside of excluded parts."""
-    todo = list(wrapper)
+    """The text items of a wrapper in order, those in groups too, outside of excluded parts."""
+    todo = list(reversed(wrapper))
     while todo:
         x = todo.pop()
         if x[0] in _GROUPS:
-            todo += x[1]
+            todo += reversed(x[1])
         elif x[0] == "#" and not x[2].startswith("-"):
             yield x
 
@@ -253,14 +299,36 @@ def _named_as_article(path: str) -> str | None:
     return None
 
 
+def _around(path: str) -> str:
+    """The container that a text's path ends in, without unnamed parts of a text."""
+    steps = path.split(">")
+    while len(steps) > 1 and steps[-1] in CONTENT:
+        steps.pop()
+    return ">".join(steps)
+
+
 def template(wrapper: list, pages: int) -> set[tuple[str, str]]:
-    """Path and text of the wrapper's constants that belong to the host's pages, not to their articles."""
+    """Path and text of the wrapper's constants that belong to the host's pages, not to their articles.
+
+    What stands between the first and the last slot of its container is of the article, as its repeated headings are.
+    """
     shared = max(TEMPLATE, pages / 2)
-    return {(x[2], x[1]) for x in _texts(wrapper) if x[1] is not None and x[4] >= shared and not _named_as_article(x[2])}
+    texts = list(_texts(wrapper))
+    ends: dict[str, tuple[int, int]] = {}
+    for k, x in enumerate(texts):
+        if x[1] is None:
+            around = _around(x[2])
+            ends[around] = ends.get(around, (k, k))[0], k
+    within = lambda k, x: (e := ends.get(_around(x[2]))) is not None and e[0] < k < e[1]
+    return {(x[2], x[1]) for k, x in enumerate(texts) if x[1] is not None and x[4] >= shared and not _named_as_article(x[2]) and not within(k, x)}
 
 
 def region(wrapper: list, pages: int = 1) -> str:
-    """The path of the container that holds the article: the one named so with most text, else the lowest that holds nearly all text outside the excluded parts; empty if that is the whole page."""
+    """The path of the container that holds the article: the one named so with most text, else the lowest that holds nearly all text outside the excluded parts; empty if that is the whole page.
+
+    Containers beside the one named as the article that are named so too, with a quarter of its text or more, are parts of
+    the article; the paths are told line by line then.
+    """
     mass: dict[str, float] = {}
     ours, texts = template(wrapper, pages), list(_texts(wrapper))
     if all((x[2], x[1]) in ours for x in texts):  # pages that are all alike
@@ -275,7 +343,8 @@ def region(wrapper: list, pages: int = 1) -> str:
             # in a marked wrapper, as teasers are: counts less than one that isn't
             named[top] = named.get(top, 0) + (n / 4 if "^" in top else n)
     if named:
-        return max(sorted(named), key=named.get)
+        most = max(sorted(named), key=named.get)
+        return "\n".join(sorted(p for p in named if p.rpartition(">")[0] == most.rpartition(">")[0] and named[p] >= named[most] / 4))
     below: dict[str, float] = {}
     for path, n in mass.items():
         steps = path.split(">")
@@ -288,6 +357,10 @@ def region(wrapper: list, pages: int = 1) -> str:
     return max(sorted(whole), key=lambda p: p.count(">"), default="")
 
 
+def _below(path: str, home: str) -> bool:
+    return any(home and (path == home or path.startswith(home + ">")) for home in home.split("\n"))
+
+
 def main_text(page: str, home: str, ours: Container[tuple[str, str]] = ()) -> str:
     """The article of a page: text blocks below the region ``home`` and outside of excluded parts, but for what is of the template (``ours``). If all is excluded, what is excluded least and not firmly."""
     every = [(">".join(path), outside, what) for kind, path, outside, what in blocks(page) if kind == "t" and outside < FIRM]
@@ -295,10 +368,10 @@ def main_text(page: str, home: str, ours: Container[tuple[str, str]] = ()) -> st
     texts = [(path, what) for path, outside, what in every if outside == least]
     if own := [(path, what) for path, what in texts if (path, _short(what)) not in ours]:
         texts = own
-    found = [what for path, what in texts if home and (path == home or path.startswith(home + ">"))]
+    found = [what for path, what in texts if _below(path, home)]
     if not found and texts:
         own_home = region([["#", None, path, len(what), 1] for path, what in texts])
-        found = [what for path, what in texts if not own_home or path == own_home or path.startswith(own_home + ">")]
+        found = [what for path, what in texts if not own_home or _below(path, own_home)]
     return " ".join(found)
 
 

@@ -57,3 +57,34 @@ def test_regions_too_large_to_broadcast_are_joined(spark, monkeypatch):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     monkeypatch.setattr(wrappers, "BROADCAST", 10)
     assert {r.page_id: r.text for r in wrappers.extract(pages).collect()} == {k: f"text {k}" for k in range(12)}
+
+
+@pytest.mark.parametrize(("page", "wanted"), [
+    ("<article class='a'><p>The first of two articles here.</p></article><article class='b'><p>And the second one follows.</p></article>", "The first of two articles here. And the second one follows."),
+    ("<article><svg><path><p>Text after what is never closed.</p></article>", "Text after what is never closed."),
+    ("<article><p>One</p><select><option>a</option><p>Two</p></article>", "One a Two"),
+    ("<article><p>One <button>Click</button> and <svg><text>drawn</text></svg> two</p><noscript>no</noscript></article>", "One and two"),
+    ("<article><p>Kept</p><p class='advert'>buy</p><p class='ad'>buy<p>also kept</p></article>", "Kept also kept"),
+    ("<article><p>Words <span class='ad'>buy <span>now</span> here</span>go on</p></article>", "Words go on"),
+    ("<article><p>Story</p></article><ol class='commentlist'><li class='comment'>said</ol>", "Story"),
+    ("<article><p>Story</p><ul><li>one<li class='sponsored'>buy<li>two</ul><p>End</p></article>", "Story one two End"),
+    ("<div class='siteHeader'>Top</div><div class='text'><p>Story of some length</p></div><div id='siteFooter'>Low</div>", "Story of some length"),
+    ("<div class='social-studies'><p>A long text about how people live together</p></div><div class='social-links'>Follow</div><div class='x'>a b c</div>", "A long text about how people live together a b c"),
+    ("<article><h2 class='promo'>A heading</h2><p class='comment-on-law'>Text</p></article>", "A heading Text"),
+])
+def test_marks_within_text_and_unclosed_parts(page, wanted):
+    assert told("<html><body>" + page + "</body></html>") == wanted
+
+
+def test_what_repeats_between_slots_is_of_the_article(spark):
+    page = "<body><div class='top'><p>Recipes Contact</p></div><div class='text'><p>Print this page</p><h1>Dish {k}</h1><h2>Summary</h2><p>It is dish {k} of many</p><h2>Ingredients</h2><blockquote>Serves four people at least.</blockquote><p>{k} spoons of salt</p><h4>Back to all recipes</h4></div></body>"
+    wanted = "Dish {k} Summary It is dish {k} of many Ingredients Serves four people at least. {k} spoons of salt"
+    rows = [(k, "http://dishes.org/", page.format(k=k)) for k in range(5)]
+    for parts in (1, 3):
+        got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)).collect()}
+        assert got == {k: wanted.format(k=k) for k in range(5)}
+
+
+def test_many_unclosed_parts_take_linear_time():
+    page = "<body><article><p>" + "word <svg> <select> " * 20_000 + "</p></article></body>"
+    assert told(page).split() == ["word"] * 20_000
