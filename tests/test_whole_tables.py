@@ -40,3 +40,29 @@ def test_vectors_of_all_labels_are_clustered(spark, few_vectors):
     vectors, folder = few_vectors
     rows = registry.QUERIES["cluster_series"](spark, folder).collect()
     assert {r.id for r in rows} == set(vectors) and {r.cluster for r in rows} == {0, 1, 2, 3}
+
+
+def test_pairs_across_blocks_and_odd_series(spark, monkeypatch):
+    """Several blocks give what plain Python gives, bit by bit; series that are null, hold a null, stand still or differ in length have no distance."""
+    from explorium.operators import analysis as A
+
+    monkeypatch.setattr(A, "PAIR_ROWS", 7)
+    whole = {f"k{i:02}": [math.sin((i + 1) * (k + 1)) * 10**(i % 4) for k in range(9)] for i in range(30)} | {"m1": [1.0, 2.0, 4.0], "m2": [2.0, 1.0, 7.0]}
+    odd = {"n0": None, "n1": [1.0, None, 2.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0], "n2": [3.0] * 9, "n3": [], "n4": [1.0]}
+    df = spark.createDataFrame([*(whole | odd).items(), (None, [1.0] * 9)], "k string, x array<double>").repartition(3)
+
+    def root(p, q):
+        total = 0.0
+        for u, v in zip(p, q):
+            total += (u - v) * (u - v)
+        return math.sqrt(total)
+
+    rough = {k: root(x[1:], x[:-1]) for k, x in whole.items()}
+    got = {(r.a, r.b): r.distance for r in A.cid(df, "k", "x").collect()}
+    assert sorted(got) == list(combinations(sorted(whole | odd), 2))
+    for (a, b), far in got.items():
+        fits = a in whole and b in whole and len(whole[a]) == len(whole[b])
+        assert far == (root(whole[a], whole[b]) * max(rough[a], rough[b]) / min(rough[a], rough[b]) if fits else None)
+    assert A.cid(df.where("false"), "k", "x").collect() == []
+    plan = A.cid(df, "k", "x")._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan  # no join over the order of ids
