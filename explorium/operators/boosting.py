@@ -54,27 +54,29 @@ def told(tree: dict[int, forests.Node], x: Column, classes: list, node: int = 0)
 
 
 def boost(df: DataFrame, features: list[str], y: str, rounds: int = 10, depth: int = 3, least: int = 1) -> tuple[Boosted, DataFrame]:
-    """The rounds, and the encoded rows (x, y, w: their weights after the last round, which sum up to 1).
+    """The rounds, and the encoded rows (x, y, id, w: their weights after the last round, which sum up to 1).
 
     A round is a tree of exact cuts on weighted rows, then one pass that measures its error e, and one that writes new
     weights: rows told wrongly weigh (1 - e) / e * (classes - 1) times as much. It ends early with a tree that tells all
     rows rightly, which is the only one to vote, or one no better than guessing, which is left out. Rows without a class
-    are left out; nulls in columns are what ``forests.one_hot`` makes of them.
+    are left out; nulls in columns are what ``forests.one_hot`` makes of them. Equal rows weigh the same, so rounds read
+    each once, with its number; ``df`` is read again where the encoded rows are used.
     """
     if rounds < 1 or depth < 1:
         raise ValueError("a round and a level at least")
     rows, slots = forests.one_hot(df, features, y)
     tables = Tables(df.sparkSession, "boost")
-    rows = tables.save(rows.where(F.col("y").isNotNull()), "rows")
-    counts = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a class
+    whole_rows = rows.where(F.col("y").isNotNull())
+    rows = tables.save(forests.folded(whole_rows), "rows")
+    counts = {r.y: r.n for r in rows.groupBy("y").agg(F.sum("many").alias("n")).collect()}  # a row a class
     model, total = Boosted(features, slots, sorted(counts)), sum(counts.values())
     now = tables.save(rows.withColumn("w", F.lit(1.0 / max(total, 1))), "round0")
     if len(counts) < 2:
-        return model, now
+        return model, whole_rows.withColumn("w", F.lit(1.0 / max(total, 1)))
     for k in range(rounds):
-        tree = forests.exact_tree(now, slots, model.classes, least, depth, "w")
+        tree = forests.exact_tree(now, slots, model.classes, least, depth, "w", "many")
         wrong = told(tree, F.col("x"), model.classes) != F.col("y")
-        error, whole = now.agg(F.sum(F.when(wrong, F.col("w")).otherwise(0.0)), F.sum("w")).first()
+        error, whole = now.agg(F.sum(F.when(wrong, F.col("w") * F.col("many")).otherwise(0.0)), F.sum(F.col("w") * F.col("many"))).first()
         error /= whole
         if error >= 1 - 1 / len(counts):
             break
@@ -88,4 +90,4 @@ def boost(df: DataFrame, features: list[str], y: str, rounds: int = 10, depth: i
         after = (whole * (1 - error)) + more * whole * error
         now = tables.save(now.withColumn("w", F.when(wrong, F.col("w") * more).otherwise(F.col("w")) / after), f"round{k + 1}")
         tables.drop(f"round{k}")
-    return model, now
+    return model, whole_rows.join(now.select("x", "y", "w"), ["x", "y"]).select(*whole_rows.columns, "w")

@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,11 @@ def one_hot(df: DataFrame, features: list[str], y: str, key: list[str] | None =
     return rows.select(F.array(*parts).alias("x"), F.col("__y").alias("y"), F.col("__id").alias("id")), slots
 
 
+def folded(rows: DataFrame) -> DataFrame:
+    """Rows that are equal in ``x`` and ``y`` as one, with ``many``: how many they are. Trees need no more of them, so columns of few values make small tables."""
+    return rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("many"))
+
+
 def impurity(n, sums):
     """Rows times Gini impurity, of class counts, or times variance, of sum and sum of squares; arrays over the last axis."""
     if sums.shape[-1] == 2 and n is not None:
@@ -99,24 +105,27 @@ def _gain(n: Column, sums: list[Column], all_n: Column, all_sums: list[Column],
     return sums[0] * sums[0] / n + rest[0] * rest[0] / rest_n
 
 
-def exact_tree(rows: DataFrame, slots: list[Slot], classes: list, least: int = 1, depth: int = 64, weight: str | None = None) -> dict[int, Node]:
+def exact_tree(rows: DataFrame, slots: list[Slot], classes: list, least: int = 1, depth: int = 64, weight: str | None = None, many: str | None = None) -> dict[int, Node]:
     """A tree by node number (children of k: 2k + 1 and 2k + 2). Of all cuts midway between neighbouring values, a node takes the one that lowers impurity most.
 
     ``least`` rows stay on each side. Ties go to the first slot, then the least cut. A level sums up equal values of a
     node and column, runs the sums up within ranges of values, and starts each range at what the ranges before it hold,
     so no task holds a node's values and a hot node is many tasks' work. ``classes`` is empty for a number outcome.
-    ``weight``, a column of ``rows``, makes classes count by it; ``least`` still counts rows.
+    ``weight``, a column of ``rows``, makes classes count by it; ``least`` still counts rows. ``many``, a column too, says
+    how many rows a row stands for. Rows of equal values are summed up first, and levels read those sums.
     """
     if weight and not classes:
         raise ValueError("weights go with classes")
     tables, nodes = Tables(rows.sparkSession, "tree"), {}
     names = [f"s{k}" for k in range(len(classes) or 2)]
-    now = tables.save(rows.select(F.lit(0).cast("long").alias("node"), "x", *[(c * F.col(weight) if weight else c).alias(n) for c, n in zip(_measures(F.col("y"), classes), names, strict=True)]), "level0")
+    each = reduce(Column.__mul__, [F.col(c).cast("double") for c in (weight, many) if c], F.lit(1.0))
+    own = rows.select("x", (F.col(many) if many else F.lit(1)).cast("long").alias("n"), *[(c * each).alias(s) for c, s in zip(_measures(F.col("y"), classes), names, strict=True)])
+    now = tables.save(own.groupBy("x").agg(F.sum("n").alias("n"), *[F.sum(s).alias(s) for s in names]).select(F.lit(0).cast("long").alias("node"), "x", "n", *names), "level0")
     shares = [k / RANGES for k in range(1, RANGES)]
     # ranges of each column, from its approximate quantiles: a row of arrays, the same for all nodes
     edges = now.agg(*[F.percentile_approx(F.col("x")[k], shares, 1000).alias(f"e{k}") for k in range(len(slots))]).first()
     found_edges = F.array(*[F.array(*[F.lit(v) for v in sorted(set(edges[k] or []))]).cast("array<double>") for k in range(len(slots))]) if slots else None
-    for r in now.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *[F.sum(s).alias(s) for s in names]).collect():
+    for r in now.groupBy("node").agg(F.sum("n").alias("n"), *[F.sum(s).alias(s) for s in names]).collect():
         nodes[r.node] = Node(r.n, tuple(r[s] for s in names))
     open_nodes = [0] if nodes and slots else []
     for level in range(depth):
@@ -125,8 +134,8 @@ def exact_tree(rows: DataFrame, slots: list[Slot], classes: list, least: int = 1
         if not open_nodes:
             break
         long = now.where(F.col("node").isin(open_nodes) if len(open_nodes) < 1000 else F.lit(True))
-        long = long.select("node", *names, F.posexplode(F.arrays_zip(F.col("x").alias("v"), found_edges.alias("e"))).alias("slot", "z")).select("node", "slot", F.col("z.v").alias("v"), F.size(F.filter("z.e", lambda e: e < F.col("z.v"))).alias("range"), *names)
-        values = tables.save(long.groupBy("node", "slot", "range", "v").agg(F.count(F.lit(1)).alias("n"), *[F.sum(s).alias(s) for s in names]), f"values{level}")
+        long = long.select("node", "n", *names, F.posexplode(F.arrays_zip(F.col("x").alias("v"), found_edges.alias("e"))).alias("slot", "z")).select("node", "slot", F.col("z.v").alias("v"), F.size(F.filter("z.e", lambda e: e < F.col("z.v"))).alias("range"), "n", *names)
+        values = tables.save(long.groupBy("node", "slot", "range", "v").agg(F.sum("n").alias("n"), *[F.sum(s).alias(s) for s in names]), f"values{level}")
         of_range = Window.partitionBy("node", "slot", "range").orderBy("v")
         before = Window.partitionBy("node", "slot").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
         whole = Window.partitionBy("node", "slot")
@@ -156,7 +165,7 @@ def exact_tree(rows: DataFrame, slots: list[Slot], classes: list, least: int = 1
             break
         split = rows.sparkSession.createDataFrame([(k, nodes[k].slot, nodes[k].cut) for k, _ in splits if nodes[k].slot is not None], "node long, slot int, cut double")
         # the engine broadcasts the splits if they are small
-        moved = now.join(split, "node").select((2 * F.col("node") + F.when(F.col("x")[F.col("slot")] <= F.col("cut"), 1).otherwise(2)).alias("node"), "x", *names)
+        moved = now.join(split, "node").select((2 * F.col("node") + F.when(F.col("x")[F.col("slot")] <= F.col("cut"), 1).otherwise(2)).alias("node"), "x", "n", *names)
         now = tables.save(moved, f"level{level + 1}")
         tables.drop(f"level{level}", f"values{level}")
     return nodes

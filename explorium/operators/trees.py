@@ -57,9 +57,9 @@ class Cart:
         self.df, self.y, self.mode, self.columns = df, y, mode, columns
         self.start = B.bounding_box(df.withColumns({c: F.col(c).cast("string") for c, k in df.dtypes if k == "boolean"}), columns)
         rows, self.slots = forests.one_hot(df, columns, y)
-        rows = Tables(df.sparkSession, "cart").save(rows, "rows")
+        rows = Tables(df.sparkSession, "cart").save(forests.folded(rows), "rows")
         self.classes = [] if mode == "regression" else sorted(r[0] for r in rows.select("y").distinct().collect())
-        self.nodes = forests.exact_tree(rows, self.slots, self.classes, max(1, int(mass_min * rows.count())), max_depth)
+        self.nodes = forests.exact_tree(rows, self.slots, self.classes, max(1, int(mass_min * (rows.agg(F.sum("many")).first()[0] or 0))), max_depth, many="many")
 
     def tree(self, node: int = 0, indent: str = "") -> str:
         """The tree as text: a line a node, tests with their limits or levels, leaves with their rows."""

@@ -190,3 +190,22 @@ def test_scores_find_what_tells(spark):
     df = table(spark).where("y is not null")
     told, model, rows = forests.scores(df, ["a", "b", "k"], "z", classify=False, trees=8, key=["id"])
     assert told.first().feature == "a" and sum(r.score for r in told.collect()) == pytest.approx(1) and forests.oob_score(rows, model) > 0.8
+
+
+def test_equal_rows_are_read_once(spark, monkeypatch):
+    """Levels of a tree hold sums of equal rows: as large as the table is in values, not in rows; a row may stand for several."""
+    sizes, save = [], forests.Tables.save
+
+    def saved(self, df, name, *parts):
+        out = save(self, df, name, *parts)
+        sizes.append((name, out.count()))
+        return out
+
+    df = table(spark).where("y is not null and a is not null and k is not null").drop("i")
+    rows, slots = forests.one_hot(df, ["b", "k"], "y")
+    plain = forests.exact_tree(rows, slots, [0, 1, 2], 25)
+    monkeypatch.setattr(forests.Tables, "save", saved)
+    assert forests.exact_tree(rows.union(rows), slots, [0, 1, 2], 50).keys() == plain.keys()
+    assert all(n <= 12 for name, n in sizes if name.startswith("level"))
+    many = forests.exact_tree(forests.folded(rows), slots, [0, 1, 2], 25, many="many")
+    assert many == plain and many[0].n == 600
