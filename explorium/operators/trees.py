@@ -8,9 +8,13 @@ feature or the outcome is left out.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -24,9 +28,13 @@ from explorium.sources.shared import Tables
 
 
 def encoded(df: DataFrame, features: list[str], y: str) -> tuple[DataFrame, list[str], dict[str, list]]:
-    """``features`` as one vector and ``label``, the features with more than one value, and the levels of each category."""
+    """``features`` as one vector and ``label``, the features with more than one value, and the levels of each category.
+
+    Rows that are equal in all of them are one row, with ``many``: how many they are.
+    """
     kinds = dict(df.dtypes)
     whole = df.select(*[F.col(c).cast("string" if kinds[c] in ("string", "boolean") else "double").alias(c) for c in features], F.col(y).alias("__y")).dropna()
+    whole = Tables(df.sparkSession, "encoded").save(whole.groupBy(*whole.columns).agg(F.count(F.lit(1)).alias("many")), "rows")
     counts = whole.agg(*[F.approx_count_distinct(c).alias(c) for c in features]).first()
     single = [c for c in features if counts[c] <= 3 and whole.select(c).distinct().limit(2).count() < 2]
     names, levels, columns = [c for c in features if c not in single], {}, []
@@ -112,20 +120,61 @@ class Cart:
         return out.join(F.broadcast(sizes), "leaf")
 
 
+#: Rows that are equal in all columns, on average, from which trees are fitted on numbers of draws.
+ALIKE = 4
+
+
+def resampled(rows: DataFrame, trees: int, seed: int) -> DataFrame:
+    """``features``, ``label`` and ``draws``: how often each tree sees a row (id, many); functions of seed, tree and id.
+
+    Each of the rows that it stands for is drawn a Poisson number of times of mean 1, so all of them a Poisson number of mean ``many``.
+    """
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            draws = [np.random.default_rng([seed, int(i) & (1 << 64) - 1]).poisson(m, trees).tolist() for i, m in zip(b["id"], b["many"], strict=True)]
+            yield pd.DataFrame({"id": b["id"], "label": b["label"], "draws": draws})
+
+    # labels are part of what ids are made of
+    told = rows.select("id", "label", "many").mapInPandas(draw, "id long, label double, draws array<long>")
+    return rows.join(told, ["id", "label"]).select("features", "label", "draws")
+
+
 def forest(df: DataFrame, features: list[str], y: str, classify: bool = True, trees: int = 250, max_bins: int = 256, max_depth: int = 12, seed: int = 0, how: str = "forest") -> DataFrame:
     """Importances, largest first. forest: root-many features a split on resampled rows; extra: a third of them on all rows, with larger leaves.
 
     The learner has no random cuts; ``extra`` keeps the other settings of that method. ``forests.scores`` has them.
+    Equal rows are one weighted row to it. Where a row stands for more than ``ALIKE`` on average, a resampled tree is
+    fitted by itself, on each row's number of draws: a Poisson number whose mean is the number of rows it stands for.
     """
     if how not in ("forest", "extra"):
         raise ValueError(f"no forest called {how!r}")
     rows, names, levels = encoded(df, features, y)
-    n = rows.count()
+    n, own = rows.agg(F.sum("many"), F.count(F.lit(1))).first()
     bins = max([max_bins, *(len(v) for c, v in levels.items() if c != y)])
-    extra = how == "extra"
-    options = {"numTrees": trees, "maxBins": bins, "maxDepth": max_depth, "seed": seed, "minInstancesPerNode": max(1, round(math.sqrt(n) / math.sqrt(1000))) if extra else 1, "featureSubsetStrategy": str(max(1, round(len(names) / 3))) if extra else "sqrt"}
-    model = (RandomForestClassifier if classify else RandomForestRegressor)(bootstrap=not extra, **options).fit(rows)
-    scores = sorted(zip(names, map(float, model.featureImportances.toArray()), strict=True), key=lambda s: (-s[1], s[0]))
+    learner = RandomForestClassifier if classify else RandomForestRegressor
+    options = {"maxBins": bins, "maxDepth": max_depth, "featureSubsetStrategy": "sqrt"}
+    if how == "extra":
+        least = max(1, round(math.sqrt(n) / math.sqrt(1000)))
+        # a leaf's least weight; half a row less, as weights are whole
+        options |= {"featureSubsetStrategy": str(max(1, round(len(names) / 3))), "minWeightFractionPerNode": min((least - 0.5) / n, 0.499)}
+        shares = [learner(bootstrap=False, weightCol="many", numTrees=trees, seed=seed, **options).fit(rows).featureImportances.toArray()]
+    elif n <= ALIKE * own:
+        every = rows.select("features", "label", F.explode(F.array_repeat(F.lit(0), F.col("many").cast("int"))))
+        shares = [learner(bootstrap=True, numTrees=trees, seed=seed, **options).fit(every).featureImportances.toArray()]
+    else:
+        drawn = resampled(rows.select("features", "label", F.xxhash64(*names, "label").alias("id"), "many"), trees, seed)
+        drawn = Tables(df.sparkSession, "forest").save(drawn, "drawn")
+
+        def one(t: int):
+            w = drawn.select("features", "label", F.col("draws")[t].cast("double").alias("w")).where("w > 0")
+            return learner(bootstrap=False, weightCol="w", numTrees=1, seed=seed * 1_000_003 + t, **options).fit(w).featureImportances.toArray()
+
+        with ThreadPoolExecutor(4) as pool:
+            shares = list(pool.map(one, range(trees)))
+    told = sum(shares)
+    told = told / told.sum() if told.sum() else told
+    scores = sorted(zip(names, map(float, told), strict=True), key=lambda s: (-s[1], s[0]))
     return df.sparkSession.createDataFrame(scores, "feature string, score double")
 
 
@@ -142,6 +191,7 @@ def boosted(df: DataFrame, features: list[str], y: str, classify: bool = True, r
     """Importances by gradient-boosted trees, largest first, and the model. Classes are two."""
     rows, names, levels = encoded(df, features, y)
     bins = max([max_bins, *(len(v) for c, v in levels.items() if c != y)])
+    rows = rows.select("features", "label", F.explode(F.array_repeat(F.lit(0), F.col("many").cast("int"))))
     model = (GBTClassifier if classify else GBTRegressor)(maxIter=rounds, maxDepth=depth, stepSize=rate, maxBins=bins, seed=seed).fit(rows)
     scores = sorted(zip(names, map(float, model.featureImportances.toArray()), strict=True), key=lambda s: (-s[1], s[0]))
     return df.sparkSession.createDataFrame(scores, "feature string, score double"), model

@@ -2,9 +2,11 @@
 
 import math
 import random
+from functools import reduce
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from explorium.operators import forests, trees
@@ -209,3 +211,28 @@ def test_equal_rows_are_read_once(spark, monkeypatch):
     assert all(n <= 12 for name, n in sizes if name.startswith("level"))
     many = forests.exact_tree(forests.folded(rows), slots, [0, 1, 2], 25, many="many")
     assert many == plain and many[0].n == 600
+
+
+def test_forests_of_equal_rows_are_fitted_on_weights(spark, monkeypatch):
+    """The learner gets a row for equal ones; draws don't depend on partitions, and are Poisson."""
+    df = table(spark).where("y is not null and a is not null and k is not null").select("b", "k", "y")
+    df = reduce(DataFrame.union, [df] * 3)
+    seen, learner = [], trees.RandomForestClassifier
+
+    def noted(**options):
+        model = learner(**options)
+        seen.append(options)
+        return model
+
+    monkeypatch.setattr(trees, "RandomForestClassifier", noted)
+    one, two = (trees.forest(x, ["b", "k"], "y", trees=5).collect() for x in (df.repartition(3), df.repartition(7, "k")))
+    assert one == two and sum(r.score for r in one) == pytest.approx(1) and len(seen) == 10 and {o["weightCol"] for o in seen} == {"w"}
+    told = dict(trees.forest(df, ["b", "k"], "y", trees=5, how="extra").collect())
+    rows = trees.encoded(df, ["b", "k"], "y")[0]
+    assert rows.count() <= 36
+    every = rows.select("features", "label", F.explode(F.array_repeat(F.lit(0), F.col("many").cast("int"))))
+    assert every.count() == 1800
+    same = learner(bootstrap=False, numTrees=5, seed=0, maxBins=256, maxDepth=12, featureSubsetStrategy="1", minInstancesPerNode=1).fit(every).featureImportances.toArray()
+    assert [told["b"], told["k"]] == pytest.approx(same.tolist())
+    drawn = [r.draws for r in trees.resampled(spark.range(400).selectExpr("id AS features", "1.0D AS label", "id", "50L AS many"), 20, 1).collect()]
+    assert np.mean(drawn) == pytest.approx(50, abs=0.5) and np.var(drawn) == pytest.approx(50, abs=3)
