@@ -36,6 +36,54 @@ def _mask(s: tuple[int, ...]) -> int:
     return sum(1 << k for k in s)
 
 
+class Steps:
+    """A staircase of (place, front): the highest front up to a place, with both rising from step to step."""
+
+    def __init__(self):
+        self.lows: list[float] = []
+        self.tops: list[int] = []
+
+    def top(self, place: float) -> int:
+        k = bisect_right(self.lows, place)
+        return self.tops[k - 1] if k else 0
+
+    def add(self, place: float, front: int) -> None:
+        lows, tops = self.lows, self.tops
+        k = bisect_right(lows, place)
+        if k and tops[k - 1] >= front:
+            return
+        end = k
+        while end < len(tops) and tops[end] <= front:
+            end += 1
+        if k and lows[k - 1] == place:
+            k -= 1
+        lows[k:end], tops[k:end] = [place], [front]
+
+
+def _rank_of_three(x: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Fronts of distinct vectors in an order in which what beats one comes before it: n log² n, in a tree of staircases.
+
+    The tree's places are the levels of the objective with fewer values of the last two; each place that a vector is
+    put at holds a staircase of the other objective.
+    """
+    few, other = (1, 2) if len(np.unique(x[:, 1])) <= len(np.unique(x[:, 2])) else (2, 1)
+    levels, place = np.unique(-x[:, few], return_inverse=True)  # the best level first
+    size, tree, found = len(levels), [None] * (len(levels) + 1), np.zeros(len(x), np.int64)
+    for i, (p, v, least) in enumerate(zip((place.ravel() + 1).tolist(), (-x[:, other]).tolist(), base.tolist(), strict=True)):
+        best, k = least, p
+        while k:
+            if tree[k] is not None:
+                best = max(best, tree[k].top(v))
+            k -= k & -k
+        found[i] = best + 1
+        while p <= size:
+            if tree[p] is None:
+                tree[p] = Steps()
+            tree[p].add(v, best + 1)
+            p += p & -p
+    return found
+
+
 def above(vectors: np.ndarray, values: np.ndarray, fronts: np.ndarray) -> np.ndarray:
     """For each vector the highest front among values that reach it in every objective; 0 if none does."""
     out = np.zeros(len(vectors), np.int64)
@@ -48,6 +96,14 @@ def above(vectors: np.ndarray, values: np.ndarray, fronts: np.ndarray) -> np.nda
         top = np.maximum.accumulate(fronts[order])
         n = np.searchsorted(-values[order, 0], -vectors[:, 0], side="right")
         return np.where(n > 0, top[np.maximum(n, 1) - 1], 0)
+    if values.shape[1] == 2:  # from the highest first value down, what reaches is on a staircase of the second
+        steps, order, k = Steps(), np.argsort(-values[:, 0], kind="stable"), 0
+        for i in np.argsort(-vectors[:, 0], kind="stable").tolist():
+            while k < len(order) and values[order[k], 0] >= vectors[i, 0]:
+                steps.add(-float(values[order[k], 1]), int(fronts[order[k]]))
+                k += 1
+            out[i] = steps.top(-float(vectors[i, 1]))
+        return out
     step = max(1, (1 << 21) // len(values))
     for at in range(0, len(vectors), step):
         reach = (values[None, :, :] >= vectors[at : at + step, None, :]).all(axis=2)
@@ -59,7 +115,10 @@ def rank(vectors: np.ndarray, base: np.ndarray) -> np.ndarray:
     """Fronts of distinct vectors; base: the highest front among what beats each from other cells."""
     order = np.lexsort(-vectors.T[::-1])  # what beats a vector comes before it
     out = np.zeros(len(vectors), np.int64)
-    if vectors.shape[1] > 2:
+    if vectors.shape[1] == 3:
+        out[order] = _rank_of_three(vectors[order], base[order])
+        return out
+    if vectors.shape[1] > 3:
         x, found = vectors[order], np.zeros(len(vectors), np.int64)
         for i, at in enumerate(order):
             reach = (x[:i] >= x[i]).all(axis=1)
@@ -93,6 +152,14 @@ def staircase(values: np.ndarray, fronts: np.ndarray) -> np.ndarray:
         keep[0] = True
         return order[keep]
     kept: list[int] = []
+    if values.shape[1] == 2:  # a staircase of what is kept: with the first value falling, the second rises
+        steps = Steps()
+        for i in order.tolist():
+            place, reach = -float(values[i, 0]), float(values[i, 1])
+            if not steps.lows or (k := bisect_right(steps.lows, place)) == 0 or steps.tops[k - 1] < reach:
+                kept.append(i)
+                steps.add(place, reach)
+        return np.array(kept)
     for i in order:
         if not kept or not (values[kept] >= values[i]).all(axis=1).any():
             kept.append(i)

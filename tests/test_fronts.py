@@ -1,5 +1,7 @@
 """All fronts against peeling one front after another, and volumes of large fronts."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -44,3 +46,26 @@ def test_nulls_ties_and_empty_tables(spark):
     assert [r.front for r in FR.fronts(df.where("a is null"), ["a", "b"]).collect()] == [None]
     with pytest.raises(ValueError):
         FR.fronts(df, [])
+
+
+def test_ranks_in_three_objectives_are_not_quadratic():
+    """Against the plain rule on small cells, and a large cell in seconds; staircases of two values likewise."""
+    rng = np.random.default_rng(3)
+    for n, levels in ((60, 4), (120, 30), (1, 2)):
+        x = np.unique(rng.integers(-levels, levels, (n, 3)).astype(float), axis=0)
+        rng.shuffle(x)
+        base, want = rng.integers(0, 5, len(x)), {}
+        for i in np.lexsort(-x.T[::-1]).tolist():
+            want[i] = 1 + max([int(base[i]), *(f for j, f in want.items() if (x[j] >= x[i]).all())])
+        assert FR.rank(x, base).tolist() == [want[i] for i in range(len(x))]
+        v, f, q = x[:, :2], base + 1, rng.integers(-levels, levels, (40, 2)).astype(float)
+        assert FR.above(q, v, f).tolist() == [max([0, *(int(b) for a, b in zip(v, f) if (a >= p).all())]) for p in q]
+        kept = FR.staircase(v, f)
+        assert FR.above(q, v[kept], f[kept]).tolist() == FR.above(q, v, f).tolist()
+    n = 100_000
+    x = np.stack([rng.permutation(n), rng.integers(0, 25, n), rng.permutation(n)], axis=1).astype(float)
+    start = time.process_time()
+    found = FR.rank(x, np.zeros(n, int))
+    at = FR.staircase(x[:, [0, 2]], found)
+    FR.above(x[:, [0, 2]], x[at][:, [0, 2]], found[at])
+    assert time.process_time() - start < 20 and found.min() == 1 and found[x[:, 0].argmax()] == 1
