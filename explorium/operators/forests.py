@@ -26,6 +26,8 @@ from explorium.sources.shared import Tables
 RANGES = 64
 #: Slots, one a column or level, over all open nodes of the trees grown at once: bounds what a task counts in.
 SLOTS = 4_000_000
+#: Distinct rows times trees up to which a forest sums up how often each tree sees equal rows, and grows from these sums.
+SUMS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -256,15 +258,45 @@ def _sums(at: np.ndarray, count: int, w: np.ndarray, s: np.ndarray) -> np.ndarra
     return np.stack([np.bincount(at, w, count), *(np.bincount(at, w * c, count) for c in s.T)], axis=1)
 
 
-def _counted(batches: Iterator[pa.RecordBatch], shared, width: int, classes: int, bootstrap: bool, seed: int) -> Iterator[pa.RecordBatch]:
-    """Of each open node: weight, sums, least and, negated, largest values of the slots; or, of cuts, weight and sums left of each."""
+def _drawn(batches: Iterator[pa.RecordBatch], count: int, trees: range, bootstrap: bool, seed: int) -> Iterator[pa.RecordBatch]:
+    """code and w: how often each of the trees sees the rows of each code in this task."""
+    out = np.zeros((count, len(trees)), np.int64)
+    for b in batches:
+        code, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
+        for i, t in enumerate(trees):
+            out[:, i] += np.bincount(code, weights(seed, t, ids) if bootstrap else None, count).astype(np.int64)
+    seen = np.flatnonzero(out.any(axis=1))
+    for start in range(0, len(seen), 10_000):
+        k = seen[start : start + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(list(out[k]), pa.list_(pa.int64()))], ["code", "w"])
+
+
+def _seen(data: DataFrame, tables: Tables, trees: range, bootstrap: bool, seed: int) -> DataFrame | None:
+    """``x``, ``y`` and ``w``: how often each of the trees sees rows equal in both. None if there are too many distinct rows for a task to count them."""
+    distinct = data.select("x", "y").distinct().limit(SUMS // len(trees) + 1)
+    count = distinct.count()
+    if not count or count > SUMS // len(trees):
+        return None
+    # at most SUMS distinct rows are numbered in one task
+    codes = tables.save(distinct.withColumn("code", F.row_number().over(Window.orderBy("x", "y")) - 1), f"codes{trees.start}")
+    parts = data.join(F.broadcast(codes), ["x", "y"]).select("code", "id").mapInArrow(lambda b: _drawn(b, count, trees, bootstrap, seed), "code long, w array<long>")
+    summed = parts.groupBy("code").agg(F.array(*[F.sum(F.col("w")[i]) for i in range(len(trees))]).alias("w"))
+    return tables.save(codes.join(summed, "code").select("x", "y", "w"), f"sums{trees.start}")
+
+
+def _counted(batches: Iterator[pa.RecordBatch], shared, width: int, classes: int, bootstrap: bool, seed: int, first: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Of each open node: weight, sums, least and, negated, largest values of the slots; or, of cuts, weight and sums left of each. ``first``: rows bring draws of trees from it on."""
     trees, opened, cuts = shared.value
     m, held = classes or 2, {}
     for b in batches:
-        x, y, ids = _stacked(b.column(0), width), b.column(1).to_numpy(), b.column(2).to_numpy()
+        x, y, ids = _stacked(b.column(0), width), b.column(1).to_numpy(), b.column(2).to_numpy() if first is None else None
+        drawn = None if first is None else np.stack(b.column(2).to_numpy(zero_copy_only=False)) if b.num_rows else np.empty((0, 0))
         s = _measured(y, classes)
         for t, wanted in opened.items():
-            w = weights(seed, t, ids) if bootstrap else np.ones(len(ids), np.int64)
+            if drawn is not None:
+                w = drawn[:, t - first] if len(drawn) else np.zeros(0, np.int64)
+            else:
+                w = weights(seed, t, ids) if bootstrap else np.ones(len(ids), np.int64)
             rows = np.flatnonzero(w > 0)
             at = trees[t].place(x, rows)
             k = np.minimum(np.searchsorted(wanted, at), len(wanted) - 1)
@@ -300,6 +332,7 @@ def forest(rows: DataFrame, slots: list[Slot], classes: list, trees: int, featur
 
     All nodes of a level, of ``together`` trees at once, are measured twice, each time in one aggregation over the rows
     (one for every ``most`` slots of open nodes): first the limits of each slot, then the sums left of each drawn cut.
+    Rows equal in ``x`` and ``y`` are read once, with how often each tree sees them, if they are few enough.
     Tasks count in arrays and hand on one row a node, so a table of any size sends nodes, not rows. ``least`` counts
     what a tree sees; a side with less rules a cut out. Trees are up to 60 levels deep.
     """
@@ -310,6 +343,7 @@ def forest(rows: DataFrame, slots: list[Slot], classes: list, trees: int, featur
     data = tables.save(rows.select("x", code.cast("double").alias("y"), "id"), "rows")
     empty = Tree(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0), np.empty((0, m)))
     grown, gains = [empty] * trees, np.zeros((trees, width))
+    source, begin = data, None
 
     def measured(tree: np.ndarray, node: np.ndarray, cuts: tuple[np.ndarray, np.ndarray] | None, size: int) -> np.ndarray:
         """A row of sums (and limits) for each open node, zero where no row came to it."""
@@ -320,7 +354,7 @@ def forest(rows: DataFrame, slots: list[Slot], classes: list, trees: int, featur
             opened = {int(t): node[own][tree[own] == t] for t in np.unique(tree[own])}
             chosen = None if cuts is None else {t: tuple(c[own][tree[own] == t] for c in cuts) for t in opened}
             shared = spark.sparkContext.broadcast(({t: grown[t] for t in opened}, opened, chosen))
-            parts = data.mapInArrow(lambda b, shared=shared: _counted(b, shared, width, k, bootstrap, seed), "tree int, node long, v array<double>").select("tree", "node", F.posexplode("v").alias("i", "v"))
+            parts = source.mapInArrow(lambda b, shared=shared, begin=begin: _counted(b, shared, width, k, bootstrap, seed, begin), "tree int, node long, v array<double>").select("tree", "node", F.posexplode("v").alias("i", "v"))
             joined = F.when(F.col("i") > m, F.min("v")).otherwise(F.sum("v")) if cuts is None else F.sum("v")
             summed = parts.groupBy("tree", "node", "i").agg(joined.alias("v")).groupBy("tree", "node").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda z: z["v"]).alias("v"))
             place = {key: i + start for i, key in enumerate(zip(tree[own].tolist(), node[own].tolist(), strict=True))}
@@ -330,6 +364,8 @@ def forest(rows: DataFrame, slots: list[Slot], classes: list, trees: int, featur
 
     for first in range(0, trees, together):
         tree = np.arange(first, min(first + together, trees))
+        sums_of = _seen(data, tables, range(first, first + len(tree)), bootstrap, seed)
+        source, begin = (data, None) if sums_of is None else (sums_of, first)
         node = np.zeros(len(tree), np.int64)
         for level in range(depth + 1):
             if not len(tree):

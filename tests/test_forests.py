@@ -236,3 +236,20 @@ def test_forests_of_equal_rows_are_fitted_on_weights(spark, monkeypatch):
     assert [told["b"], told["k"]] == pytest.approx(same.tolist())
     drawn = [r.draws for r in trees.resampled(spark.range(400).selectExpr("id AS features", "1.0D AS label", "id", "50L AS many"), 20, 1).collect()]
     assert np.mean(drawn) == pytest.approx(50, abs=0.5) and np.var(drawn) == pytest.approx(50, abs=3)
+
+
+def test_forests_read_equal_rows_once(spark, monkeypatch):
+    sizes, save = {}, forests.Tables.save
+
+    def saved(self, df, name, *parts):
+        out = save(self, df, name, *parts)
+        sizes[name] = out.count()
+        return out
+
+    rows, slots = forests.one_hot(table(spark, 200), ["b", "k"], "y", ["id"])
+    monkeypatch.setattr(forests.Tables, "save", saved)
+    one = forests.forest(rows, slots, [0, 1, 2], 2, 2, 20, depth=2, seed=3)
+    assert 0 < sizes["sums0"] <= 36 < sizes["rows"]
+    monkeypatch.setattr(forests, "SUMS", 0)  # row by row
+    two = forests.forest(rows, slots, [0, 1, 2], 2, 2, 20, depth=2, seed=3)
+    assert all((getattr(a, c) == getattr(b, c)).all() for a, b in zip(one.trees, two.trees) for c in ("keys", "slots", "cuts", "n", "sums"))
