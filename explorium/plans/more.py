@@ -302,7 +302,7 @@ def run_constraints(spark, d):
 @_query()
 def cluster_series(spark, d):
     df = _t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    return C.clusters(A.cid(df, "vec_id", "x"), 4)
+    return C.series_clusters(df, "vec_id", "x", 4)
 
 
 @_query("""WITH n AS (SELECT n_regionkey::BIGINT AS l, row_number() OVER (ORDER BY n_nationkey) - 1 AS p, n_name AS policy, count(*) OVER () AS np FROM nation),
