@@ -204,33 +204,39 @@ def _by_length(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarra
     return {n: (at, values[ends[at][:, None] + np.arange(n)]) for n, at in places.items()}
 
 
-def far(left: pa.Table, right: pa.Table, quick: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The distances of all runs (x, c) of one block to all of another, and which pairs have none. ``quick``: right to some 12 digits, by products of matrices."""
+def far(left: pa.Table, right: pa.Table, step: int, quick: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The distances of ``step`` runs (x, c) of one block after the other to all of another: the first run's place, distances, and which pairs have none.
+
+    ``quick``: right to some 12 digits, by products of matrices.
+    """
     one, other = _by_length(left.column("x")), _by_length(right.column("x"))
     rough = [t.column("c").to_numpy().astype(float) for t in (left, right)]
-    out = np.zeros((left.num_rows, right.num_rows))
-    none = np.ones(out.shape, bool)
-    for n in one.keys() & other.keys():
-        (at, x), (to, y) = one[n], other[n]
-        y = np.ascontiguousarray(y.T)
-        step = max(1, (1 << (18 if quick else 16)) // len(to))  # what a processor's cache holds
-        squares = _quick_squares if quick else _squares
-        with np.errstate(all="ignore"):
-            yy = (y * y).sum(axis=0)
-            for start in range(0, len(at), step):
-                rows = at[start : start + step]
-                square = squares(x[start : start + step], y, yy)
-                cx, cy = rough[0][rows][:, None], rough[1][to]
-                low = np.fmin(cx, cy)
-                np.sqrt(square, out=square)
-                square *= np.maximum(cx, cy)
-                square /= low
-                out[np.ix_(rows, to)] = square
-                none[np.ix_(rows, to)] = low == 0
-    return out, none
-
-
-def _squares(x: np.ndarray, y: np.ndarray, yy: np.ndarray | None = None) -> np.ndarray:
+    columns = {n: (to, np.ascontiguousarray(y.T), (y * y).sum(axis=1)) for n, (to, y) in other.items()}
+    for start in range(0, left.num_rows, step):
+        out = np.zeros((min(step, left.num_rows - start), right.num_rows))
+        none = np.ones(out.shape, bool)
+        for n in one.keys() & other.keys():
+            (at, x), (to, y, yy) = one[n], columns[n]
+            first, end = np.searchsorted(at, (start, start + step))
+            some = max(1, (1 << (17 if quick else 16)) // len(to))  # what a processor's cache holds
+            for lo in range(first, end, some):
+                rows = at[lo : min(lo + some, end)]
+                with np.errstate(all="ignore"):
+                    square = (_quick_squares if quick else _squares)(x[lo : lo + len(rows)], y, yy)
+                    cx, cy = rough[0][rows][:, None], rough[1][to]
+                    low = np.fmin(cx, cy)
+                    np.sqrt(square, out=square)
+                    square *= np.maximum(cx, cy)
+                    square /= low
+                if len(to) == right.num_rows and rows[-1] - rows[0] == len(rows) - 1:
+                    place = slice(rows[0] - start, rows[-1] - start + 1)
+                else:
+                    place = np.ix_(rows - start, to)
+                out[place], none[place] = square, low == 0
+        yield start, out, none
+
+
+def _squares(x: np.ndarray, y: np.ndarray, yy: np.ndarray) -> np.ndarray:
     """The squares of all distances between rows of x and columns of y, summed in order."""
     square, gap = np.zeros((len(x), y.shape[1])), np.empty((len(x), y.shape[1]))
     for k in range(len(y)):
@@ -251,7 +257,7 @@ def _quick_squares(x: np.ndarray, y: np.ndarray, yy: np.ndarray) -> np.ndarray:
     if not clear.all():
         r, c = np.nonzero(~clear)
         if len(r) * 8 > square.size:
-            return _squares(x, y)
+            return _squares(x, y, yy)
         found = np.zeros(len(r))
         for k in range(len(y)):
             gap = x[r, k] - y[k, c]
@@ -264,13 +270,12 @@ def _pairs(cells: int) -> Callable[[pa.Table, pa.Table], Iterator[pa.Table]]:
     """The distances between the runs of two blocks, or, of a block with itself, of each two of its runs; about ``cells`` at once."""
 
     def tile(left: pa.Table, right: pa.Table) -> Iterator[pa.Table]:
-        alone, step = left is right, max(1, cells // right.num_rows)
-        for start in range(0, left.num_rows, step):
-            part, other = left.slice(start, step), right.slice(start if alone else 0)
-            out, none = far(part, other)
-            p, q = np.triu_indices(len(out), 1, out.shape[1]) if alone else (np.repeat(np.arange(len(out)), out.shape[1]), np.tile(np.arange(out.shape[1]), len(out)))
+        alone = left is right
+        for start, out, none in far(left, right, max(1, cells // right.num_rows)):
+            part = left.slice(start, len(out))
+            p, q = np.triu_indices(len(out), start + 1, out.shape[1]) if alone else (np.repeat(np.arange(len(out)), out.shape[1]), np.tile(np.arange(out.shape[1]), len(out)))
             told = pa.array(out[p, q] if alone else out.ravel(), mask=none[p, q] if alone else none.ravel())
-            yield pa.table({"p": part.column("k").take(pa.array(p)), "q": other.column("k").take(pa.array(q)), "distance": told})
+            yield pa.table({"p": part.column("k").take(pa.array(p)), "q": right.column("k").take(pa.array(q)), "distance": told})
 
     return tile
 

@@ -95,18 +95,19 @@ def test_runs_are_sent_a_bounded_number_of_times(spark):
     assert A.block_count(n, A.BLOCK_VALUES) == n and A.block_count(0, None) == 1
 
 
-@pytest.mark.parametrize(("linkage", "listed"), [("average", 2), ("average", 5), ("complete", 3), ("single", 3)])
-def test_series_cluster_by_lists_without_a_table_of_distances(spark, series, monkeypatch, linkage, listed):
-    """Short lists and clusters that blocks cut give the same; no round writes a table."""
+@pytest.mark.parametrize(("linkage", "listed", "most", "few"), [("average", 2, 2, 1), ("average", 1, 8, 0), ("complete", 1, 8, 0), ("single", 1, 8, 0)])
+def test_series_cluster_by_lists_without_a_table_of_distances(spark, series, monkeypatch, linkage, listed, most, few):
+    """Short lists, clusters that blocks cut and merges of the nearest few by themselves give the same; no round writes a table."""
     monkeypatch.setattr(A, "PAIR_ROWS", 4)
     monkeypatch.setattr(C, "LISTED", 1)
     monkeypatch.setattr(C, "LEAST_LISTED", listed)
+    monkeypatch.setattr(C, "FEW_MERGED", few)
     saved, save = [], C.Tables.save
     monkeypatch.setattr(C.Tables, "save", lambda self, df, name, *parts: (saved.append(name), save(self, df, name, *parts))[1])
     df = spark.createDataFrame([(f"k{i:02}", x) for i, x in enumerate(series)], "k string, x array<double>").repartition(3)
-    got = C.series_clusters(df, "k", "x", 3, linkage, 2).collect()
+    got = C.series_clusters(df, "k", "x", 3, linkage, most).collect()
     assert sorted((r.id, r.cluster) for r in got) == [(f"k{i:02}", c) for i, c in sorted(plain(series, 3, linkage).items())]
-    assert not [name for name in saved if name.startswith("rows")]
+    assert not [name for name in saved if name.startswith("rows")] and (few or saved.count("square") > 1)
 
 
 def test_quick_distances_are_right_to_twelve_digits():
@@ -116,5 +117,5 @@ def test_quick_distances_are_right_to_twelve_digits():
     x[39] *= 1e160
     table = pa.table({"x": pa.array(list(x), pa.list_(pa.float64())), "c": np.sqrt((np.diff(x) ** 2).sum(axis=1))})
     with np.errstate(all="ignore"):
-        (quick, none), (slow, also) = A.far(table, table, quick=True), A.far(table, table)
+        ((_, quick, none),), ((_, slow, also),) = A.far(table, table, 40, quick=True), A.far(table, table, 40)
     assert (none == also).all() and np.allclose(quick, slow, rtol=1e-11, atol=0, equal_nan=True)
